@@ -86,7 +86,7 @@ def exact_key(value: Column) -> Column:
 def luhn_ok(value: Column) -> Column:
     """At least 13 digits and a valid check digit."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    return (F.char_length(digits) >= 13) & F.luhn_check(digits)
+    return (F.char_length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
 def context_window(text: Column, st: Column, en: Column, width: int) -> Column:

@@ -1,7 +1,10 @@
-"""Match offsets and candidate checks as column expressions.
+"""Match offsets and candidate checks.
 
 Offsets count characters. One pass of the regex marks every match inside the text; splitting at the
 mark then yields gap, match, gap, match, ... and a running length gives each match its place.
+
+The builders return SQL text: a rule set is a large expression, and one parsed string is far cheaper
+to set up than thousands of column calls. ``Column`` wrappers exist where a query needs one.
 """
 
 from __future__ import annotations
@@ -15,81 +18,79 @@ MARK = "
 SPAN_TYPE = "array<struct<st:int,en:int,v:string>>"
 
 
-def no_spans() -> Column:
-    return F.array().cast(SPAN_TYPE)
-
-
-def match_spans(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches, left to right, as ``array<struct<st,en,v>>``."""
-    p = jvm(pattern)
-    marked = F.split(F.regexp_replace(text, F.lit(p), F.lit(f"{MARK}$0{MARK}")), F.lit(MARK), -1)
-    gaps, found = F.split(text, F.lit(p), -1), F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    two_pass = F.slice(
-        F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(g, m))), 1, F.lit(2) * F.size(found) + 1
-    )
-    parts = F.when(F.contains(text, F.lit(MARK)), two_pass).otherwise(marked)
-    return running_spans(parts)
+def lit(value) -> str:
+    """A SQL literal."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def running_spans(parts: Column) -> Column:
-    """Every second element of ``parts`` with its start and end in the joined text."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out"))
+def spans_sql(text: str, pattern: str) -> str:
+    """All non-overlapping matches of ``pattern``, left to right, as ``array<struct<st,en,v>>``."""
+    p = lit(jvm(pattern))
+    marked = f"split(regexp_replace({text}, {p}, '{MARK}$0{MARK}'), '{MARK}', -1)"
+    found = f"regexp_extract_all({text}, {p}, 0)"
+    two_pass = (f"slice(flatten(zip_with(split({text}, {p}, -1), {found}, (g, m) -> array(g, m))), "
+                f"1, 2 * size({found}) + 1)")
+    return f"""aggregate(
+      if(contains({text}, '{MARK}'), {two_pass}, {marked}),
+      named_struct('pos', 0, 'hit', false, 'out', cast(array() as {SPAN_TYPE})),
+      (acc, part) -> named_struct(
+        'pos', acc.pos + char_length(part), 'hit', not acc.hit,
+        'out', if(acc.hit, concat(acc.out, array(named_struct(
+          'st', acc.pos, 'en', acc.pos + char_length(part), 'v', part))), acc.out)),
+      acc -> acc.out)"""
 
-    def step(acc, part):
-        end = acc["pos"] + F.char_length(part)
-        span = F.struct(acc["pos"].alias("st"), end.alias("en"), part.alias("v"))
-        return F.struct(
-            end.alias("pos"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+def match_spans(text: str, pattern: str) -> Column:
+    return F.expr(spans_sql(text, pattern))
 
 
-def any_of(text: Column, terms) -> Column:
-    cond = F.lit(False)
-    for term in terms:
-        cond = cond | F.contains(text, F.lit(term))
-    return cond
+def any_of_sql(text: str, terms) -> str:
+    return "(" + (" or ".join(f"contains({text}, {lit(t)})" for t in terms) or "false") + ")"
 
 
 # A guard is a cheap condition every text with a match satisfies, so the regex only runs where it
 # can succeed. Letters that case-fold from outside ASCII (long s, Kelvin sign) stay out of them.
 GUARDS = {
-    "bearer": lambda t, low: F.contains(low, F.lit("bearer")),
-    "authorization": lambda t, low: F.contains(low, F.lit("authorization")),
-    "assignment": lambda t, low: any_of(low, ("token", "ecret", "key")) & any_of(t, (":", "=")),
-    "sk_key": lambda t, low: any_of(low, ("k-", "k_")),
-    "pat": lambda t, low: F.contains(low, F.lit("gh")) & F.contains(t, F.lit("_")),
-    "at": lambda t, low: F.contains(t, F.lit("@")),
-    "scheme": lambda t, low: F.contains(t, F.lit("://")),
-    "dot": lambda t, low: F.contains(t, F.lit(".")),
-    "introduction": lambda t, low: any_of(low, ("my name i", "i am", "igned by", "author:", "from:", "contact:")),
-    "project": lambda t, low: F.contains(low, F.lit("project")),
+    "bearer": lambda t, low: any_of_sql(low, ["bearer"]),
+    "authorization": lambda t, low: any_of_sql(low, ["authorization"]),
+    "assignment": lambda t, low: any_of_sql(low, ["token", "ecret", "key"]) + " and " + any_of_sql(t, [":", "="]),
+    "sk_key": lambda t, low: any_of_sql(low, ["k-", "k_"]),
+    "pat": lambda t, low: any_of_sql(low, ["gh"]) + " and " + any_of_sql(t, ["_"]),
+    "at": lambda t, low: any_of_sql(t, ["@"]),
+    "scheme": lambda t, low: any_of_sql(t, ["://"]),
+    "dot": lambda t, low: any_of_sql(t, ["."]),
+    "introduction": lambda t, low: any_of_sql(low, ["my name i", "i am", "igned by", "author:", "from:", "contact:"]),
+    "project": lambda t, low: any_of_sql(low, ["project"]),
 }
 
 
-def normalized(value: Column, mode: str) -> Column:
+def normalized_sql(value: str, mode: str) -> str:
+    """How a candidate is compared: as is, lower-cased, or ASCII letters and digits lower-cased."""
     if mode == "lowercase":
-        return F.lower(value)
+        return f"lower({value})"
     if mode == "alnum_lowercase":
-        return F.lower(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
+        return f"lower(regexp_replace({value}, '[^A-Za-z0-9]', ''))"
     return value
 
 
-def exact_key(value: Column) -> Column:
+def exact_key_sql(value: str) -> str:
     """Whitespace folded and lower-cased: how request allowlists compare values."""
-    return F.lower(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")))
+    return f"lower(trim(regexp_replace({value}, {lit(r'(?U)\s+')}, ' ')))"
 
 
-def luhn_ok(value: Column) -> Column:
+def luhn_sql(value: str) -> str:
     """At least 13 digits and a valid check digit."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    return (F.char_length(digits) >= 13) & F.call_function("luhn_check", digits)
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    return f"(char_length({digits}) >= 13 and luhn_check({digits}))"
 
 
-def context_window(text: Column, st: Column, en: Column, width: int) -> Column:
+def window_sql(text: str, st: str, en: str, width: int) -> str:
     """The match with up to ``width`` characters on either side."""
-    left = F.greatest(st - width, F.lit(0))
-    return F.substring(text, left + 1, en + width - left)
+    left = f"greatest({st} - {width}, 0)"
+    return f"substring({text}, {left} + 1, {en} + {width} - {left})"

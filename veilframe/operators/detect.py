@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.functions import match as M
+from veilframe.functions.match import lit
 from veilframe.operators.rules import BUILTIN_RULES, MAX_CONTEXT_SCORE, RANK, Policy, Rule
 
 HIT_FIELDS = (
@@ -17,54 +18,54 @@ HIT_FIELDS = (
     "st:int,en:int,action:string,rank:int,priority:int,template:string"
 )
 HIT_TYPE = f"array<struct<{HIT_FIELDS}>>"
+NO_HITS = f"cast(array() as {HIT_TYPE})"
+RANK_MAP = "map(" + ", ".join(f"{lit(a)}, {r}" for a, r in RANK.items()) + ")"
 
 
 def no_hits() -> Column:
-    return F.array().cast(HIT_TYPE)
+    return F.expr(NO_HITS)
 
 
-def rank_of(action: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), action)
+def _hit_sql(leaf_seq, ptr, rule_seq, match_seq, rule_id, category, st, en, action, priority, template) -> str:
+    """One hit; ``action`` is a pair of SQL texts (action, rank)."""
+    return (
+        f"named_struct('leaf_seq', {leaf_seq}, 'ptr', {ptr}, 'rule_seq', {rule_seq}, 'match_seq', {match_seq}, "
+        f"'rule_id', {rule_id}, 'category', {lit(category)}, 'st', {st}, 'en', {en}, 'action', {action[0]}, "
+        f"'rank', {action[1]}, 'priority', {priority}, 'template', cast({lit(template)} as string))"
+    )
+
+
+def fixed_action(action: str) -> tuple[str, str]:
+    return lit(action), str(RANK[action])
 
 
-def _candidates(rule: Rule, text: Column, lowered: Column, allow_keys: Column | None) -> Column:
+def _candidates_sql(rule: Rule, text: str, allow: str | None) -> str:
     """Spans of one rule that survive allowlists, validator and context, with their priority."""
-    spans = M.match_spans(text, rule.pattern)
-    if allow_keys is not None:
-        spans = F.filter(spans, lambda s: ~F.array_contains(allow_keys, M.exact_key(s["v"])))
+    spans = M.spans_sql(text, rule.pattern)
+    keep = []
+    if allow is not None:
+        keep.append(f"not array_contains({allow}, {M.exact_key_sql('c.v')})")
+    candidate = M.normalized_sql("c.v", rule.normalization)
     if rule.validator == "luhn":
-        spans = F.filter(spans, lambda s: M.luhn_ok(M.normalized(s["v"], rule.normalization)))
+        keep.append(M.luhn_sql(candidate))
     allowed = _allow_values(rule)
     if allowed:
-        spans = F.filter(spans, lambda s: ~M.normalized(s["v"], rule.normalization).isin(allowed))
+        keep.append(f"{candidate} not in ({', '.join(map(lit, allowed))})")
+    if keep:
+        spans = f"filter({spans}, c -> {' and '.join(keep)})"
     ctx = rule.context
     if ctx is None:
-        return F.transform(
-            spans, lambda s: F.struct(s["st"].alias("st"), s["en"].alias("en"), F.lit(rule.priority).alias("prio"))
-        )
-
-    positive, negative = [t.lower() for t in ctx.positive], [t.lower() for t in ctx.negative]
-
-    def scored(s):
-        window = F.lower(M.context_window(text, s["st"], s["en"], ctx.window))
-        return F.struct(
-            s["st"].alias("st"), s["en"].alias("en"),
-            M.any_of(window, positive).alias("pos"), M.any_of(window, negative).alias("neg"),
-        )
-
-    spans = F.transform(spans, scored)
-    if ctx.require_positive:
-        spans = F.filter(spans, lambda s: s["pos"])
-    if ctx.suppress_on_negative:
-        spans = F.filter(spans, lambda s: ~s["neg"])
+        return f"transform({spans}, c -> named_struct('st', c.st, 'en', c.en, 'prio', {rule.priority}))"
+    near = f"lower({M.window_sql(text, 'c.st', 'c.en', ctx.window)})"
+    spans = f"transform({spans}, c -> named_struct('st', c.st, 'en', c.en, 'near', {near}))"
+    positive, negative = (M.any_of_sql("c.near", [t.lower() for t in terms]) for terms in (ctx.positive, ctx.negative))
+    spans = f"transform({spans}, c -> named_struct('st', c.st, 'en', c.en, 'pos', {positive}, 'neg', {negative}))"
+    vetoes = ["c.pos"] * ctx.require_positive + ["not c.neg"] * ctx.suppress_on_negative
+    if vetoes:
+        spans = f"filter({spans}, c -> {' and '.join(vetoes)})"
     base = min(rule.priority, MAX_CONTEXT_SCORE)
-    return F.transform(spans, lambda s: F.struct(
-        s["st"].alias("st"), s["en"].alias("en"),
-        F.greatest(
-            F.lit(0),
-            F.lit(base) + F.when(s["pos"], ctx.boost).otherwise(0) - F.when(s["neg"], ctx.penalty).otherwise(0),
-        ).alias("prio"),
-    ))
+    score = f"greatest(0, {base} + if(c.pos, {ctx.boost}, 0) - if(c.neg, {ctx.penalty}, 0))"
+    return f"transform({spans}, c -> named_struct('st', c.st, 'en', c.en, 'prio', {score}))"
 
 
 def _allow_values(rule: Rule) -> list[str]:
@@ -84,113 +85,82 @@ def _allow_values(rule: Rule) -> list[str]:
     return sorted(v for v in values if v)
 
 
-def _guard(rule: Rule, text: Column, lowered: Column) -> Column | None:
-    conds = []
-    if rule.guard:
-        conds.append(M.GUARDS[rule.guard](text, lowered))
-    if rule.context is not None and rule.context.require_positive:
-        conds.append(M.any_of(lowered, [t.lower() for t in rule.context.positive]))
-    if not conds:
-        return None
-    cond = conds[0]
-    for extra in conds[1:]:
-        cond = cond & extra
-    return cond
-
-
-def rule_hits(
-    rule: Rule, rule_seq: int, leaf_seq: Column, ptr: Column, text: Column, lowered: Column,
-    action: Column, allow_keys: Column | None = None, static_ptr: str | None = None,
-) -> Column | None:
+def rule_hits_sql(
+    rule: Rule, rule_seq: int, leaf_seq: str, ptr: str, text: str, low: str, action: tuple[str, str],
+    allow: str | None = None, static_ptr: str | None = None,
+) -> str | None:
     """The hits of one rule on one leaf; ``None`` when a known pointer rules it out."""
-    gate = None
+    conds = []
     if rule.gate:
         if static_ptr is not None:
             if not static_ptr.endswith(rule.gate):
                 return None
         else:
-            gate = F.lit(False)
-            for suffix in rule.gate:
-                gate = gate | F.endswith(ptr, F.lit(suffix))
+            conds.append("(" + " or ".join(f"endswith({ptr}, {lit(s)})" for s in rule.gate) + ")")
+    if rule.guard:
+        conds.append(M.GUARDS[rule.guard](text, low))
+    if rule.context is not None and rule.context.require_positive:
+        conds.append(M.any_of_sql(low, [t.lower() for t in rule.context.positive]))
 
     if rule.denylist:
-        found = _denylist_hits(rule, rule_seq, leaf_seq, ptr, text, action, allow_keys)
+        found = _denylist_sql(rule, rule_seq, leaf_seq, ptr, text, action, allow)
     else:
-        found = F.transform(_candidates(rule, text, lowered, allow_keys), lambda s, i: _hit(
-            leaf_seq, ptr, F.lit(rule_seq), i, F.lit(rule.rule_id), rule.category,
-            s["st"], s["en"], action, s["prio"], rule.template,
-        ))
-    guard = _guard(rule, text, lowered)
-    for cond in (guard, gate):
-        if cond is not None:
-            found = F.when(cond, found).otherwise(no_hits())
-    return found
-
-
-def _denylist_hits(rule, rule_seq, leaf_seq, ptr, text, action, allow_keys) -> Column:
+        hit = _hit_sql(leaf_seq, ptr, rule_seq, "i", lit(rule.rule_id), rule.category, "s.st", "s.en", action,
+                       "s.prio", rule.template)
+        found = f"transform({_candidates_sql(rule, text, allow)}, (s, i) -> {hit})"
+    return f"if({' and '.join(conds)}, {found}, {NO_HITS})" if conds else found
+
+
+def _denylist_sql(rule, rule_seq, leaf_seq, ptr, text, action, allow) -> str:
     places: dict[str, list[int]] = {}
     for i, value in enumerate(rule.denylist):
         places.setdefault(value, []).append(i)
-    lookup = F.create_map(*[x for v, idx in places.items() for x in (F.lit(v), F.array(*[F.lit(i) for i in idx]))])
-    hit_at = F.coalesce(F.try_element_at(lookup, text), F.array().cast("array<int>"))
-    keep = F.lit(True)
-    if allow_keys is not None:
-        keep = keep & ~F.array_contains(allow_keys, M.exact_key(text))
+    pairs = ", ".join(f"{lit(v)}, array({', '.join(map(str, idx))})" for v, idx in places.items())
+    where = f"coalesce(try_element_at(map({pairs}), {text}), cast(array() as array<int>))"
+    hit = _hit_sql(leaf_seq, ptr, f"{rule_seq} + i", "0", f"concat({lit(rule.rule_id)}, i)", rule.category, "0",
+                   f"char_length({text})", action, rule.priority, rule.template)
+    keep = []
+    if allow is not None:
+        keep.append(f"not array_contains({allow}, {M.exact_key_sql(text)})")
     allowed = _allow_values(rule)
     if allowed:
-        keep = keep & ~text.isin(allowed)
-    hits = F.transform(hit_at, lambda i: _hit(
-        leaf_seq, ptr, F.lit(rule_seq) + i, F.lit(0), F.concat(F.lit(rule.rule_id), i.cast("string")),
-        rule.category, F.lit(0), F.char_length(text), action, F.lit(rule.priority), rule.template,
-    ))
-    return F.when(keep, hits).otherwise(no_hits())
-
-
-def _hit(leaf_seq, ptr, rule_seq, match_seq, rule_id, category, st, en, action, priority, template) -> Column:
-    return F.struct(
-        leaf_seq.cast("int").alias("leaf_seq"), ptr.alias("ptr"), rule_seq.cast("int").alias("rule_seq"),
-        match_seq.cast("int").alias("match_seq"), rule_id.alias("rule_id"), F.lit(category).alias("category"),
-        st.alias("st"), en.alias("en"), action.alias("action"), rank_of(action).alias("rank"),
-        priority.cast("int").alias("priority"), F.lit(template).cast("string").alias("template"),
-    )
+        keep.append(f"{text} not in ({', '.join(map(lit, allowed))})")
+    found = f"transform({where}, i -> {hit})"
+    return f"if({' and '.join(keep)}, {found}, {NO_HITS})" if keep else found
 
 
-def leaf_hits(
-    policy: Policy, leaf_seq: Column, ptr: Column, text: Column, lowered: Column, *,
-    profile_id: str | None = None, profile_col: Column | None = None,
-    action_cols: dict[str, Column] | None = None, allow_keys: Column | None = None,
-    static_ptr: str | None = None, rules: tuple[Rule, ...] | None = None,
-) -> Column:
-    """All hits on one leaf in rule order.
+def leaf_hits_sql(
+    policy: Policy, leaf_seq: str, ptr: str, text: str, low: str, *, profile_id: str | None = None,
+    profile_col: str | None = None, actions: dict[str, tuple[str, str]] | None = None, allow: str | None = None,
+    static_ptr: str | None = None,
+) -> str:
+    """All hits on one leaf in rule order, as SQL text over the named columns.
 
     With ``profile_id`` the profile is fixed and actions are literals. Otherwise ``profile_col``
-    names the profile of the row and ``action_cols`` holds its action per category.
+    holds the profile of the row and ``actions`` its (action, rank) per category.
     """
     parts = []
-    seq = 0
-    for rule in BUILTIN_RULES if rules is None else rules:
+    for seq, rule in enumerate(BUILTIN_RULES):
         if rule.action:
-            action = F.lit(rule.action)
+            action = fixed_action(rule.action)
         elif profile_id is not None:
-            action = F.lit(policy.by_id[profile_id].action_for(rule.category))
+            action = fixed_action(policy.by_id[profile_id].action_for(rule.category))
         else:
-            action = action_cols[rule.category]
-        parts.append(rule_hits(rule, seq, leaf_seq, ptr, text, lowered, action, allow_keys, static_ptr))
-        seq += 1
-    if rules is None:
-        for profile in policy.profiles:
-            if profile_id is not None and profile.profile_id != profile_id:
-                continue
-            own = seq
-            for rule in profile.configured_rules():
-                action = F.lit(rule.action or profile.action_for(rule.category))
-                hits = rule_hits(rule, own, leaf_seq, ptr, text, lowered, action, allow_keys, static_ptr)
-                if hits is not None and profile_col is not None:
-                    hits = F.when(profile_col == profile.profile_id, hits).otherwise(no_hits())
-                parts.append(hits)
-                own += len(rule.denylist) or 1
+            action = actions[rule.category]
+        parts.append(rule_hits_sql(rule, seq, leaf_seq, ptr, text, low, action, allow, static_ptr))
+    for profile in policy.profiles:
+        if profile_id is not None and profile.profile_id != profile_id:
+            continue
+        own = len(BUILTIN_RULES)
+        for rule in profile.configured_rules():
+            action = fixed_action(rule.action or profile.action_for(rule.category))
+            hits = rule_hits_sql(rule, own, leaf_seq, ptr, text, low, action, allow, static_ptr)
+            if hits is not None and profile_col is not None:
+                hits = f"if({profile_col} = {lit(profile.profile_id)}, {hits}, {NO_HITS})"
+            parts.append(hits)
+            own += len(rule.denylist) or 1
     parts = [p for p in parts if p is not None]
-    return F.concat(*parts) if parts else no_hits()
+    return f"concat({', '.join(parts)})" if parts else NO_HITS
 
 
 def evidence_class(rule_id: Column) -> Column:

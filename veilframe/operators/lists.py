@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.match import exact_key
+from veilframe.functions.match import exact_key_sql
 
 
 def denylist_hits(leaves: DataFrame, denylist: DataFrame, text: str = "text") -> DataFrame:
@@ -20,5 +20,5 @@ def denylist_hits(leaves: DataFrame, denylist: DataFrame, text: str = "text") ->
 
 def without_allowlisted(candidates: DataFrame, value: str, allowlist: DataFrame) -> DataFrame:
     """Candidates whose folded text is not in ``allowlist.value``."""
-    allowed = allowlist.select(exact_key(F.col("value")).alias("_key")).distinct()
-    return candidates.withColumn("_key", exact_key(F.col(value))).join(allowed, "_key", "left_anti").drop("_key")
+    allowed = allowlist.select(F.expr(exact_key_sql("value")).alias("_key")).distinct()
+    return candidates.withColumn("_key", F.expr(exact_key_sql(value))).join(allowed, "_key", "left_anti").drop("_key")

@@ -12,19 +12,21 @@ from pyspark.sql import types as T
 
 from veilframe.functions import leaves as L
 from veilframe.functions.fragments import apply_spans
-from veilframe.functions.match import exact_key
+from veilframe.functions.match import exact_key_sql, lit
 from veilframe.operators import decide as D
-from veilframe.operators.detect import leaf_hits, no_hits
+from veilframe.operators.detect import RANK_MAP, leaf_hits_sql, no_hits
 from veilframe.operators.resolve import final_action, resolve_in_row
 from veilframe.operators.rules import ACTIONS, CATEGORIES, DEFAULT_POLICY, Policy
 
 BLOCK = ACTIONS[-1]
 
 
-def _allow_keys(df: DataFrame, allowlist: str | None) -> Column | None:
+def _with_allow_keys(df: DataFrame, allowlist: str | None) -> tuple[DataFrame, str | None]:
+    """The request allowlist, folded once per row."""
     if allowlist is None:
-        return None
-    return F.coalesce(F.transform(F.col(allowlist), exact_key), F.array().cast("array<string>"))
+        return df, None
+    keys = f"coalesce(transform(`{allowlist}`, a -> {exact_key_sql('a')}), cast(array() as array<string>))"
+    return df.withColumn("_allow", F.expr(keys)), "_allow"
 
 
 def _capped(hits: Column, limit: Column | int) -> Column:
@@ -39,13 +41,12 @@ def detect_text(
 ) -> DataFrame:
     """Adds ``hits`` for a plain text column seen as one leaf at ``ptr``."""
     profile = profile or policy.default_profile
-    staged = df.withColumn("_low", F.lower(F.col(column)))
-    hits = leaf_hits(
-        policy, F.lit(0), F.lit(ptr), F.col(column), F.col("_low"), profile_id=profile,
-        allow_keys=_allow_keys(df, allowlist), static_ptr=ptr)
+    staged, allow = _with_allow_keys(df.withColumn("_low", F.lower(F.col(column))), allowlist)
+    hits = F.expr(leaf_hits_sql(
+        policy, "0", lit(ptr), f"`{column}`", "_low", profile_id=profile, allow=allow, static_ptr=ptr))
     hits = F.when(F.col(column).isNotNull(), hits).otherwise(no_hits())
     return staged.withColumn("_raw", hits).withColumn(
-        "hits", _capped(F.col("_raw"), policy.by_id[profile].max_hits)).drop("_low", "_raw")
+        "hits", _capped(F.col("_raw"), policy.by_id[profile].max_hits)).drop("_low", "_raw", "_allow")
 
 
 def resolve(df: DataFrame) -> DataFrame:
@@ -118,18 +119,16 @@ def evaluate(
     df = df.withColumn("_leaves", F.transform("leaves", lambda x: F.struct(
         x["leaf_seq"].alias("leaf_seq"), x["ptr"].alias("ptr"), x["text"].alias("text"),
         F.lower(x["text"]).alias("low"))))
-    for c in CATEGORIES:
-        df = df.withColumn(f"_act_{c}", _by_profile(policy, lambda p, c=c: p.action_for(c)))
-    df = df.withColumn("_limit", _by_profile(policy, lambda p: p.max_hits)).withColumn(
-        "_visible", _by_profile(policy, lambda p: p.mask_visible_suffix))
-    allow = "allowlist" if "allowlist" in requests.columns else None
-    if allow:
-        df = df.withColumn("_allow", _allow_keys(df, allow))
-
-    hits = F.flatten(F.transform("_leaves", lambda x: leaf_hits(
-        policy, x["leaf_seq"], x["ptr"], x["text"], x["low"], profile_col=F.col("effective_profile"),
-        action_cols={c: F.col(f"_act_{c}") for c in CATEGORIES},
-        allow_keys=F.col("_allow") if allow else None)))
+    df = df.withColumns({
+        **{f"_act_{c}": _by_profile(policy, lambda p, c=c: p.action_for(c)) for c in CATEGORIES},
+        "_limit": _by_profile(policy, lambda p: p.max_hits),
+        "_visible": _by_profile(policy, lambda p: p.mask_visible_suffix)})
+    df, allow = _with_allow_keys(df, "allowlist" if "allowlist" in requests.columns else None)
+
+    per_leaf = leaf_hits_sql(
+        policy, "x.leaf_seq", "x.ptr", "x.text", "x.low", profile_col="effective_profile",
+        actions={c: (f"_act_{c}", f"element_at({RANK_MAP}, _act_{c})") for c in CATEGORIES}, allow=allow)
+    hits = F.expr(f"flatten(transform(_leaves, x -> {per_leaf}))")
     df = df.withColumn("_raw", F.coalesce(hits, no_hits())).withColumn(
         "_own", _capped(F.col("_raw"), F.col("_limit")))
     df = df.withColumn("hits", F.concat(F.col("_own"), F.coalesce(F.col(extra_hits), no_hits()))

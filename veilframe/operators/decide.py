@@ -20,10 +20,18 @@ def count_where(arr: Column, cond) -> Column:
     return F.size(F.filter(arr, cond))
 
 
+def _in_category(category: str):
+    return lambda h: h["category"] == category
+
+
+def _in_family(family: str):
+    return lambda h: recognizer_family(h["rule_id"]) == family
+
+
 def hits_by_category(hits: Column) -> Column:
     """Categories with at least one raw hit, as a map."""
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("k"), count_where(hits, lambda h, c=c: h["category"] == c).alias("v"))
+        F.struct(F.lit(c).alias("k"), count_where(hits, _in_category(c)).alias("v"))
         for c in sorted(CATEGORIES)
     ])
     return F.map_from_entries(F.filter(pairs, lambda p: p["v"] > 0))
@@ -33,7 +41,7 @@ def hits_by_family(hits: Column, spans: Column) -> Column:
     """All families, zero included, with the totals before and after resolution."""
     parts = [F.lit("normalized_hit"), F.size(hits), F.lit("resolved_hit"), F.size(spans)]
     for family in FAMILIES:
-        parts += [F.lit(family), count_where(hits, lambda h, f=family: recognizer_family(h["rule_id"]) == f)]
+        parts += [F.lit(family), count_where(hits, _in_family(family))]
     return F.create_map(*parts)
 
 
@@ -77,13 +85,13 @@ def provenance(spans: Column) -> Column:
 def explain_categories(hits: Column, spans: Column) -> Column:
     """Per category: raw hits and the strictest action among resolved spans, allow when none is left."""
     def strictest(c):
-        of_cat = F.filter(spans, lambda s: s["category"] == c)
+        of_cat = F.filter(spans, _in_category(c))
         top = F.array_max(F.transform(of_cat, lambda s: F.struct(s["rank"].alias("rank"), s["action"].alias("action"))))
         return F.coalesce(top["action"], F.lit("allow"))
 
     entries = F.array(*[
         F.struct(
-            F.lit(c).alias("category"), count_where(hits, lambda h, c=c: h["category"] == c).alias("hits"),
+            F.lit(c).alias("category"), count_where(hits, _in_category(c)).alias("hits"),
             strictest(c).alias("effective_action"))
         for c in sorted(CATEGORIES)
     ])

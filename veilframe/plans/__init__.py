@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("detection",)
+FAMILIES = ("detection", "policy")
 
 
 def _merged(attr: str) -> dict:

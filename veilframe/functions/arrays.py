@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,14 @@ def explode_once(df: DataFrame, column: str, alias: str, *keep: str) -> DataFram
     for the rows. The outer form infers no filter; its placeholder rows are dropped afterwards.
     """
     return df.select(*keep, F.explode_outer(column).alias(alias)).filter(F.col(alias).isNotNull())
+
+
+def pinned(value: Column) -> Column:
+    """The same value, computed exactly once per row.
+
+    The optimizer pushes later filters below a projection by copying its expressions into the
+    filter, and inlines a column used once into a lambda that runs per element. For rule sets that
+    means running all patterns again. An expression it must treat as non-deterministic is neither
+    copied nor moved; the condition is always true, so values do not change.
+    """
+    return F.when(F.rand(0) + F.lit(1.0) > 0, value)

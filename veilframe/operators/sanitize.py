@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import leaves as L
+from veilframe.functions.arrays import pinned
 from veilframe.functions.fragments import apply_spans
 from veilframe.functions.match import exact_key_sql, lit
 from veilframe.operators import decide as D
@@ -45,13 +46,13 @@ def detect_text(
     hits = F.expr(leaf_hits_sql(
         policy, "0", lit(ptr), f"`{column}`", "_low", profile_id=profile, allow=allow, static_ptr=ptr))
     hits = F.when(F.col(column).isNotNull(), hits).otherwise(no_hits())
-    return staged.withColumn("_raw", hits).withColumn(
+    return staged.withColumn("_raw", pinned(hits)).withColumn(
         "hits", _capped(F.col("_raw"), policy.by_id[profile].max_hits)).drop("_low", "_raw", "_allow")
 
 
 def resolve(df: DataFrame) -> DataFrame:
     """Adds ``spans`` and ``final_action`` from ``hits``."""
-    return df.withColumn("spans", resolve_in_row(F.col("hits"))).withColumn(
+    return df.withColumn("spans", pinned(resolve_in_row(F.col("hits")))).withColumn(
         "final_action", final_action(F.col("spans")))
 
 
@@ -65,7 +66,7 @@ def sanitize_text(
     visible = policy.by_id[profile].mask_visible_suffix
     blocked = F.col("final_action") == BLOCK
     masked = F.when(~blocked, apply_spans(F.col(column), F.col("spans"), visible))
-    return out.withColumn("blocked", blocked).withColumn(output, masked).withColumn(
+    return out.withColumn("blocked", blocked).withColumn(output, pinned(masked)).withColumn(
         "transformed_fields",
         F.when(~blocked & (F.col(output) != F.col(column)), 1).otherwise(0))
 
@@ -129,11 +130,11 @@ def evaluate(
         policy, "x.leaf_seq", "x.ptr", "x.text", "x.low", profile_col="effective_profile",
         actions={c: (f"_act_{c}", f"element_at({RANK_MAP}, _act_{c})") for c in CATEGORIES}, allow=allow)
     hits = F.expr(f"flatten(transform(_leaves, x -> {per_leaf}))")
-    df = df.withColumn("_raw", F.coalesce(hits, no_hits())).withColumn(
+    df = df.withColumn("_raw", pinned(F.coalesce(hits, no_hits()))).withColumn(
         "_own", _capped(F.col("_raw"), F.col("_limit")))
     df = df.withColumn("hits", F.concat(F.col("_own"), F.coalesce(F.col(extra_hits), no_hits()))
                        if extra_hits else F.col("_own"))
-    df = df.withColumn("spans", resolve_in_row(F.col("hits")))
+    df = df.withColumn("spans", pinned(resolve_in_row(F.col("hits"))))
 
     enabled = D.execution_enabled(F.col("mode"))
     is_degraded = F.coalesce(F.col(degraded), F.lit(False)) if degraded else F.lit(False)
@@ -169,7 +170,7 @@ def _rewrite(df: DataFrame, payload: str, dtype: T.DataType, protect: str | None
     touched = F.filter("_leaves", lambda x: F.exists("spans", lambda s: s["ptr"] == x["ptr"]))
     diffs = F.filter(F.transform(touched, changed), lambda d: d["old"] != d["new"])
     none = F.array().cast("array<struct<ptr:string,old:string,new:string>>")
-    df = df.withColumn("_diff", F.when(F.col("blocked"), none).otherwise(F.coalesce(diffs, none)))
+    df = df.withColumn("_diff", pinned(F.when(F.col("blocked"), none).otherwise(F.coalesce(diffs, none))))
     df = df.withColumn("transformed_fields", F.size("_diff"))
     texts = F.map_from_entries(F.transform("_diff", lambda d: F.struct(d["ptr"], d["new"])))
     if isinstance(dtype, T.StringType):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("detection", "policy")
+FAMILIES = ("detection", "policy", "metrics")
 
 
 def _merged(attr: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("detection", "policy", "metrics")
+FAMILIES = ("detection", "policy", "metrics", "limits", "payloads")
 
 
 def _merged(attr: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("detection", "policy", "metrics", "limits", "payloads")
+FAMILIES = ("detection", "policy", "metrics", "limits", "payloads", "tools")
 
 
 def _merged(attr: str) -> dict:

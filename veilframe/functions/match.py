@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.regex import jvm
 
 MARK = "￿"  # a noncharacter; texts that hold it anyway take the two-pass branch
+BLOCK = 512  # pieces per fold; even, so every block starts with a gap
 SPAN_TYPE = "array<struct<st:int,en:int,v:string>>"
 
 
@@ -36,9 +37,25 @@ def spans_sql(text: str, pattern: str) -> str:
     found = f"regexp_extract_all({text}, {p}, 0)"
     two_pass = (f"slice(flatten(zip_with(split({text}, {p}, -1), {found}, (g, m) -> array(g, m))), "
                 f"1, 2 * size({found}) + 1)")
-    return f"""aggregate(
-      if(contains({text}, '{MARK}'), {two_pass}, {marked}),
-      named_struct('pos', 0, 'hit', false, 'out', cast(array() as {SPAN_TYPE})),
+    parts = f"if(contains({text}, '{MARK}'), {two_pass}, {marked})"
+    few = _running_sql("ps", "0")
+    # one fold over many pieces would copy its output array once per match; blocks keep it short
+    lengths = "aggregate(b, 0, (n, part) -> n + char_length(part))"
+    many = f"""flatten(transform(
+      aggregate(
+        transform(sequence(0, (size(ps) - 1) div {BLOCK}), j -> slice(ps, j * {BLOCK} + 1, {BLOCK})),
+        named_struct('base', 0, 'out', cast(array() as array<struct<base:int,parts:array<string>>>)),
+        (acc, b) -> named_struct('base', acc.base + {lengths},
+                                 'out', concat(acc.out, array(named_struct('base', acc.base, 'parts', b)))),
+        acc -> acc.out),
+      o -> {_running_sql("o.parts", "o.base")}))"""
+    return f"transform(array({parts}), ps -> if(size(ps) <= {BLOCK}, {few}, {many}))[0]"
+
+
+def _running_sql(parts: str, base: str) -> str:
+    """Every second piece with its start and end, counted from ``base``."""
+    return f"""aggregate({parts},
+      named_struct('pos', {base}, 'hit', false, 'out', cast(array() as {SPAN_TYPE})),
       (acc, part) -> named_struct(
         'pos', acc.pos + char_length(part), 'hit', not acc.hit,
         'out', if(acc.hit, concat(acc.out, array(named_struct(

@@ -29,13 +29,12 @@ def spans_of(source: str, pattern: str, where: str = "true") -> str:
     """``source`` has (k, leaf_seq, ptr, text); yields one row per match with st, en, v, match_seq."""
     marked = f"string_split(regexp_replace(text, {q(grouped(pattern))}, chr(1) || '\\1' || chr(1), 'g'), chr(1))"
     return f"""
-      SELECT k, leaf_seq, ptr, text, i // 2 - 1 AS match_seq,
-             coalesce(list_sum(list_transform(parts[1:i-1], lambda x: length(x))), 0)::BIGINT AS st,
-             (coalesce(list_sum(list_transform(parts[1:i-1], lambda x: length(x))), 0) + length(parts[i]))::BIGINT AS en,
-             parts[i] AS v
-      FROM (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS i
-            FROM (SELECT k, leaf_seq, ptr, text, {marked} AS parts FROM {source}
-                  WHERE {where} AND regexp_matches(text, {q(pattern)})))"""
+      SELECT k, leaf_seq, ptr, text, i // 2 - 1 AS match_seq, (pos - length(part))::BIGINT AS st, pos::BIGINT AS en, part AS v
+      FROM (SELECT *, sum(length(part)) OVER (PARTITION BY k, leaf_seq ORDER BY i) AS pos
+            FROM (SELECT k, leaf_seq, ptr, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+                  FROM (SELECT k, leaf_seq, ptr, text, {marked} AS parts FROM {source}
+                        WHERE {where} AND regexp_matches(text, {q(pattern)}))))
+      WHERE i % 2 = 0"""
 
 
 def rule_sql(rule: Rule, seq: int, source: str, action: str) -> str:

@@ -172,3 +172,18 @@ def error_digest(body: Column) -> Column:
         first(("param", "error_param", "field"), root, body).alias("error_param"),
         F.octet_length(message).cast("bigint").alias("message_bytes"),
         F.array_join(F.array_sort(F.json_object_keys(root)), ",").alias("keys"))
+
+
+def reassembled(chunks: DataFrame, limit: int = MAX_BUFFER_BYTES) -> DataFrame:
+    """Stream bodies in chunk order. Only streams within the buffer limit are joined, so no group
+    outgrows it; the others are what ``over_limit`` reports."""
+    sizes = chunks.groupBy("stream_id").agg(F.sum(F.octet_length("chunk")).alias("_bytes"))
+    small = sizes.filter(F.col("_bytes") <= limit).select("stream_id")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
+    return chunks.join(small, "stream_id", "left_semi").groupBy("stream_id").agg(
+        F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("body"))
+
+
+def stream_outcome(events: DataFrame, key: str) -> DataFrame:
+    """Per stream: hits of all events, strictest action, blocked when any event blocks."""
+    return events.groupBy(key).agg(F.sum("hits").alias("hits"), F.max_by("final_action", "rank").alias("final_action"))

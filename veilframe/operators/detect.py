@@ -163,6 +163,10 @@ def leaf_hits_sql(
     return f"concat({', '.join(parts)})" if parts else NO_HITS
 
 
+def rank_of(action: Column) -> Column:
+    return F.element_at(F.expr(RANK_MAP), action)
+
+
 def evidence_class(rule_id: Column) -> Column:
     return (
         F.when(F.startswith(rule_id, F.lit("deterministic.")), "deterministic_rule")

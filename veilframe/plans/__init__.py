@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("detection", "policy", "metrics", "limits", "payloads", "tools", "chat", "ner", "evals")
+FAMILIES = ("detection", "policy", "metrics", "limits", "payloads", "tools", "chat", "ner", "evals", "streams")
 
 
 def _merged(attr: str) -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.operators import chat as C
+from veilframe.operators import sanitize as S
+from veilframe.operators.detect import rank_of
 from veilframe.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -156,3 +158,21 @@ def error_digests(spark, sf):
     """Upstream errors described without their message."""
     body = F.to_json(F.struct(F.struct(F.lit("bad_request").alias("type"), F.col("turn").alias("code"), F.col("text").alias("message")).alias("error")))
     return turns(spark, sf).select("request_id", C.error_digest(body).alias("d")).select("request_id", "d.*")
+
+
+@add("l12_stream_outcomes", f"WITH {T} SELECT request_id, 1::BIGINT AS hits, 'redact' AS final_action FROM t")
+def stream_outcomes(spark, sf):
+    """Event streams masked event by event (each carries one address), combined per stream."""
+    body = F.concat(F.lit("data: "), F.to_json(F.struct(F.concat(F.lit("mail bob"), F.col("n").cast("string"), F.lit("@example.com")).alias("delta"))),
+                    F.lit("\n\ndata: "), F.to_json(F.struct("role")), F.lit("\n\ndata: [DONE]\n\n"))
+    lines = C.sse_lines(turns(spark, sf).select("request_id", body.alias("body")), "body").filter("kind = 'json'")
+    req = lines.select("request_id", F.lit("strict").alias("effective_profile"), F.lit("enforce").alias("mode"), F.col("data").alias("payload"))
+    out = S.evaluate(req).select("request_id", "final_action", F.col("decision.rule_hits_total").cast("bigint").alias("hits"))
+    return C.stream_outcome(out.withColumn("rank", rank_of(F.col("final_action"))), "request_id").select("request_id", "hits", "final_action")
+
+
+@add("l15_reassembled_streams", "SELECT conv_id::VARCHAR AS stream_id, md5(string_agg(text, '' ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id HAVING sum(octet_length(encode(text))) <= 4000")
+def reassembled_streams(spark, sf):
+    """Chunks joined in order for streams within the buffer."""
+    chunks = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"))
+    return C.reassembled(chunks, 4000).select("stream_id", F.md5("body").alias("body_md5"))

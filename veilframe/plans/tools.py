@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import sanitize as S
 from veilframe.operators import tools as T
-from veilframe.sources.tables import table
+from veilframe.sources.tables import spread, table
 
 QUERIES, ORACLES = {}, {}
 SERVERS = [("click", True, ["t0", "t1", "t2"], ["t2"]), ("view", True, ["t0", "t1", "t3"], []), ("error", False, ["t0"], []),
@@ -32,7 +32,7 @@ def add(name, oracle=None):
 
 def calls(spark, sf):
     """Arguments vary with the event: missing keys, extra keys, long notes, bad paths, nesting."""
-    e, i = table(spark, sf, "events"), F.col("event_id")
+    e, i = spread(table(spark, sf, "events"), spark, "event_id"), F.col("event_id")
     path = F.element_at(F.array(*map(F.lit, PATHS)), F.expr(f"cast(event_id % {len(PATHS)} + 1 as int)"))
     args = F.concat(
         F.lit('{"k":'), F.when(i % 5 == 0, F.lit('"text"')).otherwise(F.get_json_object("props", "$.k")),
@@ -133,7 +133,7 @@ def argument_checks(spark, sf):
 @add("t11_output_sanitization")
 def output_sanitization(spark, sf):
     """Tool outputs (documents) masked where the tool's flag, else the default, says so."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "signup").otherwise("click").alias("server"), F.lit("t0").alias("tool"))
+    docs = spread(table(spark, sf, "documents"), spark, "doc_id").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "signup").otherwise("click").alias("server"), F.lit("t0").alias("tool"))
     flagged = docs.join(policies(spark)[1].select("server", "tool", "output_sanitization"), ["server", "tool"], "left")
     out = S.sanitize_text(flagged, "text")
     on = F.coalesce("output_sanitization", F.lit(True))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import embeddings, minhash, packing, pii, warc
-from veilframe.llm.common import table
+from veilframe.llm import (blocks, decontam, embeddings, minhash, packing, pii, recurrent, rules, toxicity,
+                           warc)
+from veilframe.llm.common import crc_mod, table
 
 
 def tokenizer_path() -> str:
@@ -46,10 +47,54 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def _held_out(mod: int, rest: int):
+    return F.coalesce(crc_mod("doc_id", mod) == rest, F.lit(False))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = _held_out(7, 2)
+    model = recurrent.fit_language_model(docs.filter(~held))
+    return recurrent.score_documents(docs, model).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return blocks.main_text(pages, blocks.fit_labeller(pages))
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = _held_out(4, 2)
+    model = rules.fit_quality(docs, labels.filter(~held))
+    return rules.with_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def toxic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = _held_out(5, 0)
+    model = toxicity.fit_toxicity(docs, labels.filter(~held))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "largest_gain", "windows")
+
+
 QUERIES = {
     "op1_private_data": private_data,
     "op2_warc_salvage": warc_salvage,
+    "op3_recurrent_language_model": language_model,
+    "op4_block_labeller": page_text,
     "op5_best_fit_packing": packing_best_fit,
+    "op6_quality_rules": quality,
     "op7_minhash_near_duplicates": near_documents,
+    "op8_benchmark_leaks": benchmark_leaks,
+    "op9_toxicity": toxic_text,
     "op10_near_vectors": near_vectors,
 }
+ORACLES: dict[str, str] = {}

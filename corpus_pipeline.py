@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles overlap by 0.8 or more: that with the smallest id."""
-    gone = minhash.near_duplicates(docs, size=5, percent=80).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = staged(minhash.near_duplicates(docs, size=5, percent=80).filter("not kept").select(
+        F.col("doc_id").alias("__id")).distinct(), "copies")
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
 

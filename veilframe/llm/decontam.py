@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import staged
+
 Q = 8
 #: Edits allowed per character of a segment, and the length segments aim at.
 RATE, SEGMENT = 0.1, 110
@@ -221,6 +223,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold a benchmark segment; rows with a null id stay."""
-    bad = contamination(docs.filter(F.col(key).isNotNull()), benchmark, text, key).select(
-        F.col("doc_id").alias("__id")).distinct()
+    bad = staged(contamination(docs.filter(F.col(key).isNotNull()), benchmark, text, key).select(
+        F.col("doc_id").alias("__id")).distinct(), "leaks")
     return docs.join(bad, F.col(key) == F.col("__id"), "left_anti")

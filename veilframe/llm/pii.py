@@ -138,7 +138,7 @@ def private_spans(docs: DataFrame, limits: Thresholds = Thresholds(), text: str
     empty = F.expr(f"cast(array() as {HIT})")
     if terms.isEmpty():
         return base.select("doc_id", "hits", empty.alias("terms"))
-    held = _with_terms(docs, terms, text, key)
+    held = staged(_with_terms(docs, terms, text, key), "held")  # its size is then known before texts would be shuffled
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn(
         "text_key", F.xxhash64("t"))
     same = rows.doc_id.eqNullSafe(held.doc_id) & (rows.text_key == held.text_key)
@@ -171,7 +171,7 @@ def sanitise(docs: DataFrame, limits: Thresholds = Thresholds(), text: str = "te
         changed = _replaced("__text", pattern, f"if({valid.format(v='v')}, '[{kind.upper()}]', v)")
         out = out.withColumn("__text", F.expr(f"if({guard.format(t='__text')}, {changed}, __text)"))
     if not terms.isEmpty():
-        held = _with_terms(docs, terms, text, key).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+        held = staged(_with_terms(docs, terms, text, key), "held").withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
         out = out.join(held, F.col(key).eqNullSafe(F.col("__id"))
                        & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__key")), "left")
         value = ("case when array_contains(removed, lower(v)) then '' "

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import staged
+
 #: Labelled rows that the fit reads at most; their statistics, not their texts, reach the driver.
 SAMPLE = 20_000
 TREES, DEPTH, LEAF, CUTS = 24, 3, 30, 24
@@ -170,7 +172,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     """
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(label).cast("double").alias("__y"))
-    chosen = marked.orderBy(F.xxhash64(key), key).limit(sample)
+    chosen = staged(marked.orderBy(F.xxhash64(key), key).limit(sample), "labelled")
     rows, names = with_statistics(docs.select(key, text).join(chosen, key), text)
     found = rows.select("__y", *(f"__s_{n}" for n in names)).orderBy(F.xxhash64(key), *(f"__s_{n}" for n in names)).limit(
         sample).toPandas().to_numpy(float)

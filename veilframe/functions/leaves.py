@@ -7,7 +7,7 @@ schema, so one Arrow-batched function lists its leaves and another writes new te
 from __future__ import annotations
 
 import json
-
+import re
 import sys
 
 import pyarrow as pa
@@ -23,9 +23,10 @@ LEAF_TYPE = "array<struct<leaf_seq:int,ptr:string,text:string>>"
 NODE_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("ptr", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("text", T.StringType()), T.StructField("depth", T.IntegerType()),
-    T.StructField("key", T.StringType())]))
+    T.StructField("key", T.StringType()), T.StructField("top", T.StringType())]))
 _NODE_ARROW = pa.list_(pa.struct([
-    ("ptr", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("depth", pa.int32()), ("key", pa.string())]))
+    ("ptr", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("depth", pa.int32()), ("key", pa.string()),
+    ("top", pa.string())]))
 
 
 def escape_segment(segment: Column) -> Column:
@@ -107,19 +108,23 @@ def _segment(key: str) -> str:
 
 
 def _walk(doc):
-    """Scalars and empty containers of a parsed document, keys sorted, with their nesting depth."""
-    stack = [("", doc, 1, None)]
+    """Scalars and empty containers of a parsed document, keys sorted, with their nesting depth.
+
+    ``top`` is the kind of the root's member that a node lies in.
+    """
+    stack = [("", doc, 1, None, None)]
     while stack:
-        ptr, node, depth, key = stack.pop()
+        ptr, node, depth, key, top = stack.pop()
+        kind, text = _kind(node)
+        top = kind if depth == 2 else top
         if isinstance(node, dict) and node:
             for k in sorted(node, key=lambda s: s.encode("utf-8", "surrogatepass"), reverse=True):
-                stack.append((f"{ptr}/{_segment(k)}", node[k], depth + 1, k))
+                stack.append((f"{ptr}/{_segment(k)}", node[k], depth + 1, k, top))
         elif isinstance(node, list) and node:
             for i in range(len(node) - 1, -1, -1):
-                stack.append((f"{ptr}/{i}", node[i], depth + 1, key))
+                stack.append((f"{ptr}/{i}", node[i], depth + 1, key, top))
         else:
-            kind, text = _kind(node)
-            yield {"ptr": ptr, "kind": kind, "text": text, "depth": depth, "key": key}
+            yield {"ptr": ptr, "kind": kind, "text": text, "depth": depth, "key": key, "top": top}
 
 
 def _kind(node) -> tuple[str, str | None]:
@@ -140,10 +145,15 @@ def _not_json(token):
     raise ValueError(token)
 
 
-def _parse(raw):
+# Numbers pass a rewrite as marked text, so that they come out as they were written.
+_NUMBER = "\x00veilframe-number:"
+_MARKED = re.compile('"' + json.dumps(_NUMBER)[1:-1].replace("\\", "\\\\") + '([-+0-9.eE]+)"')
+
+
+def _parse(raw, number=None):
     """Strict JSON: no NaN or Infinity, no lone surrogates."""
     try:
-        doc = json.loads(raw, parse_constant=_not_json)
+        doc = json.loads(raw, parse_constant=_not_json, parse_float=number, parse_int=number)
         if "\\u" in raw:
             json.dumps(doc, ensure_ascii=False).encode()
         return True, doc
@@ -163,16 +173,19 @@ def json_nodes(payload: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def set_json_leaves(payload: pa.Array, texts: pa.Array) -> pa.Array:
-    """The document with the string leaves named in ``texts`` (pointer to text) replaced."""
+    """The document with the string leaves named in ``texts`` (pointer to text) replaced; numbers keep their text.
+
+    What is not JSON gives null: it was never scanned, so it is not passed on.
+    """
     out = []
     for raw, pairs in zip(payload.to_pylist(), texts.to_pylist()):
-        ok, doc = _parse(raw)
+        ok, doc = _parse(raw, lambda text: _NUMBER + text)
         if not ok or not pairs:
-            out.append(raw)
+            out.append(raw if ok else None)
             continue
         for ptr, text in pairs:
             doc = _put(doc, ptr, text)
-        out.append(json.dumps(doc, ensure_ascii=False, separators=(",", ":")))
+        out.append(_MARKED.sub(r"\1", json.dumps(doc, ensure_ascii=False, separators=(",", ":"))))
     return pa.array(out, type=pa.string())
 
 
@@ -201,4 +214,4 @@ def string_leaves(nodes: Column) -> Column:
 
 def json_depth(nodes: Column) -> Column:
     """Nesting depth, root level 1; an empty container counts only its own level."""
-    return F.least(F.lit(255), F.array_max(F.transform(nodes, lambda n: n["depth"])))
+    return F.array_max(F.transform(nodes, lambda n: n["depth"]))

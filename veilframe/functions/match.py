@@ -38,10 +38,9 @@ def spans_sql(text: str, pattern: str) -> str:
     two_pass = (f"slice(flatten(zip_with(split({text}, {p}, -1), {found}, (g, m) -> array(g, m))), "
                 f"1, 2 * size({found}) + 1)")
     parts = f"if(contains({text}, '{MARK}'), {two_pass}, {marked})"
-    few = _running_sql("ps", "0")
     # one fold over many pieces would copy its output array once per match; blocks keep it short
     lengths = "aggregate(b, 0, (n, part) -> n + char_length(part))"
-    many = f"""flatten(transform(
+    placed = f"""flatten(transform(
       aggregate(
         transform(sequence(0, (size(ps) - 1) div {BLOCK}), j -> slice(ps, j * {BLOCK} + 1, {BLOCK})),
         named_struct('base', 0, 'out', cast(array() as array<struct<base:int,parts:array<string>>>)),
@@ -49,7 +48,7 @@ def spans_sql(text: str, pattern: str) -> str:
                                  'out', concat(acc.out, array(named_struct('base', acc.base, 'parts', b)))),
         acc -> acc.out),
       o -> {_running_sql("o.parts", "o.base")}))"""
-    return f"transform(array({parts}), ps -> if(size(ps) <= {BLOCK}, {few}, {many}))[0]"
+    return f"transform(array({parts}), ps -> {placed})[0]"
 
 
 def _running_sql(parts: str, base: str) -> str:

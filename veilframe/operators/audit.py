@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.arrays import explode_once
+from veilframe.functions.leaves import typed_leaves
 
 
-def leaked_values(evaluated: DataFrame, min_chars: int = 4) -> DataFrame:
+def leaked_values(evaluated: DataFrame, short: int = 4) -> DataFrame:
     """Matched values that occur in their own audit or explain record.
 
-    ``evaluated`` is ``evaluate(..., trace=True)``. Values shorter than ``min_chars`` would collide
-    with counts and rule names by chance. The request id is not part of the search: callers choose it.
+    ``evaluated`` is ``evaluate(..., trace=True)``. Values shorter than ``short`` occur in rule names by
+    chance: they count where a whole text of the record equals them, longer ones anywhere in a text. The request id is not part of the search: callers choose it.
     """
     text_of = F.expr("filter(leaves, l -> l.ptr = h.ptr)[0].text")
     hits = explode_once(evaluated, "hits", "h", "request_id", "leaves", "audit", "explain").withColumn(
         "value", F.substring(text_of, F.col("h.st") + 1, F.col("h.en") - F.col("h.st")))
-    record = F.concat(F.to_json(F.col("audit").dropFields("request_id")), F.to_json("explain"))
-    return hits.filter((F.char_length("value") >= min_chars) & F.contains(record, F.col("value"))).select(
+    record = F.struct(F.col("audit").dropFields("request_id").alias("audit"), "explain")
+    dtype = hits.select(record.alias("r")).schema["r"].dataType
+    texts = F.transform(typed_leaves(record, dtype), lambda x: x["text"])
+    leaks = F.exists(texts, lambda t: (t == F.col("value")) | (
+        (F.char_length("value") >= short) & F.contains(t, F.col("value"))))
+    return hits.filter(leaks).select(
         "request_id", "value")
 
 

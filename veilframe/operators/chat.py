@@ -26,7 +26,7 @@ def _text(variant: Column, path: str) -> Column:
 
 
 def _filled(text: Column) -> Column:
-    return F.coalesce(F.trim(text) != "", F.lit(False))
+    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)^\s*$")
 
 
 def validate(df: DataFrame, body: str) -> DataFrame:
@@ -174,13 +174,13 @@ def error_digest(body: Column) -> Column:
         F.array_join(F.array_sort(F.json_object_keys(root)), ",").alias("keys"))
 
 
-def reassembled(chunks: DataFrame, limit: int = MAX_BUFFER_BYTES) -> DataFrame:
-    """Stream bodies in chunk order. Only streams within the buffer limit are joined, so no group
-    outgrows it; the others are what ``over_limit`` reports."""
-    sizes = chunks.groupBy("stream_id").agg(F.sum(F.octet_length("chunk")).alias("_bytes"))
-    small = sizes.filter(F.col("_bytes") <= limit).select("stream_id")
+def reassembled(chunks: DataFrame) -> DataFrame:
+    """All stream bodies in chunk order; ``over_limit`` reports those above a buffer limit.
+
+    A stream is one value and so lies in one task; its size bounds that task.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    return chunks.join(small, "stream_id", "left_semi").groupBy("stream_id").agg(
+    return chunks.groupBy("stream_id").agg(
         F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("body"))
 
 

@@ -84,7 +84,7 @@ def recognize_distinct(df: DataFrame, column: str, load: Callable[[], Callable[[
 
 def bio_spans(tokens: DataFrame, key: str = "text_id") -> DataFrame:
     """BIO labels to spans (``tok_idx, label, st, en`` per token): B opens, a changed I opens too."""
-    entity = F.when(F.col("label").rlike("^[BI]-"), F.substring("label", 3, 1000))
+    entity = F.when(F.col("label").rlike("^[BI]-"), F.expr("substring(label, 3)"))
     by_text = Window.partitionBy(key).orderBy("tok_idx")
     df = tokens.withColumn("entity", entity)
     opens = F.startswith("label", F.lit("B-")) | ~F.lag("entity").over(by_text).eqNullSafe(F.col("entity"))

@@ -74,7 +74,7 @@ class Profile:
     profile_id: str
     actions: dict[str, str]
     mask_visible_suffix: int = 4
-    max_hits: int = 4096
+    max_hits: int | None = None  # explicit limit; rows above it are blocked, never released in part
     mode_default: str = "enforce"
     rules: tuple[Rule, ...] = ()
     recognizers: tuple[Recognizer, ...] = ()

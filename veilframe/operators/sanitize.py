@@ -30,24 +30,36 @@ def _with_allow_keys(df: DataFrame, allowlist: str | None) -> tuple[DataFrame, s
     return df.withColumn("_allow", F.expr(keys)), "_allow"
 
 
-def _capped(hits: Column, limit: Column | int) -> Column:
-    """The per-request hit limit of the profile; hits beyond it are not reported or masked."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
+def _capped(hits: Column, limit: Column | int | None) -> Column:
+    """The first hits up to the profile's limit, where it sets one; see ``_dropped`` for the others."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit).cast("int")
     return F.when(F.size(hits) > limit, F.slice(hits, F.lit(1), limit)).otherwise(hits)
 
 
+def _dropped(hits: Column, limit: Column | int | None) -> Column:
+    """How many hits a limit left out; a row with any is blocked."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit).cast("int")
+    return F.coalesce(F.greatest(F.size(hits) - limit, F.lit(0)), F.lit(0))
+
+
+def blank(text: Column) -> Column:
+    """Null, empty, or white space of any kind only."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?U)^\s*$")
+
+
 def detect_text(
     df: DataFrame, column: str, *, policy: Policy = DEFAULT_POLICY, profile: str | None = None,
     ptr: str = "/content", allowlist: str | None = None,
 ) -> DataFrame:
-    """Adds ``hits`` for a plain text column seen as one leaf at ``ptr``."""
+    """Adds ``hits`` for a plain text column seen as one leaf at ``ptr``, and how many a limit dropped."""
     profile = profile or policy.default_profile
     staged, allow = _with_allow_keys(df.withColumn("_low", F.lower(F.col(column))), allowlist)
     hits = F.expr(leaf_hits_sql(
         policy, "0", lit(ptr), f"`{column}`", "_low", profile_id=profile, allow=allow, static_ptr=ptr))
     hits = F.when(F.col(column).isNotNull(), hits).otherwise(no_hits())
     return staged.withColumn("_raw", pinned(hits)).withColumn(
-        "hits", _capped(F.col("_raw"), policy.by_id[profile].max_hits)).drop("_low", "_raw", "_allow")
+        "hits", _capped(F.col("_raw"), policy.by_id[profile].max_hits)).withColumn(
+        "dropped_hits", _dropped(F.col("_raw"), policy.by_id[profile].max_hits)).drop("_low", "_raw", "_allow")
 
 
 def resolve(df: DataFrame) -> DataFrame:
@@ -60,10 +72,14 @@ def sanitize_text(
     df: DataFrame, column: str, *, policy: Policy = DEFAULT_POLICY, profile: str | None = None,
     ptr: str = "/content", allowlist: str | None = None, output: str = "sanitized_text",
 ) -> DataFrame:
-    """Detect, resolve and mask one text column; blocked rows get a null text."""
+    """Detect, resolve and mask one text column; blocked rows get a null text.
+
+    Filter rows before this: a later filter does not reach below the detection.
+    """
     profile = profile or policy.default_profile
     out = resolve(detect_text(df, column, policy=policy, profile=profile, ptr=ptr, allowlist=allowlist))
     visible = policy.by_id[profile].mask_visible_suffix
+    out = out.withColumn("final_action", F.when(F.col("dropped_hits") > 0, BLOCK).otherwise(F.col("final_action")))
     blocked = F.col("final_action") == BLOCK
     masked = F.when(~blocked, apply_spans(F.col(column), F.col("spans"), visible))
     return out.withColumn("blocked", blocked).withColumn(output, pinned(masked)).withColumn(
@@ -80,21 +96,23 @@ def with_leaves(df: DataFrame, payload: str, dtype: T.DataType | None = None) ->
     return df.withColumn("leaves", L.typed_leaves(F.col(payload), dtype))
 
 
-def split_requests(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:
+def split_requests(df: DataFrame, policy: Policy = DEFAULT_POLICY, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Valid requests with ``effective_profile``, and rejected ones with ``error``.
 
     ``request_id`` and ``effective_language`` must not be blank; a blank profile means the default
-    and an unknown one is an error.
+    and an unknown one is an error. So is a text payload that is not JSON, or too deep to parse.
     """
     known = [p.profile_id for p in policy.profiles]
-    blank = F.trim(F.coalesce(F.col("profile_id"), F.lit(""))) == ""
-    effective = F.when(blank, F.lit(policy.default_profile)).otherwise(F.col("profile_id"))
+    effective = F.when(blank(F.col("profile_id")), F.lit(policy.default_profile)).otherwise(F.col("profile_id"))
     error = (
-        F.when(F.trim(F.coalesce(F.col("request_id"), F.lit(""))) == "", "invalid_input:request_id")
-        .when(F.trim(F.coalesce(F.col("effective_language"), F.lit(""))) == "", "invalid_input:effective_language")
+        F.when(blank(F.col("request_id")), "invalid_input:request_id")
+        .when(blank(F.col("effective_language")), "invalid_input:effective_language")
         .when(~effective.isin(known), F.concat(F.lit("invalid_profile:"), effective))
     )
     checked = df.withColumn("effective_profile", effective).withColumn("error", error)
+    if payload in df.columns and isinstance(df.schema[payload].dataType, T.StringType):
+        checked = checked.withColumn("_nodes", L.json_nodes(F.col(payload))).withColumn("error", F.coalesce(
+            "error", F.when(F.col("_nodes").isNull(), "invalid_input:payload"))).drop("_nodes")
     return checked.filter("error is null").drop("error"), checked.filter("error is not null")
 
 
@@ -113,7 +131,8 @@ def evaluate(
     ``extra_hits`` names a column of hits from other recognizers; they follow the detected ones and
     do not count against the hit limit. ``degraded`` and ``fail_closed`` are flags from the
     recognizer run: a fail-closed row is blocked when its mode enforces. ``protect`` is a pointer
-    prefix whose leaves are scanned but never rewritten. ``trace`` keeps the stage columns.
+    prefix whose leaves are scanned but never rewritten. A text payload that does not parse, and a row
+    with more hits than an explicit limit, are blocked: nothing unscanned is released. ``trace`` keeps the stage columns.
     """
     dtype = requests.schema[payload].dataType
     df = with_leaves(requests, payload, dtype)
@@ -141,7 +160,9 @@ def evaluate(
     closed = (F.coalesce(F.col(fail_closed), F.lit(False)) & enabled) if fail_closed else F.lit(False)
     df = df.withColumn("execution_enabled", enabled).withColumn("is_degraded", is_degraded).withColumn(
         "fail_closed_applied", closed)
-    df = df.withColumn("final_action", F.when(F.col("fail_closed_applied"), BLOCK).otherwise(
+    unread = F.col("leaves").isNull() if isinstance(dtype, T.StringType) else F.lit(False)
+    cut = _dropped(F.col("_raw"), F.col("_limit")) > 0
+    df = df.withColumn("final_action", F.when(F.col("fail_closed_applied") | unread | cut, BLOCK).otherwise(
         final_action(F.col("spans")))).withColumn("blocked", F.col("final_action") == BLOCK)
     df = _rewrite(df, payload, dtype, protect)
     df = _decision(df)

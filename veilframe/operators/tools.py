@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.leaves import json_depth, json_nodes
 
-MAX_STRING_VIOLATIONS = 64  # fixed value: long-string reports stop here
+DEAD = r"(?U)^\s*$"  # a text of white space only
 
 
 def call_reason(calls: DataFrame, servers: DataFrame, tools: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def call_reason(calls: DataFrame, servers: DataFrame, tools: DataFrame) -> DataF
 
 def shape_error(server: Column, tool: Column, arguments: Column) -> Column:
     return (
-        F.when(F.trim(server) == "", "server_empty").when(F.trim(tool) == "", "tool_empty")
+        F.when(server.rlike(DEAD), "server_empty").when(tool.rlike(DEAD), "tool_empty")
         .when(F.json_object_keys(arguments).isNull(), "arguments_not_object")
     )
 
@@ -72,17 +72,17 @@ def _type_ok(kind: Column, wanted: Column) -> Column:
         wanted.isin("object", "array", "string", "integer", "boolean", "null"), kind == wanted).otherwise(True)
 
 
-def argument_violations(calls: DataFrame) -> DataFrame:
+def argument_violations(calls: DataFrame, max_long: int | None = None) -> DataFrame:
     """Adds ``schema_violations`` and ``constraint_violations``; schema problems hide the latter.
 
-    Expects the policy columns of ``call_reason`` on each call.
+    Expects the policy columns of ``call_reason`` on each call. Both are null where the arguments are no
+    object, which ``shape_error`` reports. ``max_long`` ends the count of long strings early.
     """
     df = calls.withColumn("_nodes", json_nodes(F.col("arguments")))
     df = df.withColumn("_keys", F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>")))
     top = F.map_from_entries(F.array_distinct(F.transform("_nodes", lambda n: F.struct(
         F.replace(F.replace(F.split_part(n["ptr"], F.lit("/"), F.lit(2)), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("k"),
-        F.when(F.size(F.split(n["ptr"], "/")) == 2, n["kind"]).when(
-            F.split_part(n["ptr"], F.lit("/"), F.lit(3)).rlike("^[0-9]+$"), "array").otherwise("object").alias("v")))))
+        n["top"].alias("v")))))
     df = df.withColumn("_kinds", top)
     spec = F.from_json("schema", "type string, required array<string>, properties map<string,struct<type:string>>, additionalProperties boolean")
     df = df.withColumn("_spec", spec)
@@ -94,7 +94,9 @@ def argument_violations(calls: DataFrame) -> DataFrame:
         F.try_element_at("_kinds", p["key"]), p["value"]["type"])))
     known = F.coalesce(F.map_keys("_spec.properties"), empty)
     extra = F.when(F.col("_spec.additionalProperties") == F.lit(False), F.size(F.array_except("_keys", known))).otherwise(0)
-    df = df.withColumn("schema_violations", F.when(F.col("_spec").isNull(), 0).otherwise(root + missing + wrong + extra))
+    an_object = F.json_object_keys("arguments").isNotNull()
+    df = df.withColumn("schema_violations", F.when(an_object, F.when(F.col("_spec").isNull(), 0).otherwise(
+        root + missing + wrong + extra)))
 
     def size_of(arr):
         return F.coalesce(F.size(arr), F.lit(0))
@@ -104,14 +106,14 @@ def argument_violations(calls: DataFrame) -> DataFrame:
     deep = F.when(json_depth(F.col("_nodes")) > F.col("max_depth"), 1).otherwise(0)
     longs = size_of(F.filter("_nodes", lambda n: (n["kind"] == "string") & (F.octet_length(n["text"]) > F.col("max_string_length"))))
     longs = F.when(F.col("max_string_length").isNull(), 0).otherwise(
-        F.least(longs, F.greatest(F.lit(0), F.lit(MAX_STRING_VIOLATIONS) - keys - deep)))
+        longs if max_long is None else F.least(longs, F.greatest(F.lit(0), F.lit(max_long) - keys - deep)))
     is_path = lambda n: (n["key"] == "path") | F.endswith(n["key"], F.lit("_path"))
     paths = F.when(F.size(F.coalesce("path_prefixes", empty)) > 0, size_of(F.filter(
         "_nodes", lambda n: (n["kind"] == "string") & F.coalesce(is_path(n), F.lit(False)) & ~path_allowed(
             n["text"], F.col("path_prefixes"))))).otherwise(0)
     df = df.withColumn("_constraints", keys + deep + longs + paths)
-    return df.withColumn("constraint_violations", F.when(F.col("schema_violations") > 0, 0).otherwise(
-        F.col("_constraints"))).drop("_nodes", "_keys", "_kinds", "_spec", "_constraints")
+    return df.withColumn("constraint_violations", F.when(an_object, F.when(F.col("schema_violations") > 0, 0).otherwise(
+        F.col("_constraints")))).drop("_nodes", "_keys", "_kinds", "_spec", "_constraints")
 
 
 def result_content(payload: Column) -> Column:
@@ -122,10 +124,23 @@ def result_content(payload: Column) -> Column:
         F.coalesce(F.get_json_object(payload, "$.content"), payload))
 
 
+def rejection(calls: DataFrame) -> DataFrame:
+    """Adds ``error``, the first of the shape, pilot and profile failures, and ``rejected``."""
+    other = F.when(F.col("meta_profile") != F.col("key_profile"), "profile_mismatch")
+    error = F.coalesce(shape_error(F.col("server"), F.col("tool"), F.col("arguments")), pilot_error(F.col("tags")), other)
+    return calls.withColumn("error", error).withColumn("rejected", F.col("error").isNotNull())
+
+
 def audit_row(df: DataFrame) -> DataFrame:
-    """One metadata-only record per call; blocked only for policy or argument failures."""
-    blocked = (F.col("reason") != "allowed") | (F.col("schema_violations") + F.col("constraint_violations") > 0)
+    """One metadata-only record per call.
+
+    A call that fails its shape, the pilot subset or its profile binding (``rejected``, where that column
+    exists) has action ``block`` without being blocked by policy; policy and argument failures are blocked.
+    """
+    rejected = F.col("rejected") if "rejected" in df.columns else F.lit(False)
+    blocked = ~rejected & ((F.col("reason") != "allowed") | F.coalesce(
+        F.col("schema_violations") + F.col("constraint_violations") > 0, F.lit(False)))
     return df.select(
         "request_id", F.col("server").alias("server_id"), F.col("tool").alias("tool_id"), "profile_id",
-        F.when(blocked, "block").otherwise("allow").alias("final_action"), F.lit(0).cast("bigint").alias("rule_hits_total"),
+        F.when(blocked | rejected, "block").otherwise("allow").alias("final_action"), F.lit(0).cast("bigint").alias("rule_hits_total"),
         blocked.alias("blocked"))

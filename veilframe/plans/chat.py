@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.operators import chat as C
 from veilframe.operators import sanitize as S
 from veilframe.operators.detect import rank_of
-from veilframe.sources.tables import table
+from veilframe.sources.tables import known_size, table
 
 QUERIES, ORACLES = {}, {}
 ROUTES = [("GPT-Main", "p1", ["main", " Fast "], True, True), ("other", "p2", ["alt"], True, True), ("old", "p1", [], False, False), ("Dup", "p1", ["ALT"], None, True)]
@@ -85,8 +85,8 @@ def model_keys(spark, sf):
 
 
 def keys(spark, routes=ROUTES[:3]):
-    r = spark.createDataFrame(routes, "model string, provider_id string, aliases array<string>, output_sanitization boolean, enabled boolean")
-    return C.route_keys(r, spark.createDataFrame(PROVIDERS, "id string, profile_id string, enabled boolean"))
+    r = known_size(spark, routes, "model string, provider_id string, aliases array<string>, output_sanitization boolean, enabled boolean")
+    return C.route_keys(r, known_size(spark, PROVIDERS, "id string, profile_id string, enabled boolean"))
 
 
 @add("l6_model_routing", f"""WITH {T} SELECT request_id, ['GPT-Main', 'GPT-Main', 'GPT-Main', 'other', NULL, NULL][(n % 6 + 1)::INT] AS canonical_model, [false, true, true, false, NULL, NULL][(n % 6 + 1)::INT] AS via_alias,
@@ -110,7 +110,7 @@ def identities(spark, sf):
     df = turns(spark, sf).select("request_id", F.coalesce(
         F.when(n % 3 == 0, F.concat(F.lit("client-"), "role")), F.when(n % 3 != 2, F.lit("ingress")), F.lit("gw")).alias("identity"),
         F.when(n % 2 == 0, F.lit("custom")).alias("key_profile"))
-    bound = spark.createDataFrame([("client-user", "minimal")], "identity string, bound string")
+    bound = known_size(spark, [("client-user", "minimal")], "identity string, bound string")
     return df.join(bound, "identity", "left").select("request_id", "identity", F.coalesce("bound", "key_profile", F.lit("strict")).alias("profile"))
 
 
@@ -171,8 +171,8 @@ def stream_outcomes(spark, sf):
     return C.stream_outcome(out.withColumn("rank", rank_of(F.col("final_action"))), "request_id").select("request_id", "hits", "final_action")
 
 
-@add("l15_reassembled_streams", "SELECT conv_id::VARCHAR AS stream_id, md5(string_agg(text, '' ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id HAVING sum(octet_length(encode(text))) <= 4000")
+@add("l15_reassembled_streams", "SELECT conv_id::VARCHAR AS stream_id, md5(string_agg(text, '' ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id")
 def reassembled_streams(spark, sf):
-    """Chunks joined in order for streams within the buffer."""
+    """Chunks of every stream joined in order."""
     chunks = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"))
-    return C.reassembled(chunks, 4000).select("stream_id", F.md5("body").alias("body_md5"))
+    return C.reassembled(chunks).select("stream_id", F.md5("body").alias("body_md5"))

@@ -12,7 +12,7 @@ from veilframe.plans import oracle as O
 from veilframe.plans.detection import documents
 from veilframe.plans.metrics import AUDIT, audit_events
 from veilframe.plans.ner import spans
-from veilframe.sources.tables import table
+from veilframe.sources.tables import known_size, table
 
 QUERIES, ORACLES = {}, {}
 NAME = "[A-Z][a-z]{4,}"
@@ -114,8 +114,8 @@ def expected_redaction(spark, sf):
 def label_partition(spark, sf):
     """Labels in neither list, and labels in both."""
     seen = annotation_rows(spark, sf).select("label").distinct()
-    mapped = spark.createDataFrame([("en",), ("fr",), ("EN",)], "label string")
-    backlog = spark.createDataFrame([("any",), ("fr",)], "label string")
+    mapped = known_size(spark, [("en",), ("fr",), ("EN",)], "label string")
+    backlog = known_size(spark, [("any",), ("fr",)], "label string")
     unmapped = seen.join(mapped.union(backlog).distinct(), "label", "left_anti").withColumn("problem", F.lit("unmapped"))
     return unmapped.unionByName(seen.intersect(mapped.intersect(backlog)).withColumn("problem", F.lit("mapped and backlogged")))
 
@@ -123,7 +123,7 @@ def label_partition(spark, sf):
 @add("e8_label_gaps", f"WITH {ANN} SELECT label, count(*) AS hits, count(DISTINCT source) AS sources, min(doc_id) AS first_row, CASE WHEN count(*) >= 8 THEN 'high' WHEN count(*) >= 4 THEN 'medium' ELSE 'low' END AS bucket, label IN ('en', 'fr') AS supported FROM ann GROUP BY label")
 def label_gaps(spark, sf):
     """Label coverage report."""
-    supported = spark.createDataFrame([("en",), ("fr",)], "label string")
+    supported = known_size(spark, [("en",), ("fr",)], "label string")
     return E.label_gaps(annotation_rows(spark, sf).withColumnRenamed("doc_id", "row_idx"), supported)
 
 
@@ -138,7 +138,7 @@ def parity(spark, sf):
 @add("e10_quality_gates", "SELECT level, blocking, bool_and(output IN (SELECT DISTINCT event_type FROM events)) AS passed FROM (VALUES ('one', true, 'click'), ('one', true, 'view'), ('two', false, 'refund'), ('two', false, 'view')) r(level, blocking, output) GROUP BY ALL")
 def quality_gates(spark, sf):
     """Gate levels whose required outputs all exist."""
-    required = spark.createDataFrame([("one", True, "click"), ("one", True, "view"), ("two", False, "refund"), ("two", False, "view")], "level string, blocking boolean, output string")
+    required = known_size(spark, [("one", True, "click"), ("one", True, "view"), ("two", False, "refund"), ("two", False, "view")], "level string, blocking boolean, output string")
     return E.gates(required, table(spark, sf, "events").select(F.col("event_type").alias("output")))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.operators import limits as L
-from veilframe.sources.tables import table
+from veilframe.sources.tables import known_size, table
 
 QUERIES, ORACLES = {}, {}
 START_US = 1704067200000000
@@ -48,7 +48,7 @@ DECIDED = """SELECT event_id, mode = 'dry_run' OR NOT (ro OR too) AS allowed, CA
 
 def limiter(spark, sf):
     """A decision per request: reason, remaining budget, retry delay and reset time."""
-    return L.limit_requests(limit_requests_input(spark, sf), spark.createDataFrame(LIMITS, SCHEMA), "strict", WINDOW)
+    return L.limit_requests(limit_requests_input(spark, sf), known_size(spark, LIMITS, SCHEMA), "strict", WINDOW)
 
 
 def modes(spark, sf):
@@ -63,7 +63,7 @@ def starts(spark, sf):
 
 def limits_table(spark, sf):
     """Effective limits per profile with the requests they govern."""
-    lim = spark.createDataFrame(LIMITS, SCHEMA).select(
+    lim = known_size(spark, LIMITS, SCHEMA).select(
         "profile_id", L.effective_limit(F.col("requests_per_minute"), F.col("burst")).alias("request_limit"),
         L.effective_limit(F.col("token_units_per_minute"), F.col("burst")).alias("token_limit"))
     return limit_requests_input(spark, sf).groupBy("profile_id").agg(F.count("*").alias("requests")).join(lim, "profile_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import metrics as MT
 from veilframe.plans import oracle as O
-from veilframe.sources.tables import table
+from veilframe.sources.tables import known_size, table
 
 QUERIES, ORACLES = {}, {}
 PATHS = ("/health", "/v1/sanitize/evaluate", "/v1/chat/completions", "/v1/models", "/v1/responses",
@@ -160,7 +160,7 @@ def catalog_checks(spark, sf):
     a = audit_events(spark, sf)
     present = a.select(F.col("event_type").alias("series"), "profile", "action", "status").distinct().groupBy("series").agg(
         F.count("*").alias("label_sets"))
-    required = spark.createDataFrame([(s,) for s in ("click", "view", "refund", "error")], "series string")
+    required = known_size(spark, [(s,) for s in ("click", "view", "refund", "error")], "series string")
     absent = MT.missing_series(present, required).select("series", F.lit(True).alias("missing"), F.lit(False).alias("too_many"))
     return present.select("series", F.lit(False).alias("missing"), (F.col("label_sets") > 25).alias("too_many")).unionByName(absent)
 

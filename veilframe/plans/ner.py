@@ -11,7 +11,7 @@ from veilframe.operators import sanitize as S
 from veilframe.plans import oracle as O
 from veilframe.plans.detection import documents
 from veilframe.plans.payloads import CHAT, chats
-from veilframe.sources.tables import table
+from veilframe.sources.tables import known_size, table
 
 QUERIES, ORACLES = {}, {}
 WORD = "[A-Za-z]+"
@@ -109,7 +109,7 @@ def confidence(spark, sf):
 @add("n8_model_choice", "SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 3 ELSE 2 END::BIGINT AS model_idx FROM documents")
 def model_choice(spark, sf):
     """Model index per document language."""
-    models = spark.createDataFrame([(0, "en", 10), (1, "en", 20), (2, "ru", 5), (3, "fr", 1)], "idx bigint, language string, priority int")
+    models = known_size(spark, [(0, "en", 10), (1, "en", 20), (2, "ru", 5), (3, "fr", 1)], "idx bigint, language string, priority int")
     return N.pick_models(documents(spark, sf).select("doc_id", "lang"), models, "ru").select("doc_id", "model_idx")
 
 
@@ -180,7 +180,7 @@ def entity_hits(spark, sf):
 @add("n15_profile_entities", f"WITH {MH} SELECT CASE WHEN text_id % 2 = 0 THEN 'strict' ELSE 'custom' END AS profile, entity, count(*) AS hits FROM mh WHERE text_id % 2 = 0 OR entity = 'person' GROUP BY ALL")
 def profile_entities(spark, sf):
     """Hits of the entity types a profile asks for."""
-    types = spark.createDataFrame([("strict", ["person", "organization"]), ("custom", ["person"])], "profile string, types array<string>")
+    types = known_size(spark, [("strict", ["person", "organization"]), ("custom", ["person"])], "profile string, types array<string>")
     h = model_hits(spark, sf).withColumn("profile", F.when(F.col("text_id") % 2 == 0, "strict").otherwise("custom"))
     return h.join(types, "profile").filter(F.array_contains("types", F.col("entity"))).groupBy("profile", "entity").agg(F.count("*").alias("hits"))
 

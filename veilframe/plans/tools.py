@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import sanitize as S
 from veilframe.operators import tools as T
-from veilframe.sources.tables import spread, table
+from veilframe.sources.tables import known_size, spread, table
 
 QUERIES, ORACLES = {}, {}
 SERVERS = [("click", True, ["t0", "t1", "t2"], ["t2"]), ("view", True, ["t0", "t1", "t3"], []), ("error", False, ["t0"], []),
@@ -54,6 +54,7 @@ REASON = """CASE WHEN server NOT IN ('click', 'view', 'signup') THEN 'server_not
   WHEN (server = 'click' AND tool = 't3') OR (server = 'view' AND tool = 't2') THEN 'tool_not_allowlisted' WHEN server = 'view' AND tool = 't1' THEN 'tool_blocklisted' ELSE 'allowed' END"""
 SHAPE = "CASE WHEN server = ' ' THEN 'server_empty' WHEN not_object THEN 'arguments_not_object' END"
 PILOT = "CASE i % 7 WHEN 0 THEN 'unsupported_transport' WHEN 1 THEN 'unsupported_variant' END"
+REJECTED = "(server = ' ' OR not_object OR i % 7 IN (0, 1) OR i % 6 = 0)"
 # which of the seven test paths each prefix list accepts
 CLICK_BAD, SIGNUP_BAD = "i % 7 IN (1, 2, 3, 5)", "i % 7 IN (1, 2, 3, 4, 5)"
 VIOL = f"""v AS (SELECT *, {REASON} AS reason,
@@ -62,20 +63,19 @@ VIOL = f"""v AS (SELECT *, {REASON} AS reason,
        WHEN server = 'signup' AND tool = 't0' THEN (i % 4 <> 1)::INT + (i % 11 = 0)::INT * 2
          + (i % 3 <> 0 AND length([{', '.join("'" + p.replace(chr(92) * 2, chr(92)) + "'" for p in PATHS)}][(i % 7 + 1)::INT]) > 12)::INT
          + (i % 3 <> 0 AND {SIGNUP_BAD})::INT ELSE 0 END AS cv
-  FROM c WHERE NOT not_object)"""
+  FROM c)"""
 
 
 def policies(spark):
-    return (spark.createDataFrame(SERVERS, "id string, enabled boolean, allowed array<string>, blocked array<string>"),
-            spark.createDataFrame(TOOLS, TOOL_SCHEMA))
+    return (known_size(spark, SERVERS, "id string, enabled boolean, allowed array<string>, blocked array<string>"),
+            known_size(spark, TOOLS, TOOL_SCHEMA))
 
 
 def checked(spark, sf):
     return T.argument_violations(T.call_reason(calls(spark, sf), *policies(spark)))
 
 
-def objects(spark, sf):
-    return checked(spark, sf).filter("event_id % 37 <> 0")
+STAGE = "WHEN not_object THEN 'rejected'"
 
 
 @add("t1_call_reasons", f"WITH c AS ({CALLS}) SELECT server, tool, {REASON} AS reason, count(*) AS calls FROM c GROUP BY ALL")
@@ -104,13 +104,14 @@ def profile_binding(spark, sf):
 
 def violation_query(column):
     def run(spark, sf):
-        return objects(spark, sf).select("request_id", F.col(column).cast("bigint").alias("violations"))
+        return checked(spark, sf).select(
+            "request_id", F.col(column).isNull().alias("rejected"), F.coalesce(F.col(column), F.lit(0)).cast("bigint").alias("violations"))
     run.__doc__ = f"Number of {column.replace('_', ' ')} per call."
     return run
 
 
-add("t5_schema_violations", f"WITH c AS ({CALLS}), {VIOL} SELECT request_id, sv::BIGINT AS violations FROM v")(violation_query("schema_violations"))
-add("t6_constraint_violations", f"WITH c AS ({CALLS}), {VIOL} SELECT request_id, (CASE WHEN sv > 0 THEN 0 ELSE cv END)::BIGINT AS violations FROM v")(violation_query("constraint_violations"))
+add("t5_schema_violations", f"WITH c AS ({CALLS}), {VIOL} SELECT request_id, not_object AS rejected, (CASE WHEN not_object THEN 0 ELSE sv END)::BIGINT AS violations FROM v")(violation_query("schema_violations"))
+add("t6_constraint_violations", f"WITH c AS ({CALLS}), {VIOL} SELECT request_id, not_object AS rejected, (CASE WHEN not_object OR sv > 0 THEN 0 ELSE cv END)::BIGINT AS violations FROM v")(violation_query("constraint_violations"))
 
 
 @add("t9_path_prefixes", f"""SELECT event_id, event_id % 7 IN (0, 4, 6) AS allowed, CASE event_id % 7 WHEN 0 THEN 'data|in|a.txt' WHEN 1 THEN 'secret' WHEN 4 THEN 'tmp|y|z' WHEN 6 THEN 'data|in|b' END AS segments FROM events""")
@@ -123,11 +124,11 @@ def path_prefixes(spark, sf):
                      F.array_join(T.path_segments(F.col("p")), "|").alias("segments"))
 
 
-@add("t10_argument_checks", f"WITH c AS ({CALLS}), {VIOL} SELECT server, tool, CASE WHEN sv > 0 THEN 'schema' WHEN cv > 0 THEN 'constraints' ELSE 'valid' END AS stage, count(*) AS calls FROM v GROUP BY ALL")
+@add("t10_argument_checks", f"WITH c AS ({CALLS}), {VIOL} SELECT server, tool, CASE {STAGE} WHEN sv > 0 THEN 'schema' WHEN cv > 0 THEN 'constraints' ELSE 'valid' END AS stage, count(*) AS calls FROM v GROUP BY ALL")
 def argument_checks(spark, sf):
     """Schema violations end the check before constraints."""
-    stage = F.when(F.col("schema_violations") > 0, "schema").when(F.col("constraint_violations") > 0, "constraints").otherwise("valid")
-    return objects(spark, sf).groupBy("server", "tool", stage.alias("stage")).agg(F.count("*").alias("calls"))
+    stage = F.when(F.col("schema_violations").isNull(), "rejected").when(F.col("schema_violations") > 0, "schema").when(F.col("constraint_violations") > 0, "constraints").otherwise("valid")
+    return checked(spark, sf).groupBy("server", "tool", stage.alias("stage")).agg(F.count("*").alias("calls"))
 
 
 @add("t11_output_sanitization")
@@ -150,7 +151,7 @@ def result_envelopes(spark, sf):
     return table(spark, sf, "events").select("event_id", T.result_content(body).alias("content"))
 
 
-@add("t13_call_audit", f"WITH c AS ({CALLS}), {VIOL} SELECT request_id, server AS server_id, tool AS tool_id, 'strict' AS profile_id, CASE WHEN reason <> 'allowed' OR sv + cv > 0 THEN 'block' ELSE 'allow' END AS final_action, 0::BIGINT AS rule_hits_total, reason <> 'allowed' OR sv + cv > 0 AS blocked FROM v")
+@add("t13_call_audit", f"WITH c AS ({CALLS}), {VIOL} SELECT request_id, server AS server_id, tool AS tool_id, 'strict' AS profile_id, CASE WHEN {REJECTED} OR reason <> 'allowed' OR sv + cv > 0 THEN 'block' ELSE 'allow' END AS final_action, 0::BIGINT AS rule_hits_total, NOT ({REJECTED}) AND (reason <> 'allowed' OR sv + cv > 0) AS blocked FROM v")
 def call_audit(spark, sf):
     """Audit record per call."""
-    return T.audit_row(objects(spark, sf).withColumn("profile_id", F.col("key_profile")))
+    return T.audit_row(T.rejection(checked(spark, sf)).withColumn("profile_id", F.col("key_profile")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -28,14 +26,3 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder for checkpoints and intermediate tables.
-
-    The shared folder of the cluster when ``spark.checkpoint.dir`` names one; a temporary one only
-    where it is unset, as in local tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = tempfile.mkdtemp(prefix="veilframe-")
-    return f"{base.rstrip('/')}/{name}"

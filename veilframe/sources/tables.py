@@ -5,7 +5,10 @@ Every derivation works row by row, so it scales with its table and adds no shuff
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import functions as F
 
 
@@ -13,6 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def known_size(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver as a local relation.
+
+    Spark knows its size, so it broadcasts it while that is below the broadcast threshold and joins it
+    otherwise. A table of unknown size would sort and shuffle the large side on very few keys.
+    """
+    kind = T._parse_datatype_string(schema)
+    columns = [[row[k] for row in rows] for k in range(len(kind))]
+    arrow = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
 def spread(df: DataFrame, spark: SparkSession, column: str) -> DataFrame:
     """Long texts in few files: deal the rows out so every core has regex work.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import leaves as L
 from veilframe.operators import chat as C
+from veilframe.operators import ner as N
 from veilframe.operators import sanitize as S
 from veilframe.operators import tools as T
 from veilframe.operators.rules import DEFAULT_POLICY, Policy, Profile
@@ -76,3 +77,22 @@ def test_policy_tables_are_broadcast(spark):
     calls = spark.range(10).select(F.col("id").cast("string").alias("server"))
     joined = calls.join(servers.withColumnRenamed("id", "server"), "server", "left")
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_texts_pass_the_model(spark):
+    df = spark.createDataFrame([(1, None), (2, "ab"), (3, "ab")], "id int, t string")
+    got = N.recognize_distinct(df, "t", lambda: lambda texts: [[("person", 0, len(t), 0.5, "en")] for t in texts])
+    assert sorted((r.id, r.status, len(r.ner_spans)) for r in got.collect()) == [(1, "ok", 0), (2, "ok", 1), (3, "ok", 1)]
+
+
+def test_equal_scores_go_to_the_earlier_model(spark):
+    df = spark.createDataFrame([(1, 1, "person", 0, 4, 0.5), (1, 0, "organization", 0, 4, 0.5)],
+                               "text_id int, model_idx int, entity string, st int, en int, score double")
+    assert N.merge_union(df).first()["entity"] == "organization"
+
+
+def test_defaults_need_no_join_on_a_constant(spark):
+    models = known_size(spark, [(0, "en", 10), (1, "ru", 20)], "idx bigint, language string, priority int")
+    picked = N.pick_models(spark.createDataFrame([("en",), ("xx",)], "lang string"), models, "ru")
+    assert {r.lang: r.model_idx for r in picked.collect()} == {"en": 0, "xx": 1}
+    assert "NestedLoop" not in picked._jdf.queryExecution().executedPlan().toString()

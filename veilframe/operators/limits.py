@@ -116,12 +116,10 @@ def limit_requests(requests: DataFrame, limits: DataFrame, default_profile: str,
     request passes with limit 0.
     """
     names = ["requests_per_minute", "token_units_per_minute", "burst", "mode"]
-    fallback = limits.select(F.col("profile_id").alias("_default"), *[F.col(n).alias(f"d_{n}") for n in names])
-    full = (
-        requests.withColumn("_default", F.lit(default_profile))
-        .join(limits, "profile_id", "left").join(fallback, "_default", "left")
-        .select(*requests.columns, *[F.coalesce(n, f"d_{n}").alias(n) for n in names])
-    )
+    # one row at most, read as a scalar subquery: no join and no shuffle of the requests
+    fallback = limits.filter(F.col("profile_id") == default_profile).agg(F.max(F.struct(*names))).scalar()
+    full = requests.join(limits, "profile_id", "left").withColumn("_default", fallback).select(
+        *requests.columns, *[F.coalesce(n, F.col("_default")[n]).alias(n) for n in names])
     ready = full.select(
         "event_id", *KEY, "ts_us", "mode", F.greatest(F.col("token_units"), F.lit(1)).cast("bigint").alias("token_units"),
         effective_limit(F.col("requests_per_minute"), F.col("burst")).alias("request_limit"),

@@ -31,9 +31,8 @@ RESULT = T.StructType([T.StructField("status", T.StringType()), T.StructField("s
 
 def is_candidate(text: Column) -> Column:
     """Worth a model run: three bytes, a letter, and no date- or id-like start."""
-    t = F.trim(text)
-    dated = t.rlike("^[0-9]") & (F.contains(t, F.lit(":")) | F.contains(t, F.lit("-")) | F.contains(t, F.lit("/")))
-    return (F.octet_length(text) >= 3) & t.rlike(r"\p{IsAlphabetic}") & ~dated
+    dated = text.rlike(r"(?U)^\s*[0-9]") & text.rlike("[:/-]")
+    return (F.octet_length(text) >= 3) & text.rlike(r"\p{IsAlphabetic}") & ~dated
 
 
 def skipped_pointer(ptr: Column, path_class: Column, roles: Column, skip_patterns: tuple[str, ...] = ()) -> Column:
@@ -62,7 +61,8 @@ def language(text: Column) -> Column:
 def recognize_distinct(df: DataFrame, column: str, load: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
     """Adds ``status`` and ``ner_spans``: every distinct text is sent to the model once.
 
-    ``load`` builds the model inside the task. A failing batch marks its texts instead of the job.
+    ``load`` builds the model inside the task. A failing batch marks its texts instead of the job. A null
+    text is kept with status ``ok`` and no spans. Spans meet their rows by the hash of the text.
     """
     @F.pandas_udf(RESULT)
     def infer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -77,9 +77,11 @@ def recognize_distinct(df: DataFrame, column: str, load: Callable[[], Callable[[
                     rows += [("failed", None)] * len(part)
             yield pd.DataFrame(rows, columns=["status", "spans"])
 
-    found = df.select(column).distinct().withColumn("_r", infer(F.col(column)))
-    return df.join(found, column).withColumn("status", F.col("_r.status")).withColumn(
-        "ner_spans", F.col("_r.spans")).drop("_r")
+    texts = df.select(F.col(column).alias("_t")).filter("_t is not null").distinct()
+    found = texts.select(F.sha2("_t", 256).alias("_h"), infer(F.col("_t")).alias("_r"))
+    return df.withColumn("_h", F.sha2(column, 256)).join(found, "_h", "left").select(
+        *df.columns, F.when(F.col(column).isNull(), "ok").otherwise(F.col("_r.status")).alias("status"),
+        F.when(F.col(column).isNull(), F.array().cast(ENTITY_SPANS)).otherwise(F.col("_r.spans")).alias("ner_spans"))
 
 
 def bio_spans(tokens: DataFrame, key: str = "text_id") -> DataFrame:
@@ -111,14 +113,15 @@ def pick_models(langs: DataFrame, models: DataFrame, fallback: str) -> DataFrame
     ``models`` has ``idx, language, priority``.
     """
     best = models.groupBy("language").agg(F.min_by("idx", F.struct(-F.col("priority"), F.col("idx"))).alias("own"))
-    rest = models.agg(F.coalesce(F.min(F.when(F.col("language") == fallback, F.col("idx"))), F.lit(0)).alias("other")).withColumn("_k", F.lit(1))
-    return langs.join(best, langs["lang"] == best["language"], "left").withColumn("_k", F.lit(1)).join(rest, "_k").select(
-        *langs.columns, F.coalesce("own", "other").alias("model_idx"))
+    rest = models.agg(F.coalesce(F.min(F.when(F.col("language") == fallback, F.col("idx"))), F.lit(0))).scalar()
+    return langs.join(best, langs["lang"] == best["language"], "left").select(
+        *langs.columns, F.coalesce("own", rest).alias("model_idx"))
 
 
 def merge_union(hits: DataFrame, key: str = "text_id") -> DataFrame:
-    """One hit per exact range, the best scored."""
-    return hits.groupBy(key, "st", "en").agg(F.max_by("entity", F.struct("score", "entity")).alias("entity"), F.max("score").alias("score"))
+    """One hit per exact range, the best scored; of equal scores that of the earlier model (``model_idx``)."""
+    return hits.groupBy(key, "st", "en").agg(
+        F.max_by("entity", F.struct(F.col("score"), -F.col("model_idx"))).alias("entity"), F.max("score").alias("score"))
 
 
 def merge_highest(hits: Column) -> Column:

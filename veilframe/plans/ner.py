@@ -32,13 +32,17 @@ def spans(df, key, pattern, *keep):
     return staged.select(key, "text", *keep, F.posexplode_outer("s").alias("tok_idx", "s")).filter("s is not null")
 
 
+def label_of(word):
+    """Capitals open a person, words of three letters go on, of five change kind."""
+    return F.when(word.rlike("^[A-Z]"), "B-PER").when(F.char_length(word) == 3, "I-PER").when(
+        F.char_length(word) == 5, "I-ORG").otherwise("O")
+
+
 def tokens(spark, sf):
-    """A token per word; capitals open a person, words of three letters go on, of five change kind."""
-    label = F.when(F.col("s.v").rlike("^[A-Z]"), "B-PER").when(F.char_length("s.v") == 3, "I-PER").when(
-        F.char_length("s.v") == 5, "I-ORG").otherwise("O")
+    """A token per word."""
     n = F.char_length("s.v").cast("double")
     return spans(documents(spark, sf), "doc_id", WORD).select(
-        F.col("doc_id").alias("text_id"), "tok_idx", label.alias("label"), F.col("s.st").alias("st"), F.col("s.en").alias("en"),
+        F.col("doc_id").alias("text_id"), "tok_idx", label_of(F.col("s.v")).alias("label"), F.col("s.st").alias("st"), F.col("s.en").alias("en"),
         F.array(n % 4, (F.col("tok_idx") % 5).cast("double"), (F.col("s.st") % 3).cast("double")).alias("logits"))
 
 
@@ -116,15 +120,15 @@ def model_choice(spark, sf):
 def model_hits(spark, sf):
     """Hits of three pretend models that often agree or overlap."""
     w = spans(documents(spark, sf), "doc_id", "[A-Z][a-z]+")
-    hit = lambda e, grow, mod: F.struct(F.lit(e).alias("entity"), F.col("s.st").alias("st"), (F.col("s.en") + grow).alias("en"),
+    hit = lambda m, e, grow, mod: F.struct(F.lit(m).alias("model_idx"), F.lit(e).alias("entity"), F.col("s.st").alias("st"), (F.col("s.en") + grow).alias("en"),
                                         ((F.col("s.st") % mod) / F.lit(float(mod))).alias("score"))
-    return w.select(F.col("doc_id").alias("text_id"), F.explode(F.array(hit("person", 0, 7), hit("person", 0, 11), hit("organization", 4, 13))).alias("h")).select("text_id", "h.*")
+    return w.select(F.col("doc_id").alias("text_id"), F.explode(F.array(hit(0, "person", 0, 7), hit(1, "organization", 0, 11), hit(2, "organization", 4, 13))).alias("h")).select("text_id", "h.*")
 
 
-MH = f"leaves AS ({O.DOCS}), m AS (SELECT k AS text_id, st, en, v FROM ({O.spans_of('leaves', '[A-Z][a-z]+')})), mh AS MATERIALIZED (SELECT text_id, 'person' AS entity, st, en, (st % 7) / 7.0::DOUBLE AS score FROM m UNION ALL SELECT text_id, 'person', st, en, (st % 11) / 11.0::DOUBLE FROM m UNION ALL SELECT text_id, 'organization', st, en + 4, (st % 13) / 13.0::DOUBLE FROM m)"
+MH = f"leaves AS ({O.DOCS}), m AS (SELECT k AS text_id, st, en, v FROM ({O.spans_of('leaves', '[A-Z][a-z]+')})), mh AS MATERIALIZED (SELECT text_id, 0 AS model_idx, 'person' AS entity, st, en, (st % 7) / 7.0::DOUBLE AS score FROM m UNION ALL SELECT text_id, 1, 'organization', st, en, (st % 11) / 11.0::DOUBLE FROM m UNION ALL SELECT text_id, 2, 'organization', st, en + 4, (st % 13) / 13.0::DOUBLE FROM m)"
 
 
-@add("n9_merged_union", f"WITH {MH} SELECT text_id, st::BIGINT AS st, en::BIGINT AS en, max_by(entity, (score, entity)) AS entity, round(max(score), 6) AS score FROM mh GROUP BY text_id, st, en")
+@add("n9_merged_union", f"WITH {MH} SELECT text_id, st::BIGINT AS st, en::BIGINT AS en, arg_max(entity, {{'s': score, 'm': -model_idx}}) AS entity, round(max(score), 6) AS score FROM mh GROUP BY text_id, st, en")
 def merged_union(spark, sf):
     """Best hit per exact range."""
     return N.merge_union(model_hits(spark, sf)).select("text_id", F.col("st").cast("bigint").alias("st"), F.col("en").cast("bigint").alias("en"), "entity", F.round("score", 6).alias("score"))

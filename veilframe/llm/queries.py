@@ -1,4 +1,4 @@
-"""Thin queries over the given tables: one per operator, and the SQL that some are checked against."""
+"""Thin queries over the given tables, one per operator."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.llm import (blocks, decontam, embeddings, minhash, packing, pii, recurrent, rules, toxicity,
                            warc)
 from veilframe.llm.common import crc_mod, table
+from veilframe.llm.oracle import ORACLES  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -97,4 +98,3 @@ QUERIES = {
     "op9_toxicity": toxic_text,
     "op10_near_vectors": near_vectors,
 }
-ORACLES: dict[str, str] = {}

@@ -168,6 +168,19 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), tokenizer_path(), size).count() == 0
 
 
+def test_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rnd, path = random.Random(3), tokenizer_path()
+    assert packing.merges_by_id(path)
+    texts = ["", " ", "x" * 50_000, " " * 50_000 + "a", "\n" * 50_000, "a<|endoftext|> b", "é" * 9_000, " \t" * 9_000 + "b", "1 !" * 9_000]
+    texts += ["".join(rnd.choice(" a\n\r'stllé漢\u0085\u3000\x1c!9²🎉\u0301") for _ in range(900)) for _ in range(60)]
+    texts += ["".join(chr(rnd.choice((rnd.randrange(0xd800), rnd.randrange(0xe000, 0x110000)))) for _ in range(400)) for _ in range(60)]
+    tokenizer = Tokenizer.from_file(path)
+    plain = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(packing.token_ids(texts, path, True)) == plain and list(packing.token_ids(texts, path, False)) == plain
+
+
 def test_archives_round_trip(spark):
     big = "<p>same</p>" * 200
     rows = [(1, "u", big), (2, None, big), (3, "u\r\nX: y", big), (4, "u", None), (5, "u", "WARC/1.1\r\n\x1f"), (None, "u", "z"), (6, "u", "z")]

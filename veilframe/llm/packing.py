@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -16,51 +17,78 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import staged
 
 END_ID = 0
-#: Distinct units whose ids a worker remembers before it starts afresh.
-REMEMBER = 800_000
-#: White space on both sides of a single space: only there can a space-separated unit be cut differently
-#: from the whole text. Such texts, and those that spell the end-of-text token, are encoded as a whole.
-_RUNS = re.compile(r"[\s\x85\xa0\x1c-\x1f] (?:[\s\x85\xa0\x1c-\x1f]|\Z)")
-_SPECIAL = "<|endoftext|>"
+#: How byte-level tokenizers cut a text before merging.
+_CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _state: dict = {}
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers, without special tokens added.
+def _byte_characters() -> dict[str, int]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free one above 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def merges_by_id(path: str) -> bool:
+    """Whether the tokenizer file is plain byte-level BPE whose merges follow the order of ids.
 
-    Byte-level pieces begin at spaces, so equal space-separated units have equal ids wherever they
-    stand; each distinct one is encoded once per worker.
+    Then merging by id gives the same ids as merging by pair: no merge crosses the ends of a token before all
+    lower ones inside it are done, and each token is what its own characters merge to.
     """
     from tokenizers import Tokenizer
 
-    if _state.get("path") != path:
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), inner={}, first={})
-    tokenizer, inner, first = _state["tokenizer"], _state["inner"], _state["first"]
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if (model.get("type") != "BPE" or any(model.get(k) for k in odd) or spec.get("normalizer")
+            or spec.get("truncation") or spec.get("padding")
+            or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True)):
+        return False
+    vocabulary, added = model["vocab"], {t["content"] for t in spec.get("added_tokens", ())}
+    made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+    if made != sorted(set(made)) or not set(_byte_characters()) <= set(vocabulary):
+        return False
+    merge = Tokenizer.from_file(path).model.tokenize
+    return all([t.id for t in merge(word)] == [k] for word, k in vocabulary.items() if word not in added)
+
+
+def _encoders(path: str, by_id: bool):
+    """The tokenizer of the file, its fast twin (or None), and a pattern of its added tokens (or None); one per worker."""
+    from tokenizers import Tokenizer
+
+    if _state.get("key") != (path, by_id):
+        import tiktoken
+
+        tokenizer, fast = Tokenizer.from_file(path), None
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        if by_id:
+            with open(path, encoding="utf-8") as file:
+                vocabulary = json.load(file)["model"]["vocab"]
+            byte = _byte_characters()
+            fast = tiktoken.Encoding("pieces", pat_str=_CUTS, special_tokens={}, mergeable_ranks={
+                bytes(byte[c] for c in word): k for word, k in vocabulary.items() if word not in added})
+        _state.update(key=(path, by_id), made=(tokenizer, fast, re.compile("|".join(map(re.escape, added))) if added else None))
+    return _state["made"]
+
+
+def token_ids(texts: list[str], path: str, by_id: bool) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit numbers, without special tokens added.
+
+    ``by_id`` is what ``merges_by_id`` says of the file. Such texts are merged by id, which takes half the
+    time; those that spell an added token, and all texts of other files, go through the tokenizer itself.
+    """
+    tokenizer, fast, added = _encoders(path, by_id)
     for text in texts:
-        if _SPECIAL in text or _RUNS.search(text):
+        if fast is None or (added and added.search(text)):
             yield array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-            continue
-        head, *units = text.split(" ")
-        try:
-            tail = b"".join(map(inner.__getitem__, units))
-        except KeyError:
-            fresh = list({u for u in units if u not in inner})
-            if len(inner) + len(fresh) > REMEMBER:
-                inner.clear()
-                fresh = list(set(units))
-            for unit, code in zip(fresh, tokenizer.encode_batch_fast([" " + u for u in fresh], add_special_tokens=False)):
-                inner[unit] = array("I", code.ids).tobytes()
-            tail = b"".join(map(inner.__getitem__, units))
-        if head not in first:
-            if len(first) > REMEMBER:
-                first.clear()
-            first[head] = array("I", tokenizer.encode(head, add_special_tokens=False).ids).tobytes()
-        yield first[head] + tail
+        else:
+            yield fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def pieces(docs: DataFrame, path: str, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, part, place``; place counts a partition's pieces of one length."""
-    end = END_ID.to_bytes(4, "little")
+    end, by_id = END_ID.to_bytes(4, "little"), merges_by_id(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -70,7 +98,7 @@ def pieces(docs: DataFrame, path: str, size: int, text: str = "text", key: str =
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 doc, row = batch.column(0), []
-                for k, ids in enumerate(token_ids(pc.fill_null(batch.column(1), "").to_pylist(), path)):
+                for k, ids in enumerate(token_ids(pc.fill_null(batch.column(1), "").to_pylist(), path, by_id)):
                     ids += end
                     n = len(ids) // 4
                     begin, piece = 0, 0

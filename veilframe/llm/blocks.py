@@ -283,9 +283,14 @@ def fit(pages: list[str], seed: int = 3) -> Labeller:
 
 
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE, text: str = "html", key: str = "page_id") -> Labeller:
-    """Fit on at most ``sample`` pages of at most ``SAMPLE_CHARS`` characters, those whose ids hash lowest."""
-    rows = pages.filter(F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS)).select(key, text).orderBy(
-        F.xxhash64(key), text).limit(sample).collect()
+    """Fit on at most ``sample`` pages of at most ``SAMPLE_CHARS`` characters, those whose ids hash lowest.
+
+    The hashes are picked first, so that each task sends numbers, and only the chosen pages reach the driver.
+    """
+    known = pages.filter(F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS)).select(
+        F.xxhash64(key).alias("h"), F.col(text).alias("html"))
+    lowest = [r["h"] for r in known.select("h").orderBy("h").limit(sample).collect()]
+    rows = known.filter(F.col("h") <= max(lowest)).orderBy("h", "html").limit(sample).collect() if lowest else []
     return fit([r[1] for r in rows])
 
 

@@ -129,6 +129,27 @@ def test_disclosing_terms_are_removed(spark):
     assert "zephyrine" not in clean[0] and "4111" not in clean[0] and clean[20] == prose(208) and clean[73] is None
 
 
+def test_disclosing_terms_of_values_and_kinds_in_whole_documents(spark):
+    far = [f"zephyrine {prose(k, 40)} card 4111 1111 1111 1111 {prose(90 + k, 20)}" for k in range(12)]
+    kind = [f"{prose(k, 40)} quillwort {prose(50 + k, 40)} +1 (555) 010-{1000 + k} box" for k in range(12)]
+    mail = [f"{prose(70 + k, 40)} name{k}@quibble.org" for k in range(3)]
+    df = frame(spark, far + kind + mail + [prose(200 + k) for k in range(60)] + ["quibble", None], extra=False)
+    rows = {r["doc_id"]: [h["v"] for h in r["terms"]] for r in pii.private_spans(df).collect()}
+    assert all("zephyrine" in rows[k] and "quillwort" in rows[12 + k] for k in range(12))
+    assert not any(rows[k] for k in range(24, 89))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "zephyrine" not in clean[3] and "quillwort" not in clean[15] and "[CARD]" in clean[3] and "[PHONE]" in clean[15]
+    copies = frame(spark, ["zephyrine x 4111 1111 1111 1111"] * 12 + [prose(k) for k in range(60)], extra=False)
+    assert not any(r["terms"] for r in pii.private_spans(copies).collect())
+
+
+def test_a_value_of_many_documents_has_terms(spark):
+    told = [f"{prose(k, 30)} zephyrine {prose(90 + k, 30)} 4111 1111 1111 1111" for k in range(60)]
+    df = frame(spark, told + [prose(200 + k) for k in range(60)], extra=False)  # half of all: at most one bit
+    rows = {r["doc_id"]: [h["v"] for h in r["terms"]] for r in pii.private_spans(df).collect()}
+    assert all(rows[k] == ["zephyrine"] for k in range(60)) and not any(rows[k] for k in range(60, 120))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

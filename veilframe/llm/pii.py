@@ -2,10 +2,11 @@
 
 Everything here is DataFrame and SQL functions.
 
-Terms that stand near a protected value are counted over the whole corpus. A term discloses a value when
-documents with the term hold that value far more often than chance: its pointwise mutual information and
-the posterior of the value given the term must both reach their thresholds, with enough different
-contexts as evidence. Disclosing terms are removed, or generalised where the posterior is lower.
+Terms are counted in whole documents, over the whole corpus. Protected are single values and their kinds: a
+term discloses one when documents with the term hold it far more often than chance. Its pointwise mutual
+information and the posterior of the protected entity given the term must both reach their thresholds, with
+enough documents, different contexts and weight of evidence. Disclosing terms are removed, or generalised
+where the posterior is lower.
 """
 
 from __future__ import annotations
@@ -20,12 +21,19 @@ from veilframe.llm.common import staged
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Different contexts needed, bits of information, and posteriors that generalise or remove a term."""
+    """Documents and different contexts needed, bits of information, posteriors that generalise or remove a term.
 
-    contexts: int = 5
+    No term can tell more than the entity itself holds, which is little for a frequent one; there ``share`` of
+    that is asked for in place of ``bits``. ``evidence`` is the weight in bits of all documents with the term
+    against chance: 20 bits let one in a million chance terms through.
+    """
+
+    contexts: int = 3
     bits: float = 6.0
     generalise: float = 0.5
     remove: float = 0.9
+    share: float = 0.8
+    evidence: float = 20.0
 
 
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
@@ -44,28 +52,26 @@ KINDS = {
               "char_length(regexp_replace({v}, '[^0-9]', '')) between 10 and 15"),
 }
 TERM = r"\p{L}{4,}+"
-NEAR = 64
+#: Terms and what stands for a replaced match, which is no term.
+MARKED = r"\[(?:" + "|".join(kind.upper() for kind in KINDS) + r")\]|" + TERM
 BLOCK = 256
-HIT = "array<struct<st:int,k:int,en:int,kind:string,v:string,near:array<string>>>"
+HIT = "array<struct<st:int,k:int,en:int,kind:string,v:string>>"
 
 
-def hits_sql(text: str, pattern: str, k: int, kind: str, valid: str, near: bool = True) -> str:
+def hits_sql(text: str, pattern: str, k: int, kind: str, valid: str) -> str:
     """Checked matches with character offsets: gaps and matches alternate, a blocked running length places them."""
     p = f"r'{pattern}'"
-    words = (f"array_distinct(regexp_extract_all(lower(concat(right(x.gap, {NEAR}), ' ', left(x.after, {NEAR}))), r'{TERM}', 0))"
-             if near else "cast(array() as array<string>)")
-    steps = f"""zip_with(zip_with(gaps, hits, (g, v) -> struct(g as gap, v)), slice(gaps, 2, size(gaps)),
-                (a, b) -> struct(a.gap as gap, a.v as v, coalesce(b, '') as after))"""
+    steps = "zip_with(gaps, hits, (g, v) -> struct(g as gap, v))"
     length = "char_length(x.gap) + coalesce(char_length(x.v), 0)"
     inner = f"""aggregate(b.steps, struct(b.base as pos, cast(array() as {HIT}) as out),
         (acc, x) -> struct(acc.pos + {length} as pos,
           if(x.v is not null and {valid.format(v='x.v')},
              concat(acc.out, array(struct(acc.pos + char_length(x.gap) as st, {k} as k, acc.pos + {length} as en,
-                                          '{kind}' as kind, x.v as v, {words} as near))), acc.out) as out),
+                                          '{kind}' as kind, x.v as v))), acc.out) as out),
         acc -> acc.out)"""
     blocks = f"""aggregate(
         transform(sequence(0, (size(steps) - 1) div {BLOCK}), j -> slice(steps, j * {BLOCK} + 1, {BLOCK})),
-        struct(0 as base, cast(array() as array<struct<base:int,steps:array<struct<gap:string,v:string,after:string>>>>) as out),
+        struct(0 as base, cast(array() as array<struct<base:int,steps:array<struct<gap:string,v:string>>>>) as out),
         (acc, part) -> struct(acc.base + aggregate(part, 0, (n, x) -> n + {length}) as base,
                               concat(acc.out, array(struct(acc.base as base, part as steps))) as out),
         acc -> acc.out)"""
@@ -82,37 +88,54 @@ def base_hits(text: str) -> str:
     return f"array_sort(concat({', '.join(parts)}))"
 
 
+def words_sql(text: str) -> str:
+    """All terms of ``text`` in order, outside of addresses; matches of other kinds hold no letters."""
+    pattern, guard, _ = KINDS["email"]
+    bare = f"if({guard.format(t=text)}, regexp_replace({text}, r'{pattern}', '\\n'), {text})"
+    return f"regexp_extract_all(lower({bare}), r'{TERM}', 0)"
+
+
 def find_base(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, text_key, hits`` per row; the key tells texts of one id apart."""
+    """``doc_id, text_key, hits, words`` per row; the key tells texts of one id apart, rows without hits have no words."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.select("doc_id", F.xxhash64("t").alias("text_key"), F.expr(base_hits("t")).alias("hits"))
+    found = rows.select("doc_id", "t", F.xxhash64("t").alias("text_key"), F.expr(base_hits("t")).alias("hits"))
+    return found.select("doc_id", "text_key", "hits", F.expr(
+        f"if(size(hits) > 0, {words_sql('t')}, cast(array() as array<string>))").alias("words"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, limits: Thresholds = Thresholds(), text: str = "text") -> DataFrame:
-    """``term, action, bits, posterior``: terms that give a protected value away, one row each.
+    """``term, action, bits, posterior``: terms that give a protected value or kind away, one row each.
 
-    Counts are of documents, over all of them; contexts are different sets of neighbouring terms, so
-    copies of one document are one piece of evidence.
+    Counts are of rows, over all of them and their whole texts. Contexts are different pairs of neighbouring
+    terms, so copies of one document are one piece of evidence. A value in fewer rows than ``contexts`` can
+    have no term of its own; it is protected as one of its kind.
     """
-    value = F.sha2(F.concat_ws(":", "hit.kind", F.lower(F.regexp_replace("hit.v", r"[ ().-]", ""))), 256)
-    seen = base.filter("size(hits) > 0").select("doc_id", "text_key", F.explode("hits").alias("hit")).select(
-        "doc_id", "text_key", value.alias("value"), F.col("hit.near").alias("near"))
-    near = seen.select("doc_id", "text_key", "value", F.xxhash64("near").alias("context"), F.explode("near").alias("term"))
-    contexts = near.select("term", "value", "context").distinct().groupBy("term", "value").agg(
+    seen = base.filter("size(hits) > 0")
+    value = "sha2(concat_ws(':', h.kind, lower(regexp_replace(h.v, r'[ ().-]', ''))), 256)"
+    kinds = seen.select("words", F.explode(F.expr("array_distinct(transform(hits, h -> h.kind))")).alias("entity"))
+    values = seen.select("words", F.explode(F.expr(f"array_distinct(transform(hits, h -> {value}))")).alias("entity"))
+    n_entity = staged(kinds.select("entity").unionByName(values.select("entity")).groupBy("entity").agg(
+        F.count("*").alias("n_entity")).filter(F.col("n_entity") >= limits.contexts), "entities")
+    held = kinds.unionByName(values.join(n_entity.select("entity"), "entity", "left_semi").select("words", "entity"))
+    pairs = held.select("entity", F.explode(F.array_distinct("words")).alias("term")).groupBy("entity", "term").agg(
+        F.count("*").alias("n_both")).filter(F.col("n_both") >= limits.contexts)
+    terms = docs.select(F.explode(F.array_distinct(F.expr(words_sql(text)))).alias("term")).groupBy("term").agg(
+        F.count("*").alias("n_term")).filter(F.col("n_term") >= limits.contexts)
+    prior = F.col("n_entity") / F.lit(docs.count())
+    rest = F.when(F.col("posterior") < 1, (1 - F.col("posterior")) * F.log2((1 - F.col("posterior")) / (1 - F.col("prior"))))
+    scored = (pairs.join(terms, "term").join(n_entity, "entity").withColumn("prior", prior)
+              .withColumn("posterior", F.col("n_both") / F.col("n_term"))
+              .withColumn("bits", F.log2(F.col("posterior") / F.col("prior")))
+              .withColumn("evidence", F.col("n_term") * (F.col("posterior") * F.col("bits") + F.coalesce(rest, F.lit(0.0)))))
+    scored = staged(scored.filter(
+        (F.col("posterior") >= limits.generalise) & (F.col("evidence") >= limits.evidence)
+        & (F.col("bits") >= F.least(F.lit(limits.bits), -limits.share * F.log2("prior")))).select(
+        "entity", "term", "posterior", "bits"), "scored")
+    steps = "transform(array(words), w -> transform(w, (x, i) -> struct(x as term, xxhash64(get(w, i - 1), get(w, i + 1)) as context)))[0]"
+    told = held.join(scored.select("entity").distinct(), "entity", "left_semi").select("entity", F.expr(f"inline({steps})"))
+    enough = told.join(scored.select("entity", "term"), ["entity", "term"], "left_semi").distinct().groupBy("entity", "term").agg(
         F.count("*").alias("contexts")).filter(F.col("contexts") >= limits.contexts)
-    together = near.select("term", "value", "doc_id", "text_key").distinct().groupBy("term", "value").agg(
-        F.count("*").alias("n_both")).join(contexts, ["term", "value"])
-    together = staged(together, "together")
-    if together.isEmpty():
-        return docs.sparkSession.createDataFrame([], "term string, action string, bits double, posterior double")
-    values = seen.select("value", "doc_id", "text_key").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    words = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower({text}), r'{TERM}', 0))")).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = (together.join(terms, "term").join(values, "value").withColumn("n_docs", F.lit(total.first()[0]))
-              .withColumn("posterior", F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")))
-              .withColumn("bits", F.log2(F.col("posterior") * F.col("n_docs") / F.col("n_value"))))
-    return (scored.filter((F.col("posterior") >= limits.generalise) & (F.col("bits") >= limits.bits))
+    return (scored.join(enough, ["entity", "term"])
             .groupBy("term").agg(F.max("bits").alias("bits"), F.max("posterior").alias("posterior"))
             .select("term", F.when(F.col("posterior") >= limits.remove, "remove").otherwise("generalise").alias("action"),
                     "bits", "posterior"))
@@ -121,7 +144,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, limits: Thresholds = Thre
 def _with_terms(docs: DataFrame, terms: DataFrame, text: str, key: str) -> DataFrame:
     """``doc_id, text_key, removed, generalised``: the disclosing terms that each document holds."""
     words = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"),
-                        F.explode(F.expr(f"array_distinct(regexp_extract_all(lower({text}), r'{TERM}', 0))")).alias("term"))
+                        F.explode(F.array_distinct(F.expr(words_sql(text)))).alias("term"))
     return words.join(terms, "term").groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("removed"),
         F.collect_set(F.when(F.col("action") == "generalise", F.col("term"))).alias("generalised"))
@@ -143,7 +166,7 @@ def private_spans(docs: DataFrame, limits: Thresholds = Thresholds(), text: str
         "text_key", F.xxhash64("t"))
     same = rows.doc_id.eqNullSafe(held.doc_id) & (rows.text_key == held.text_key)
     spans = rows.join(held, same).select(
-        rows.doc_id, rows.text_key, "removed", "generalised", F.expr(hits_sql("t", TERM, 4, "term", "true", near=False)).alias("all"))
+        rows.doc_id, rows.text_key, "removed", "generalised", F.expr(hits_sql("t", TERM, 4, "term", "true")).alias("all"))
     spans = spans.select("doc_id", "text_key", F.expr(
         "filter(all, x -> array_contains(removed, lower(x.v)) or array_contains(generalised, lower(x.v)))").alias("terms")
     ).groupBy("doc_id", "text_key").agg(F.any_value("terms").alias("terms"))
@@ -176,5 +199,5 @@ def sanitise(docs: DataFrame, limits: Thresholds = Thresholds(), text: str = "te
                        & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__key")), "left")
         value = ("case when array_contains(removed, lower(v)) then '' "
                  "when array_contains(generalised, lower(v)) then '[TERM]' else v end")
-        out = out.withColumn("__text", F.expr(f"if(removed is null, __text, {_replaced('__text', TERM, value)})"))
+        out = out.withColumn("__text", F.expr(f"if(removed is null, __text, {_replaced('__text', MARKED, value)})"))
     return out.select(*(F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns))

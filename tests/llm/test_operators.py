@@ -249,6 +249,16 @@ def test_language_model(spark, monkeypatch):
     assert recurrent.score_documents(frame(spark, []), recurrent.fit_language_model(frame(spark, []))).count() == 0
 
 
+def test_recurrence_learns_from_every_document(spark):
+    topics = [random.Random(k) for k in range(150)]
+    texts = [" ".join(r.choice(WORDS[k % 2 * 8:k % 2 * 8 + 8]) for _ in range(80)) for k, r in enumerate(topics)]
+    df = frame(spark, texts, extra=False).filter("pmod(xxhash64(doc_id, 3), 8) <> 0")  # those a fit on every 8th left out
+    model = recurrent.fit_language_model(df)
+    plain = recurrent.Model(model.vocabulary, model.counts, recurrent.Network(model.vocabulary).p)
+    told, untold = (sum(r["score"] for r in recurrent.score_documents(df, m).collect()) for m in (model, plain))
+    assert told > untold
+
+
 def test_held_counts_and_joined_counts_agree(spark, monkeypatch):
     df = frame(spark, [prose(k, 50) + f" rare{k} é{k}." for k in range(40)], extra=False)
     whole = {r["doc_id"]: r for r in recurrent.score_documents(df, recurrent.fit_language_model(df)).collect()}

@@ -24,9 +24,9 @@ OWN, CLASSES, STATE = 500, 20, 16
 #: Most frequent words whose counts every task holds; the counts of all others are joined.
 HELD = 200_000
 SHAPES = 16
-#: One in so many training documents fits the recurrence (the counts use all); passes over them; steps of a window.
-EVERY, ROUNDS, WINDOW = 8, 2, 16
-LANES, FIT_LANES, RATE = 256, 48, 0.02
+#: One in so many training documents fits the recurrence, 1 is all of them; passes over them; steps of a window.
+EVERY, ROUNDS, WINDOW = 1, 2, 16
+LANES, FIT_LANES, RATE = 256, 192, 0.02
 BATCH_BYTES = 32 << 20
 
 
@@ -207,7 +207,10 @@ class Network:
                 g["U"] += before.T @ du
                 das.append((np.maximum(x[:, t], 0), da))
                 dh = dh * z + du @ self.p["U"].T + dseen[t]
-            np.add.at(g["E"], np.concatenate([a for a, _ in das]), np.concatenate([b for _, b in das]))
+            read = np.concatenate([a for a, _ in das])
+            order = np.argsort(read, kind="stable")
+            begin = np.flatnonzero(np.diff(read[order], prepend=-1))
+            g["E"][read[order][begin]] = np.add.reduceat(np.concatenate([b for _, b in das])[order], begin, axis=0)
             tokens += count
             for name, value in g.items():
                 value = np.clip(value / max(1, count) ** 0.5, -1, 1)
@@ -279,8 +282,8 @@ class Model:
 def fit_language_model(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Counts over all of ``docs``, which must hold the training documents only, then the recurrence.
 
-    The recurrence is trained where the documents are: each task runs over its own share of every
-    ``EVERY``-th document by hash, and the tasks' parameters are averaged after each round, in two steps.
+    The recurrence is trained where the documents are: each task runs over its own share of all of
+    them, and the tasks' parameters are averaged after each round, in two steps.
     What is gathered grows with the input; the driver sees ``HELD`` words and the averages.
     """
     spark, schema = docs.sparkSession, "name string, part int, value binary, tokens long"

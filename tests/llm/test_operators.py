@@ -226,6 +226,27 @@ def test_salvage_steps_over_damage(form):
     assert found[0][0] == 0 and found[-1][1] == 4 + len(data) + 40 and all(a[1] == b[0] for a, b in zip(found, found[1:]))
 
 
+def test_salvage_within_members():
+    parts = [warc.record_bytes("response", f"<{k}>", "u", "d", random.Random(k).randbytes(3000), b"") for k in range(5)]
+
+    def ids(data):
+        return [f and f["warc-record-id"] for _, _, f, _ in warc.salvage(data)]
+
+    whole = gzip.compress(b"".join(parts))
+    found = list(warc.salvage(parts[0] + whole + gzip.compress(parts[1])))
+    assert [f["warc-record-id"] for _, _, f, _ in found] == ["<0>", "<0>", "<1>", "<2>", "<3>", "<4>", "<1>"]
+    assert [a - len(parts[0]) for a, *_ in found[1:6]] == [sum(map(len, parts[:k])) for k in range(5)]
+    bad = bytearray(b"".join(parts))
+    bad[len(parts[0]) + 2000] ^= 0xFF
+    assert ids(gzip.compress(bytes(bad))) == ["<0>", None, "<2>", "<3>", "<4>"]
+    assert [x for x in ids(whole[:-4000]) if x] == ["<0>", "<1>", "<2>"]  # cut off
+    broken = bytearray(whole)
+    broken[-1] ^= 0xFF  # the length at the end
+    assert [x for x in ids(bytes(broken) + gzip.compress(parts[2])) if x] == ["<0>", "<1>", "<2>", "<3>", "<4>", "<2>"]
+    long = warc.record_bytes("response", "<l>", "u" * (6 << 20), "d", b"x", b"")
+    assert ids(long) == ids(gzip.compress(long)) == ["<l>"]
+
+
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(recurrent, "EVERY", 1)
     monkeypatch.setattr(recurrent, "ROUNDS", 4)

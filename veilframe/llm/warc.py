@@ -53,7 +53,7 @@ def parse(data, at: int) -> tuple[dict | None, int, str]:
     while stop < 0:
         head = bytes(data[at:at + width])
         stop = head.find(b"\r\n\r\n")
-        if stop < 0 and (at + width >= len(data) or width > 1 << 20):
+        if stop < 0 and at + width >= len(data):
             return None, at, "header does not end"
         width *= 4
     fields = {}
@@ -76,18 +76,52 @@ def parse(data, at: int) -> tuple[dict | None, int, str]:
     return fields | {"payload": block}, end + 4, ""
 
 
-def member(data, at: int) -> tuple[bytes | None, int]:
-    """The gzip member at ``at`` and where it ends; None if it is damaged or cut off."""
+def member(data, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member at ``at`` holds, where it ends, and whether it is whole; else what comes before the damage."""
     inflate, out, here = zlib.decompressobj(31), [], at
     try:
         while not inflate.eof and here < len(data):
             out.append(inflate.decompress(data[here:here + READ]))
             here += READ
     except zlib.error:
-        return None, at
+        return b"".join(out) + _before(data[here:here + READ], data[at:here]), at, False
     if not inflate.eof:
-        return None, at
-    return b"".join(out), min(here, len(data)) - len(inflate.unused_data)
+        return b"".join(out), at, False
+    return b"".join(out), min(here, len(data)) - len(inflate.unused_data), True
+
+
+def _before(part, read) -> bytes:
+    """What ``part``, which fails to inflate as a whole after ``read``, yields byte by byte."""
+    inflate, out = zlib.decompressobj(31), []
+    for at in range(0, len(read), READ):
+        inflate.decompress(read[at:at + READ])
+    try:
+        for at in range(len(part)):
+            out.append(inflate.decompress(part[at:at + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _stretches(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+    """``salvage`` for inflated bytes: records and gaps, no members within."""
+    at, gap, why = 0, -1, ""
+    while at < len(data):
+        found, end, note = parse(data, at)
+        if found:
+            if gap >= 0:
+                yield gap, at, None, why
+                gap = -1
+            yield at, end, found, ""
+            at = end
+            continue
+        if gap < 0:
+            gap, why = at, note
+        at = data.find(b"WARC/1.", at + 1)
+        if at < 0:
+            break
+    if gap >= 0:
+        yield gap, len(data), None, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
@@ -96,37 +130,46 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     Plain files and chains of gzip members may mix. After a failed check the search goes on one
     byte later, for the next version line or member that passes its own checks; the bytes between
     are one gap whose note is the first failure. Every byte lies in a record, an empty member or a gap.
+
+    A member that holds one record has that record's place. One of more records, or one damaged or cut off after
+    some, is searched in the same way: its records and gaps have its offset plus their inner one. The archive's own
+    bytes of a damaged member are then a gap as well, up to the next mark that holds.
     """
     data, at, gap, why = memoryview(data), 0, -1, ""
     raw = data.obj
     ahead = {MAGIC: -1, b"WARC/1.": -1}
     while at < len(data):
-        found, end, note = None, at, ""
+        found, end, note, within = None, at, "", []
         if raw[at:at + 3] == MAGIC:
-            body, end = member(data, at)
-            if body is None:
-                note = "damaged member"
-            elif not body:
+            body, end, whole = member(data, at)
+            if whole and not body:
                 if gap >= 0:
                     yield gap, at, None, why
                     gap = -1
                 at = end
                 continue
-            else:
-                found, stop, note = parse(body, 0)
-                if found and stop != len(body):
-                    found, note = None, "member holds more than a record"
+            if not whole:
+                note = "damaged member"
+            within = list(_stretches(body))
+            if whole and len(within) == 1 and within[0][2]:
+                found, within = within[0][2], []
+            elif not any(fields for _, _, fields, _ in within):
+                note, within = note or within[0][3], []
         elif raw[at:at + 5] == b"WARC/":
             found, end, note = parse(data, at)
         else:
             note = "no record begins here"
-        if found:
+        if found or within:
             if gap >= 0:
                 yield gap, at, None, why
                 gap = -1
-            yield at, end, found, ""
-            at = end
-            continue
+            if found:
+                yield at, end, found, ""
+            for start, stop, fields, inner in within:
+                yield at + start, at + stop, fields, inner
+            if end > at:
+                at = end
+                continue
         if gap < 0:
             gap, why = at, note
         for mark, place in ahead.items():  # a mark found further on stays found: the search is linear

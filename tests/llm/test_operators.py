@@ -226,6 +226,16 @@ def test_salvage_steps_over_damage(form):
     assert found[0][0] == 0 and found[-1][1] == 4 + len(data) + 40 and all(a[1] == b[0] for a, b in zip(found, found[1:]))
 
 
+def test_revisits_of_one_page_id_with_several_payloads(spark):
+    a, b, c = ("<p>a</p>" * 200, "<p>b</p>" * 200, "<p>c</p>" * 200)
+    rows = [(1, "u", a), (1, "u", b), (1, "u", c), (2, "u", a), (3, "u", b)]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["record_id"], r["kind"], r["refers_to"] or "", r["payload_digest"]) for r in got) == sorted(
+        (f"<urn:page:{k}>", kind, to, hashlib.sha1(x.encode()).hexdigest()) for k, kind, to, x in [
+            (1, "revisit", "<urn:page:2>", a), (1, "revisit", "<urn:page:3>", b), (1, "response", "", c),
+            (2, "response", "", a), (3, "response", "", b)])
+
+
 def test_salvage_within_members():
     parts = [warc.record_bytes("response", f"<{k}>", "u", "d", random.Random(k).randbytes(3000), b"") for k in range(5)]
 

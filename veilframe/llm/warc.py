@@ -184,14 +184,15 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
 # --- tables -----------------------------------------------------------------------------------
 
 def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """``page_id, refers_to`` of the pages whose payload another page holds.
+    """``page_id, payload_digest, refers_to`` of the pages whose payload another page holds.
 
     Only digests and ids are grouped, so a payload that a third of all pages share costs a few bytes a page.
     """
     seen = pages.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= least)
     firsts = seen.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter(
         "n > 1").drop("n")
-    return seen.join(firsts, "payload_digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return seen.join(firsts, "payload_digest").filter("page_id < refers_to").select(
+        "page_id", "payload_digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -273,5 +274,6 @@ def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
                                F.sha1(payload.cast("binary")).alias("payload_digest")), "digests")
     later = revisits(small, least)
     path = scratch(spark, "archives")
-    write_archives(rows.join(later, "page_id", "left"), path)
+    keyed = rows.withColumn("payload_digest", F.sha1(payload.cast("binary")))
+    write_archives(keyed.join(later, ["page_id", "payload_digest"], "left"), path)
     return read_archives(spark, path)

@@ -120,3 +120,13 @@ def test_request_checks(spark):
     assert [r.effective_profile for r in good.collect()] == ["strict"]
     assert sorted(r.error for r in bad.collect()) == [
         "invalid_input:effective_language", "invalid_input:request_id", "invalid_profile:nope"]
+
+
+def test_alias_conflicts_count_each_turns_own_model(spark, tmp_path, monkeypatch):
+    from veilframe.plans import chat
+
+    rows = [(c, t, "user", "x") for c in range(3) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(chat, "ASKED", ("alt", "ALT ", "other", "nothing"))
+    want = sum((c * 7 + t) % 4 < 2 for c, t, _, _ in rows)
+    assert [tuple(r) for r in chat.alias_conflicts(spark, str(tmp_path)).select("key", "requests").collect()] == [("alt", want)]

@@ -13,6 +13,7 @@ QUERIES, ORACLES = {}, {}
 ROUTES = [("GPT-Main", "p1", ["main", " Fast "], True, True), ("other", "p2", ["alt"], True, True), ("old", "p1", [], False, False), ("Dup", "p1", ["ALT"], None, True)]
 PROVIDERS = [("p1", "strict", True), ("p2", "custom", True), ("p3", None, False)]
 MODELS = ("gpt-main", " FAST", "main", "Other", "old", "nothing")
+ASKED = (" ALT", "other")
 
 
 def add(name, oracle=None):
@@ -99,7 +100,7 @@ def model_routing(spark, sf):
 @add("l7_alias_conflicts", f"WITH {T} SELECT 'alt' AS key, 2::BIGINT AS routes, (SELECT count(*) FROM t WHERE n % 2 = 0) AS requests")
 def alias_conflicts(spark, sf):
     """Keys claimed by more than one route, with the requests that use them."""
-    asked = turns(spark, sf).filter("n % 2 = 0").groupBy(F.lit("alt").alias("key")).agg(F.count("*").alias("requests"))
+    asked = turns(spark, sf).groupBy(C.model_key(pick(ASKED, "n")).alias("key")).agg(F.count("*").alias("requests"))
     return C.key_conflicts(keys(spark, ROUTES)).join(asked, "key")
 
 

@@ -11,16 +11,33 @@ from veilframe.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, fitted on all labels, scores at 0.7 or more."""
-    model = rules.fit_quality(docs, table(spark, sf_dir, "labels"))
+    """Documents that the rule ensemble, fitted on all labels, scores at 0.7 or more; all of them without labels."""
+    labels = table(spark, sf_dir, "labels")
+    if labels.filter("quality is not null and doc_id is not null").isEmpty():
+        return docs
+    model = rules.fit_quality(docs, labels)
     return rules.with_quality(docs, model, score="__score").filter("__score >= 0.7").drop("__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles overlap by 0.8 or more: that with the smallest id."""
-    gone = staged(minhash.near_duplicates(docs, size=5, percent=80).filter("not kept").select(
-        F.col("doc_id").alias("__id")).distinct(), "copies")
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One row of each group whose sets of five-word shingles overlap by 0.8 or more: one with the smallest id.
+
+    Rows are told apart by id and text, so null and repeated ids are grouped like others. A text without
+    words is in no group. Of rows equal in both, one stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    ids = keyed.select("__key", "doc_id")
+    found = minhash.near_duplicates(keyed, size=5, percent=80, key="__key").filter("n_shingles > 0").groupBy(
+        F.col("doc_id").alias("__key")).agg(F.any_value("component_id").alias("component"))
+    rows = staged(found.join(ids, "__key").groupBy("__key", "component").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "rows")
+    firsts = rows.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("first"), F.sum("n").alias("size")).filter("size > 1")
+    marked = staged(rows.join(firsts, "component").select("__key", (F.col("__key") == F.col("first")).alias("stays"), "n").filter(
+        "not stays or n > 1"), "copies")
+    rest = keyed.join(marked.select("__key"), "__key", "left_anti")
+    again = keyed.join(marked.filter("stays").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return rest.unionByName(again).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

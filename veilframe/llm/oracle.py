@@ -53,8 +53,39 @@ FROM nodes n JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = n
 LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) d ON d.u = n.id
 """
 
+COLLOCATIONS = r"""
+WITH lines AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM lines),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM pieces, range(1, 6) t(k)),
+counted AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inner_parts AS (
+    SELECT lang, f, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM counted, range(2, 5) t(m) WHERE m < k),
+within AS (SELECT lang, phrase, max(f) AS f FROM inner_parts GROUP BY lang, phrase),
+cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, x.cut, array_to_string(c.w[1:x.cut], ' ') AS head, array_to_string(c.w[x.cut + 1:], ' ') AS tail
+    FROM counted c LEFT JOIN within i ON i.lang = c.lang AND i.phrase = c.phrase, range(1, 5) x(cut)
+    WHERE c.k > 1 AND x.cut < c.k AND (i.f IS NULL OR 100 * i.f < 100 * c.f)),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.cut, h.f AS l, t.f AS r, n.n,
+           (1000 * CAST(c.a AS HUGEINT) * n.n) // (CAST(h.f AS HUGEINT) * t.f) AS score
+    FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = c.head JOIN counted t ON t.lang = c.lang AND t.phrase = c.tail
+    JOIN totals n ON n.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op2_warc_salvage": ARCHIVES,
     "op7_minhash_near_duplicates": NEAR_DOCUMENTS,
     "op10_near_vectors": NEAR_VECTORS,
+    "op12_phrase_collocations": COLLOCATIONS,
 }

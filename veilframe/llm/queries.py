@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import (blocks, decontam, embeddings, minhash, packing, pii, recurrent, rules, toxicity,
-                           warc)
+from veilframe.llm import (balance, blocks, collocations, decontam, embeddings, manifest, minhash, packing, pii, recurrent,
+                           rules, toxicity, warc)
 from veilframe.llm.common import crc_mod, table
 from veilframe.llm.oracle import ORACLES  # noqa: F401
 
@@ -86,6 +86,18 @@ def toxic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "largest_gain", "windows")
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def packing_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.pack_balanced(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_private_data": private_data,
     "op2_warc_salvage": warc_salvage,
@@ -97,4 +109,7 @@ QUERIES = {
     "op8_benchmark_leaks": benchmark_leaks,
     "op9_toxicity": toxic_text,
     "op10_near_vectors": near_vectors,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_phrase_collocations": phrase_collocations,
+    "op13_cost_balanced_packing": packing_balanced,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,13 @@ from veilframe.llm.common import mix, signed, staged, text_chunks
 LONGEST = 5
 #: Bits of the tables that tell tasks which fingerprints may be frequent: 16 MB, whatever the input.
 TABLE_BITS = 1 << 27
-#: Bytes of text that a task counts together; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that a task reads together (a longer text is a block of its own), and fingerprints that it counts together.
+BLOCK_BYTES, BLOCK_PRINTS = 1 << 20, 1 << 21
 
 _RANDOM = np.random.default_rng(977)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
+_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)[_LOWER]  # A-Z hash as a-z
 _BASES = [int(b) * 2 + 1 for b in _RANDOM.integers(0, 2**63, 2)]
 _BLANK, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -50,8 +51,7 @@ class Words:
     """The words of some rows: bounds in bytes, row, piece, and hash."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        self.data = _LOWER[data]
-        kind = _KIND[self.data]
+        self.raw, kind = data, _KIND[data]
         word = kind == 0
         edge = np.zeros(len(data) + 1, bool)
         edge[bounds] = True
@@ -60,13 +60,18 @@ class Words:
         last[:-1] &= ~word[1:] | edge[1:-1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row = np.searchsorted(bounds, self.starts, "right") - 1
-        self.piece = np.cumsum(kind == _BREAK)[self.starts] + self.row
-        total, inverse = prefix_hashes(_BYTE[self.data], _BASES[0])
+        self.piece = np.searchsorted(np.flatnonzero(kind == _BREAK), self.starts) + self.row
+        total, inverse = prefix_hashes(_BYTE[data], _BASES[0])
         self.hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts]
                           + (self.ends - self.starts).astype(np.uint64))
 
+    @cached_property
+    def data(self) -> np.ndarray:
+        return _LOWER[self.raw]
+
     def text(self, k: int) -> bytes:
         return self.data[self.starts[k]:self.ends[k]].tobytes()
+
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether words ``a`` and ``b`` are spelt alike, compared byte by byte."""
         size = self.ends[a] - self.starts[a]
@@ -80,6 +85,10 @@ class Words:
         return alike
 
 
+def _lang_hash(lang: str) -> int:
+    return int.from_bytes(hashlib.md5(lang.encode()).digest()[:8], "little")
+
+
 def grouped(fingerprints: np.ndarray, same) -> tuple[np.ndarray, np.ndarray]:
     """First member and size of each group of equal fingerprints whose members are the ``same`` as the first.
 
@@ -96,72 +105,109 @@ def grouped(fingerprints: np.ndarray, same) -> tuple[np.ndarray, np.ndarray]:
         keys[odd] = mix(keys[odd] + np.uint64(_BASES[1]))
 
 
-def _lang_hash(lang: str) -> int:
-    return int.from_bytes(hashlib.md5(lang.encode()).digest()[:8], "little")
+_GRAM = "lang string, size int, fingerprint long, witness binary, n long, row_key long, at int, bytes int"
 
 
-_GRAM = "lang string, size int, fingerprint long, witness binary, n long, row_key long, at int, bytes int"
+def _marked(table: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether the bit of each fingerprint is set."""
+    slot = prints & np.uint64(TABLE_BITS - 1)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _grams(docs: DataFrame, size: int, frequent, bits: int) -> DataFrame:
-    """Counts of the phrases of ``size`` words, a block of text at a time, each with one occurrence of it.
+class Block:
+    """The words of a block of rows and the fingerprints of their phrases."""
 
-    ``frequent`` is None or a broadcast bit table of the fingerprints of one word less: a phrase both
-    of whose shorter parts are surely rare is rare itself. ``witness`` is the digest of the phrase as
-    spelt, which tells phrases of one fingerprint apart between tasks. Size 1 comes with size 0, the
-    number of all words.
-    """
-    mask = np.uint64(2**bits - 1)
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lang: np.ndarray, mask: np.uint64):
+        self.words, self.bounds, self.mask = Words(data, bounds), bounds, mask
+        self.total, self.inverse = prefix_hashes(self.words.hashes, _BASES[1])
+        self.lang = lang[self.words.row]
+
+    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the phrases of ``size`` words from words ``at``, other ones in other languages."""
+        run = (self.total[at + size] - self.total[at]) * self.inverse[at]
+        return mix(run + self.lang[at] + np.uint64(size)) & self.mask
 
-    def prints(total, inverse, at, length, lang):
-        return mix((total[at + length] - total[at]) * inverse[at] + lang + np.uint64(length)) & mask
+    def phrases(self, size: int, table: np.ndarray | None) -> np.ndarray:
+        """Where phrases of ``size`` words start whose shorter parts are all marked."""
+        words = self.words
+        at = np.arange(max(0, len(words.starts) - size + 1))
+        at = at[words.piece[at] == words.piece[at + size - 1]]
+        if table is not None and size > 1:
+            at = at[_marked(table, self.prints(at, size - 1))]
+            at = at[_marked(table, self.prints(at + 1, size - 1))]
+        return at
 
+
+def _blocks(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[int, Block, np.ndarray, list[str]]]:
+    """First row, block, language of each row as a number, languages."""
+    codes = batch.column(1).dictionary_encode()
+    names, number = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+    lang = np.array([_lang_hash(x) for x in names], np.uint64)[number] if names else np.zeros(0, np.uint64)
+    for start, end, data, bounds in text_chunks(batch.column(2), BLOCK_BYTES):
+        block = Block(data, bounds, lang[start:end], np.uint64(2**bits - 1))
+        if len(block.words.starts):
+            yield start, block, number[start:end], names
+
+
+def _prints(docs: DataFrame, size: int, frequent, bits: int) -> DataFrame:
+    """``fingerprint, n`` of the phrases of ``size`` words whose parts may be frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            prints, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(signed(prints)), pa.array(n)], ["fingerprint", "n"])
+
+        for batch in batches:
+            for _, block, _, _ in _blocks(batch, bits):
+                held.append(block.prints(block.phrases(size, frequent and frequent.value), size))
+                if sum(map(len, held)) >= BLOCK_PRINTS:
+                    yield counted()
+        if held:
+            yield counted()
+
+    return docs.select("row_key", "lang", "text").mapInArrow(run, "fingerprint long, n long")
+
+
+def _grams(docs: DataFrame, longest: int, frequent, bits: int) -> DataFrame:
+    """Counts of all phrases with a marked fingerprint, a block of text at a time, each with one occurrence of it.
+
+    ``witness`` is the digest of the phrase as spelt, which tells phrases of one fingerprint apart
+    between tasks; within a block they are told apart byte by byte. Size 0 is the number of all words.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if frequent is None else frequent.value
-        kept = (lambda f: (table[(f >> np.uint64(3)) & np.uint64(TABLE_BITS // 8 - 1)] >> (f & np.uint64(7)).astype(np.uint8)) & 1 > 0)
         for batch in batches:
-            codes = batch.column(1).dictionary_encode()
-            names = codes.dictionary.to_pylist()
-            lang = np.array([_lang_hash(x) for x in names], np.uint64)[codes.indices.to_numpy()] if names else None
             keys = batch.column(0).to_numpy()
-            for start, end, data, bounds in text_chunks(batch.column(2), BLOCK_BYTES):
-                words = Words(data, bounds)
-                many = len(words.starts)
-                if not many:
-                    continue
-                total, inverse = prefix_hashes(words.hashes, _BASES[1])
-                own = lang[start + words.row]
-                at = np.arange(max(0, many - size + 1))
-                at = at[words.piece[at] == words.piece[at + size - 1]]
-                if table is not None:
-                    at = at[kept(prints(total, inverse, at, size - 1, own[at]))]
-                    at = at[kept(prints(total, inverse, at + 1, size - 1, own[at]))]
-                found = prints(total, inverse, at, size, own[at])
-
-                def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                    alike = own[at[a]] == own[at[b]]
-                    for k in range(size):
-                        alike &= words.same(at[a] + k, at[b] + k)
-                    return alike
-
-                first, count = grouped(found, same)
-                head = at[first]
-                row = words.row[head]
-                name = codes.indices.to_numpy()[start + row]
-                witness = [hashlib.md5(b" ".join([names[c].encode() + b"\0" + words.text(k), *map(words.text, range(k + 1, k + size))])).digest()
-                           for c, k in zip(name.tolist(), head.tolist())]
-                begin = words.starts[head] - bounds[row]
-                out = [pa.array(name).cast(pa.int32()), pa.array(np.full(len(head), size, np.int32)), pa.array(signed(found[first])),
-                       pa.array(witness, pa.binary()), pa.array(count), pa.array(keys[start + row]),
-                       pa.array(begin.astype(np.int32)), pa.array((words.ends[head + size - 1] - bounds[row] - begin).astype(np.int32))]
-                if size == 1:
-                    seen, n = np.unique(codes.indices.to_numpy()[start + words.row], return_counts=True)
-                    zero = np.zeros(len(seen), np.int32)
-                    more = [pa.array(seen).cast(pa.int32()), pa.array(zero), pa.array(signed(lang[seen])),
-                            pa.array([hashlib.md5(names[c].encode() + b"\0").digest() for c in seen.tolist()], pa.binary()),
-                            pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)]
-                    out = [pa.concat_arrays([a, b]) for a, b in zip(out, more)]
-                out[0] = codes.dictionary.take(out[0])
+            for start, block, number, names in _blocks(batch, bits):
+                words, parts = block.words, []
+                for size in range(1, longest + 1):
+                    at = block.phrases(size, frequent.value)
+                    found = block.prints(at, size)
+                    keep = _marked(frequent.value, found)
+                    at, found = at[keep], found[keep]
+
+                    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                        alike = block.lang[at[a]] == block.lang[at[b]]
+                        for k in range(size):
+                            alike &= words.same(at[a] + k, at[b] + k)
+                        return alike
+
+                    first, count = grouped(found, same)
+                    head = at[first]
+                    row = words.row[head]
+                    spelt = [hashlib.md5(b" ".join([names[c].encode() + b"\0" + words.text(k), *map(words.text, range(k + 1, k + size))])).digest()
+                             for c, k in zip(number[row].tolist(), head.tolist())]
+                    begin = words.starts[head] - block.bounds[row]
+                    parts.append((number[row], np.full(len(head), size), signed(found[first]), spelt, count, keys[start + row],
+                                  begin, words.ends[head + size - 1] - block.bounds[row] - begin))
+                seen, n = np.unique(number[words.row], return_counts=True)
+                none = np.zeros(len(seen), np.int64)
+                parts.append((seen, none, none, [hashlib.md5(names[c].encode() + b"\0").digest() for c in seen.tolist()], n, none, none, none))
+                columns = [sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*parts)]
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                out = [pa.array(c).cast(kind) for c, kind in zip(columns, kinds)]
+                out[0] = pa.array(names, pa.string()).take(out[0])
                 yield pa.record_batch(out, [c.split()[0] for c in _GRAM.split(", ")])
 
     return docs.select("row_key", "lang", "text").mapInArrow(run, _GRAM)
@@ -187,8 +233,7 @@ def _spelt(docs: DataFrame, grams: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
-            key = batch.column(0).to_numpy().view(np.uint64)
-            yield batch.filter(pa.array((bits[(key >> np.uint64(3)) & np.uint64(TABLE_BITS // 8 - 1)] >> (key & np.uint64(7)).astype(np.uint8)) & 1 > 0))
+            yield batch.filter(pa.array(_marked(bits, batch.column(0).to_numpy().view(np.uint64))))
 
     texts = docs.select("row_key", "text").mapInArrow(run, "row_key long, text string").dropDuplicates(["row_key", "text"])
     cut = "decode(substring(cast(text as binary), at + 1, bytes), 'UTF-8')"
@@ -209,29 +254,27 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
     into pieces at ``.,;:!?`` and line ends and these into words at blanks; A-Z counts as a-z; a null text
     is empty, a null language is ``und``; repeated rows count as often as they occur. No rows give no rows.
 
-    Sizes are counted one after the other. A fingerprint is counted by a shuffle together with a pointer
-    to one occurrence; between sizes, a bit table of bounded size lets tasks leave out phrases with a rare
-    part. Where the table fills up, more rare phrases are counted, and the result stays the same. ``bits``
-    is the length of the fingerprints; with few, more phrases share one and the texts decide.
+    Sizes are counted one after the other, as fingerprints only. The frequent ones are marked in a bit
+    table of bounded size, which lets tasks leave out phrases with a rare part. Where the table fills up,
+    more rare phrases are counted, and the result stays the same. The marked phrases are then counted as
+    spelt, together with a pointer to one occurrence, and only frequent ones are cut out of the texts.
+    ``bits`` is the length of the fingerprints; with few, more phrases share one and the texts decide.
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(text, lang).alias("row_key"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
                        F.col(text).alias("text"))
-    levels, frequent = [], None
+    table, frequent, reached = np.zeros(TABLE_BITS // 8, np.uint8), None, 1
     for size in range(1, longest + 1):
-        counted = _grams(rows, size, frequent, bits).groupBy("lang", "size", "fingerprint", "witness").agg(
-            F.sum("n").alias("n"), *(F.any_value(c).alias(c) for c in ("row_key", "at", "bytes"))).filter(F.col("n") >= least)
-        levels.append(staged(counted, f"grams{size}"))
-        if size < longest:
-            table = _bit_table(levels[-1].filter(F.col("size") == size), "fingerprint")
-            if not table.any():
-                break
-            frequent = spark.sparkContext.broadcast(table)
-    grams = levels[0]
-    for level in levels[1:]:
-        grams = grams.unionByName(level)
+        counted = _prints(rows, size, frequent, bits).groupBy("fingerprint").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        found = _bit_table(counted, "fingerprint")
+        table = table | found
+        frequent, reached = spark.sparkContext.broadcast(table), size
+        if not found.any():
+            break
+    grams = staged(_grams(rows, reached, frequent, bits).groupBy("lang", "size", "fingerprint", "witness").agg(
+        F.sum("n").alias("n"), *(F.any_value(c).alias(c) for c in ("row_key", "at", "bytes"))).filter(F.col("n") >= least), "grams")
     return (staged(_spelt(rows, grams), "phrases"),
-            levels[0].filter("size = 0").groupBy("lang").agg(F.sum("n").alias("n")))
+            grams.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("n")))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = LONGEST, cover: int = 100,

@@ -105,7 +105,17 @@ def grouped(fingerprints: np.ndarray, same) -> tuple[np.ndarray, np.ndarray]:
         keys[odd] = mix(keys[odd] + np.uint64(_BASES[1]))
 
 
-_GRAM = "lang string, size int, fingerprint long, witness binary, n long, row_key long, at int, bytes int"
+_GRAM = "fingerprint long, witness long, n long, row_key long, at int, bytes int"
+#: Bits of a fingerprint that the search for frequent ones counts; where two share them, more phrases are counted as spelt.
+COARSE = np.uint64((1 << 40) - 1)
+
+
+def witness(lang: str, words: list[bytes]) -> int:
+    """60 bits of a digest of a phrase as spelt, and its language."""
+    return int(hashlib.md5(b" ".join([lang.encode() + b"\0" + b"".join(words[:1]), *words[1:]])).hexdigest()[:15], 16)
+
+
+WITNESS = "cast(conv(left(md5(concat(lang, char(0), phrase)), 15), 16, 10) as bigint)"
 
 
 def _marked(table: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -161,7 +171,7 @@ def _prints(docs: DataFrame, size: int, frequent, bits: int) -> DataFrame:
 
         for batch in batches:
             for _, block, _, _ in _blocks(batch, bits):
-                held.append(block.prints(block.phrases(size, frequent and frequent.value), size))
+                held.append(block.prints(block.phrases(size, frequent and frequent.value), size) & COARSE)
                 if sum(map(len, held)) >= BLOCK_PRINTS:
                     yield counted()
         if held:
@@ -173,8 +183,8 @@ def _prints(docs: DataFrame, size: int, frequent, bits: int) -> DataFrame:
 def _grams(docs: DataFrame, longest: int, frequent, bits: int) -> DataFrame:
     """Counts of all phrases with a marked fingerprint, a block of text at a time, each with one occurrence of it.
 
-    ``witness`` is the digest of the phrase as spelt, which tells phrases of one fingerprint apart
-    between tasks; within a block they are told apart byte by byte. Size 0 is the number of all words.
+    ``witness`` tells phrases of one fingerprint apart between tasks; within a block they are told apart
+    byte by byte. The empty phrase stands for the words of a language.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,19 +206,16 @@ def _grams(docs: DataFrame, longest: int, frequent, bits: int) -> DataFrame:
                     first, count = grouped(found, same)
                     head = at[first]
                     row = words.row[head]
-                    spelt = [hashlib.md5(b" ".join([names[c].encode() + b"\0" + words.text(k), *map(words.text, range(k + 1, k + size))])).digest()
-                             for c, k in zip(number[row].tolist(), head.tolist())]
+                    spelt = [witness(names[c], [words.text(k + j) for j in range(size)]) for c, k in zip(number[row].tolist(), head.tolist())]
                     begin = words.starts[head] - block.bounds[row]
-                    parts.append((number[row], np.full(len(head), size), signed(found[first]), spelt, count, keys[start + row],
-                                  begin, words.ends[head + size - 1] - block.bounds[row] - begin))
-                seen, n = np.unique(number[words.row], return_counts=True)
+                    parts.append((signed(found[first]), np.array(spelt, np.int64), count, keys[start + row], begin,
+                                  words.ends[head + size - 1] - block.bounds[row] - begin))
+                seen, first, n = np.unique(number[words.row], return_index=True, return_counts=True)
                 none = np.zeros(len(seen), np.int64)
-                parts.append((seen, none, none, [hashlib.md5(names[c].encode() + b"\0").digest() for c in seen.tolist()], n, none, none, none))
-                columns = [sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*parts)]
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                out = [pa.array(c).cast(kind) for c, kind in zip(columns, kinds)]
-                out[0] = pa.array(names, pa.string()).take(out[0])
-                yield pa.record_batch(out, [c.split()[0] for c in _GRAM.split(", ")])
+                parts.append((none, np.array([witness(names[c], []) for c in seen.tolist()], np.int64), n, keys[start + words.row[first]], none, none))
+                columns = [np.concatenate(c) for c in zip(*parts)]
+                yield pa.record_batch([pa.array(c.astype(np.int32) if k > 3 else c) for k, c in enumerate(columns)],
+                                      [c.split()[0] for c in _GRAM.split(", ")])
 
     return docs.select("row_key", "lang", "text").mapInArrow(run, _GRAM)
 
@@ -235,11 +242,12 @@ def _spelt(docs: DataFrame, grams: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_marked(bits, batch.column(0).to_numpy().view(np.uint64))))
 
-    texts = docs.select("row_key", "text").mapInArrow(run, "row_key long, text string").dropDuplicates(["row_key", "text"])
+    texts = docs.select("row_key", "lang", "text").mapInArrow(run, "row_key long, lang string, text string").dropDuplicates()
     cut = "decode(substring(cast(text as binary), at + 1, bytes), 'UTF-8')"
-    return grams.filter("size > 0").join(texts, "row_key").select(
-        "lang", "size", F.expr(f"regexp_replace({lowered(cut)}, '[ \\\\t]+', ' ')").alias("phrase"), F.col("n").alias("f"), "witness").filter(
-        "witness = unhex(md5(concat(lang, char(0), phrase)))").groupBy("lang", "size", "phrase").agg(F.max("f").alias("f"))
+    return grams.join(texts, "row_key").select(
+        "lang", F.expr(f"regexp_replace({lowered(cut)}, '[ \\t]+', ' ')").alias("phrase"), F.col("n").alias("f"), "witness").filter(
+        f"witness = {WITNESS}").groupBy("lang", "phrase").agg(F.max("f").alias("f")).withColumn(
+        "size", F.expr("if(phrase = '', 0, size(split(phrase, ' ')))"))
 
 
 def lowered(text: str) -> str:
@@ -271,10 +279,10 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
         frequent, reached = spark.sparkContext.broadcast(table), size
         if not found.any():
             break
-    grams = staged(_grams(rows, reached, frequent, bits).groupBy("lang", "size", "fingerprint", "witness").agg(
+    grams = staged(_grams(rows, reached, frequent, bits).groupBy("fingerprint", "witness").agg(
         F.sum("n").alias("n"), *(F.any_value(c).alias(c) for c in ("row_key", "at", "bytes"))).filter(F.col("n") >= least), "grams")
-    return (staged(_spelt(rows, grams), "phrases"),
-            grams.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("n")))
+    phrases = staged(_spelt(rows, grams), "phrases")
+    return phrases.filter("size > 0"), phrases.filter("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = LONGEST, cover: int = 100,

@@ -15,18 +15,21 @@ from pyspark.sql import functions as F
 
 #: Buckets of hashed tag-path steps and words, sizes of their vectors, and of each direction's state.
 PATHS, WORDS, PATH_DIM, WORD_DIM, STATE, EXTRA = 256, 256, 12, 6, 12, 4
-#: Pages the fit reads at most, and the longest page it takes.
-SAMPLE, SAMPLE_CHARS = 160, 40_000
+#: Pages the fit reads at most, and the longest page it takes, each with all its blocks.
+SAMPLE, SAMPLE_CHARS = 160, 200_000
 EPOCHS = 12
-#: Of a longer page, the fit takes so many blocks from either end.
-FIT_BLOCKS = 24
 
+#: Comments, elements whose content is no markup, tags (with balanced quotes or, failing that, up to the next ``>``), declarations.
+#: Nothing here tries a place twice, so the time is linear in the page.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|select|button)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}'|[\"'])*?)>|<[!?][^>]*+>", re.S | re.I)
+    r"<!--.*?(?P<shut>-->|\Z)|<(script|style|iframe|textarea)\b[^>]*+>.*?(?P<closed></\2\s*+>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<names>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S | re.I)
+CUT_OFF = re.compile(r"<[a-z/!?]", re.I)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
+#: Elements that are markup inside but show no text of the article.
+HIDDEN = frozenset("button noscript select svg template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
              "th": ("td", "th"), "option": ("option",)}
@@ -50,9 +53,16 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, white space folded and references decoded; empty ones are left out."""
+    """The leaf blocks of a page in order, white space folded and references decoded; empty ones are left out.
+
+    Text in hidden elements is left out; one that is not closed ends with its parent, and ``<svg/>`` is
+    empty. A comment or script that is not closed runs to the end of the page, and a tag that the end of
+    the page cuts off is no text.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    hidden: list[int] = []  # places of hidden elements in the stack
+    opened: dict[str, int] = {}  # how often each tag is in the stack
     parts: list[str] = []
     linked = at = 0
 
@@ -61,39 +71,71 @@ def leaf_blocks(page: str) -> list[Block]:
         raw = "".join(parts)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            path = tuple(step for tag, names in stack if tag not in INLINE for step in (tag, *names))
+            shown = stack[:hidden[0]] if hidden else stack
+            path = tuple(step for tag, names in shown if tag not in INLINE for step in (tag, *names))
             out.append(Block(path, text, min(1.0, linked / max(1, len(raw)))))
         parts, linked = [], 0
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        stack.append((tag, names))
+        opened[tag] = opened.get(tag, 0) + 1
+
     def pop(tags, stop=frozenset()) -> None:
+        if not any(opened.get(tag) for tag in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
+                if hidden and k < hidden[0] and stack[k][0] not in INLINE:
+                    flush()
+                for tag, _ in stack[k:]:
+                    opened[tag] -= 1
                 del stack[k:]
+                while hidden and hidden[-1] >= k:
+                    hidden.pop()
                 return
             if stack[k][0] in stop:
                 return
 
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            piece = page[at:m.start()]
+    def take(piece: str) -> None:
+        nonlocal linked
+        if piece and not hidden:
             parts.append(piece)
             if any(tag == "a" for tag, _ in stack[-4:]):
                 linked += len(piece)
+
+    for m in MARKUP.finditer(page, 0, page.rfind(">") + 1):  # no markup ends behind that
+        take(page[at:m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        if m["shut"] == "" or m["closed"] == "":
+            at = len(page)
+            break
+        tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in HIDDEN:
+            if m["end"]:
+                pop((tag,))
+            elif not (tag == "svg" and m["names"].rstrip().endswith("/")):
+                hidden.append(len(stack))
+                push(tag, ())
+            continue
+        if hidden:
+            if m["end"]:
+                pop((tag,))
+            elif tag not in VOID and not m["names"].rstrip().endswith("/"):
+                push(tag, ())
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag not in VOID:
-                if m[2]:
+                if m["end"]:
                     pop((tag,), SCOPE)
                 else:
-                    stack.append((tag, ()))
+                    push(tag, ())
             continue
         flush()
-        if m[2]:
+        if m["end"]:
             pop((tag,))
             continue
         if tag in BLOCK_ENDS_P:
@@ -101,9 +143,11 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in CLOSED_BY:
             pop(CLOSED_BY[tag], SCOPE)
         if tag not in VOID:
-            names = tuple(w.lower() for g in NAMES.findall(m[4]) for w in re.split(r"[\s_]+", "".join(g)) if w)
-            stack.append((tag, names))
-    parts.append(page[at:])
+            names = tuple(w.lower() for g in NAMES.findall(m["names"]) for w in re.split(r"[\s_]+", "".join(g)) if w)
+            push(tag, names)
+    tail = page[at:]
+    cut = CUT_OFF.search(tail)
+    take(tail[:cut.start()] if cut else tail)
     flush()
     return out
 
@@ -150,6 +194,8 @@ def inputs(blocks: list[Block], seen: dict) -> tuple[np.ndarray, np.ndarray, np.
 class Labeller:
     """Two LSTMs over the blocks of a page; the output sees both states and the block's own vector."""
 
+    taught = True  # whether some page told what main text is
+
     def __init__(self, seed: int = 11):
         r, d = np.random.default_rng(seed), PATH_DIM + WORD_DIM + EXTRA
         s = lambda *shape: (r.standard_normal(shape) * 0.3 / np.sqrt(shape[0] if len(shape) > 1 else 1)).astype(np.float32)
@@ -253,7 +299,7 @@ def _varied(blocks: list[Block], random: np.random.Generator, spare: list[str])
 
 
 def fit(pages: list[str], seed: int = 3) -> Labeller:
-    """Train on pages whose paths tell some labels, each with varied copies of itself."""
+    """Train on pages whose paths tell some labels, each with varied copies of itself; without any, nothing is taught."""
     model, random = Labeller(), np.random.default_rng(seed)
     parsed = [b for b in map(leaf_blocks, pages) if b]
     spare = [b.text for page in parsed[:100] for b in page][:2000] or ["none"]
@@ -261,11 +307,10 @@ def fit(pages: list[str], seed: int = 3) -> Labeller:
     data = []
     for page in parsed:
         for blocks in (page, _varied(page, random, spare), _varied(page, random, spare)):
-            if len(blocks) > 2 * FIT_BLOCKS:
-                blocks = blocks[:FIT_BLOCKS] + blocks[-FIT_BLOCKS:]
             y = np.array([teach(b.path) for b in blocks], np.float32)
             if (y >= 0).any():
                 data.append((*inputs(blocks, seen), y))
+    model.taught = any(teach(b.path) == 1 for page in parsed for b in page)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step, data = 0, sorted(data, key=lambda d: len(d[0]))
     groups = [data[k:k + 32] for k in range(0, len(data), 32)]
@@ -297,6 +342,8 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, text: str = "html", key
 def main_text(pages: DataFrame, model: Labeller, text: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, url, text, n_chars, blocks`` for every row; null and empty pages have an empty text.
 
+    Where no page told the model what main text is, all blocks stay but those whose path names another part.
+    No rows give no rows.
     Rows with null or repeated ids are read like any other. One narrow stage; a task holds one group of pages.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +366,8 @@ def main_text(pages: DataFrame, model: Labeller, text: str = "html", key: str =
                     x, mask = _padded(vectors)
                     scores = model.scores(x, mask)
                     for row, k in enumerate(group):
-                        texts[k] = "\n".join(b.text for b, s in zip(found[k], scores[row]) if s > 0)
+                        texts[k] = "\n".join(b.text for b, s in zip(found[k], scores[row]) if (
+                            s > 0 if model.taught else teach(b.path) != 0))
                     start = end
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                        pa.array([len(t) for t in texts], pa.int64()),

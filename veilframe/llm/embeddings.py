@@ -17,6 +17,8 @@ from veilframe.llm.minhash import forest
 TABLES, HASHES, PROBES = 14, 3, 3
 #: Vectors on each side of a verification task, on average.
 BLOCK = 256
+#: Buckets of so many rows are compared together, larger ones one by one; rows that a task compares at a time.
+SMALL, RUN_ROWS = 24, 20_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -107,37 +109,141 @@ def _hash(tables: int, hashes: int, probes: int):
     return run
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a list column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+
+
+def _rows_of(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some rows one after the other, and which of them each belongs to."""
+    size = bounds[rows + 1] - bounds[rows]
+    owner = np.repeat(np.arange(len(rows)), size)
+    return values[np.repeat(bounds[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())], owner
+
+
+class Buckets:
+    """Rows of whole buckets (or pairs of blocks of one), which lie together: their links, each in one bucket only."""
+
+    def __init__(self, table: pa.Table, cosine: float):
+        column = lambda name: table.column(name).combine_chunks().to_numpy()
+        self.ids, self.block, self.weight = column("vec_id"), column("block"), column("weight")
+        keys = [column(name) for name in ("bucket", "lo", "hi")]
+        self.split = keys[1] != keys[2]  # two blocks of a bucket: only pairs across them
+        new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+        self.group, self.first = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.size = np.diff(np.r_[self.first, len(self.ids)])
+        self.codes, self.code_bounds = _flat(table.column("lower"))
+        values, bounds = _flat(table.column("embedding"))
+        dims, self.cosine = np.diff(bounds), cosine
+        self.unit = np.zeros((len(self.ids), dims.max()))
+        for dim in np.unique(dims):  # vectors of a bucket have one length
+            rows = np.flatnonzero(dims == dim)
+            x = values[bounds[rows][:, None] + np.arange(dim)].astype(np.float64)
+            x /= np.abs(x).max(axis=1)[:, None]
+            self.unit[rows, :dim] = x / np.linalg.norm(x, axis=1)[:, None]
+
+    def _counted_here(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which pairs share no smaller bucket than this one."""
+        here = np.ones(len(one), bool)
+        for at in range(0, len(one), 65536):
+            part = slice(at, at + 65536)
+            left, owner = _rows_of(self.codes, self.code_bounds, one[part])
+            right, other = _rows_of(self.codes, self.code_bounds, two[part])
+            both = np.concatenate((np.stack((owner, left), 1), np.stack((other, right), 1)))
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            here[at + both[1:][(both[1:] == both[:-1]).all(axis=1), 0]] = False
+        return here
+
+    def small(self) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs of buckets of up to ``SMALL`` rows, by comparing all rows with those some places on."""
+        found = []
+        for step in range(1, min(SMALL, int(self.size.max(initial=1)))):
+            i = np.flatnonzero((self.size[self.group[:-step]] <= SMALL) & (self.group[:-step] == self.group[step:])
+                               & (~self.split[:-step] | (self.block[:-step] != self.block[step:])))
+            for at in range(0, len(i), 8192):
+                part = i[at:at + 8192]
+                near = np.einsum("nd,nd->n", self.unit[part], self.unit[part + step]) >= self.cosine
+                found.append(np.stack((part[near], part[near] + step)))
+        one, two = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        here = self._counted_here(one, two)
+        return one[here], two[here]
+
+    def large(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of bucket ``k`` that have links, and their matrix of links."""
+        rows = np.arange(self.first[k], self.first[k] + self.size[k])
+        linked = self.unit[rows] @ self.unit[rows].T >= self.cosine
+        if self.split[rows[0]]:
+            linked &= self.block[rows][:, None] != self.block[rows][None, :]
+        np.fill_diagonal(linked, False)
+        some = linked.any(axis=1)
+        rows, linked = rows[some], linked[np.ix_(some, some)]
+        if len(rows):
+            code, owner = _rows_of(self.codes, self.code_bounds, rows)
+            _, column, times = np.unique(code, return_inverse=True, return_counts=True)
+            often = np.flatnonzero(times > 1)
+            place = np.full(len(times), -1)
+            place[often] = np.arange(len(often))
+            column = place[column]
+            for at in range(0, len(often), 4096):  # links that share a smaller bucket are counted there
+                mine = (column >= at) & (column < at + 4096)
+                hot = np.zeros((len(rows), min(4096, len(often) - at)), np.float32)
+                hot[owner[mine], column[mine] - at] = 1
+                linked &= hot @ hot.T == 0
+        return rows, linked
+
+    def links(self) -> pa.Table:
+        added, edges = np.zeros(len(self.ids), np.int64), []
+        one, two = self.small()
+        np.add.at(added, one, self.weight[two])
+        np.add.at(added, two, self.weight[one])
+        many = np.bincount(self.group[one], minlength=len(self.size)) > self.size
+        for k in np.flatnonzero(many):  # a bucket gives at most as many edges as it has rows
+            mine = self.group[one] == k
+            rows = np.arange(self.first[k], self.first[k] + self.size[k])
+            linked = np.zeros((len(rows), len(rows)), bool)
+            linked[one[mine] - rows[0], two[mine] - rows[0]] = linked[two[mine] - rows[0], one[mine] - rows[0]] = True
+            edges += forest(linked, self.ids[rows])
+        few = ~many[self.group[one]]
+        edges += list(zip(self.ids[one[few]].tolist(), self.ids[two[few]].tolist()))
+        for k in np.flatnonzero(self.size > SMALL):
+            rows, linked = self.large(k)
+            if len(rows):
+                added[rows] += linked @ self.weight[rows]
+                edges += forest(linked, self.ids[rows])
+        some = np.flatnonzero(added)
+        own, n = self.ids[some], added[some]
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(np.r_[own, ends[:, 0]]), "v": pa.array(np.r_[own, ends[:, 1]]),
+                         "links": pa.array(np.r_[n, np.zeros(len(ends), np.int64)])})
+
+
 def _verify(cosine: float):
-    def run(group: pa.Table) -> pa.Table:
-        ids, block = group.column("vec_id").to_numpy(), group.column("block").to_numpy()
-        weight = group.column("weight").to_numpy()
-        lo, hi, bucket = (group.column(c)[0].as_py() for c in ("lo", "hi", "bucket"))
-        x = np.array(group.column("embedding").to_pylist(), np.float64)
-        x /= np.abs(x).max(axis=1)[:, None]
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        linked = x @ x.T >= cosine
-        if lo == hi:
-            np.fill_diagonal(linked, False)
-        else:
-            linked &= block[:, None] != block[None, :]
-        one, two = np.nonzero(np.triu(linked, 1))
-        codes = [np.array(c, np.int64) for c in group.column("codes").to_pylist()]
-        most = max(len(c) for c in codes)
-        wide = np.array([np.concatenate((c, np.repeat(c[-1:], most - len(c)))) for c in codes])
-        added = np.zeros(len(ids), np.int64)
-        for at in range(0, len(one), 2048):  # a pair counts in the smallest bucket that it shares, nowhere else
-            i, j = one[at:at + 2048], two[at:at + 2048]
-            smallest = np.full(len(i), np.iinfo(np.int64).max)
-            for k in range(most):
-                hit = (wide[j] == wide[i, k][:, None]).any(axis=1)
-                np.minimum(smallest, np.where(hit, wide[i, k], smallest), out=smallest)
-            mine = smallest == bucket
-            np.add.at(added, i[mine], weight[j[mine]])
-            np.add.at(added, j[mine], weight[i[mine]])
-        rows = [(int(i), int(i), int(n)) for i, n in zip(ids, added) if n] + [
-            (u, v, 0) for u, v in forest(linked, ids)]
-        return pa.table({"u": pa.array([r[0] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], pa.int64()),
-                         "links": pa.array([r[2] for r in rows], pa.int64())})
+    """Links of rows that come sorted by bucket, a bounded run of whole buckets at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole() -> pa.Table:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            return table
+
+        def key(batch: pa.RecordBatch, row: int) -> list:
+            return [batch.column(c)[row].as_py() for c in ("bucket", "lo", "hi")]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if sum(map(len, held)) < RUN_ROWS or key(held[0], 0) == key(batch, len(batch) - 1):
+                continue
+            table = whole()
+            last = [table.column(c).combine_chunks().to_numpy() for c in ("bucket", "lo", "hi")]
+            cut = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in last]))[-1]) + 1
+            yield from Buckets(table.slice(0, cut), cosine).links().to_batches()
+            held.extend(table.slice(cut).to_batches())
+        if held:
+            yield from Buckets(whole(), cosine).links().to_batches()
 
     return run
 
@@ -169,9 +275,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLES,
     places = slots.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "vec_id", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    lone = kept.join(reps.select("vec_id", "weight", "codes"), "vec_id").filter(
-        "embedding is not null and forall(embedding, x -> x is not null and not isnan(x))")
-    links = staged(places.join(lone, "vec_id").groupBy("bucket", "lo", "hi").applyInArrow(
+    native = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
+    if "float" not in vectors.schema[vector].dataType.simpleString():
+        native = native.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    lone = native.join(reps.select("vec_id", "weight", "codes"), "vec_id").filter(
+        "embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    rows = places.join(lone, "vec_id").withColumn("lower", F.expr("filter(codes, c -> c < bucket)")).drop("codes", "other")
+    links = staged(rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select(
+        "vec_id", "bucket", "block", "lo", "hi", "embedding", "weight", "lower").mapInArrow(
         _verify(cosine), "u long, v long, links long"), "links")
     found = components(links.select("u", "v"))
     counts = links.groupBy("u").agg(F.sum("links").alias("links")).filter("links > 0")

@@ -233,13 +233,17 @@ class Labeller:
         return z @ self.p["out"] + self.p["c"]
 
     def gradients(self, paths, words, extra, y, mask) -> tuple[float, dict]:
-        """Mean log loss over taught blocks and its gradients, through both directions."""
+        """Mean log loss over taught blocks and its gradients, through both directions.
+
+        A page weighs by the square root of its taught blocks, so that a long one does not outvote all others.
+        """
         x = self.vectors(paths, words, extra)
         kept = {"f": [], "b": []}
         states = [self._run(x, mask, way, kept[way]) for way in "fb"]
         z = np.concatenate((*states, x), axis=-1)
         p = 1 / (1 + np.exp(-np.clip(z @ self.p["out"] + self.p["c"], -30, 30)))
         taught = ((y >= 0) & (mask > 0)).astype(np.float32)
+        taught /= np.sqrt(np.maximum(1.0, taught.sum(axis=1, keepdims=True)))
         total = max(1.0, taught.sum())
         loss = float(-(taught * np.log(np.where(y > 0, p, 1 - p) + 1e-9)).sum() / total)
         d = ((p - y) * taught / total).astype(np.float32)

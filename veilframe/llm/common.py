@@ -41,6 +41,14 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(session.sparkContext().hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str)

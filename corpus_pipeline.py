@@ -3,68 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from veilframe.llm import decontam, minhash, packing, pii, rules
-from veilframe.llm.common import staged, table
-from veilframe.llm.queries import tokenizer_path
+from veilframe.llm import pipeline
+from veilframe.llm.pipeline import decontaminate, near_duplicates, pack, private_data, quality  # noqa: F401
 
+STAGES = pipeline.STAGES
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, fitted on all labels, scores at 0.7 or more; all of them without labels."""
-    labels = table(spark, sf_dir, "labels")
-    if labels.filter("quality is not null and doc_id is not null").isEmpty():
-        return docs
-    model = rules.fit_quality(docs, labels)
-    return rules.with_quality(docs, model, score="__score").filter("__score >= 0.7").drop("__score")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group whose sets of five-word shingles overlap by 0.8 or more: one with the smallest id.
-
-    Rows are told apart by id and text, so null and repeated ids are grouped like others. A text without
-    words is in no group. Of rows equal in both, one stays.
-    """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    ids = keyed.select("__key", "doc_id")
-    found = minhash.near_duplicates(keyed, size=5, percent=80, key="__key").filter("n_shingles > 0").groupBy(
-        F.col("doc_id").alias("__key")).agg(F.any_value("component_id").alias("component"))
-    rows = staged(found.join(ids, "__key").groupBy("__key", "component").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "rows")
-    firsts = rows.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("first"), F.sum("n").alias("size")).filter("size > 1")
-    marked = staged(rows.join(firsts, "component").select("__key", (F.col("__key") == F.col("first")).alias("stays"), "n").filter(
-        "not stays or n > 1"), "copies")
-    rest = keyed.join(marked.select("__key"), "__key", "left_anti")
-    again = keyed.join(marked.filter("stays").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    return rest.unionByName(again).select(*docs.columns)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark segment in them."""
-    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and disclosing terms replaced; ``n_chars`` follows the text."""
-    return pii.sanitise(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in as few sequences of 2048 tokens as best fit needs."""
-    return packing.pack(docs, tokenizer_path())
-
-
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
-          ("private_data", private_data), ("pack", pack)]
-
-#: Fitted rules, hashed vectors and tokens are beyond SQL; tests hold the stages against brute force.
+#: Fitted rules, hashed shingles and tokens are beyond SQL; ``tests/llm/test_pipeline.py`` holds the stages against plain forms.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return pipeline.run(spark, sf_dir)

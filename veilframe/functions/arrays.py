@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +27,47 @@ def pinned(value: Column) -> Column:
     copied nor moved; the condition is always true, so values do not change.
     """
     return F.when(F.rand(0) + F.lit(1.0) > 0, value)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Elements that a running fold looks back over one by one; beyond them it looks at whole blocks.
+LOOK_BACK = 32
+
+
+def folded_before(items: Column, pick: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each element the fold of all earlier ones by ``pick``, which must be associative; null for the first.
+
+    Nothing is copied per element: it folds the rest of its block onto the fold of all blocks before, which
+    is found the same way from the blocks' folds.
+    """
+    def fold(start: Column, rest: Column) -> Column:
+        return F.aggregate(rest, start, lambda a, x: F.when(a.isNull(), x).otherwise(pick(a, x)))
+
+    if not levels:
+        return F.transform(items, lambda x, j: fold(
+            F.when(j > 0, items[0]), F.slice(items, F.lit(2), F.greatest(j - 1, F.lit(0)))))
+
+    def over(blocks: Column) -> Column:
+        def inside(heads: Column) -> Column:
+            return F.flatten(F.transform(blocks, lambda b, j: F.transform(
+                b, lambda x, i: fold(heads[j], F.slice(b, F.lit(1), i)))))
+
+        tops = F.transform(blocks, lambda b: fold(b[0], F.slice(b, 2, LOOK_BACK)))
+        return let(tops, lambda t: let(folded_before(t, pick, levels - 1), inside))
+
+    def cut(all_: Column) -> Column:
+        count = F.floor((F.size(all_) - 1) / LOOK_BACK).cast("int")
+        return F.when(F.size(all_) > 0, let(F.transform(F.sequence(F.lit(0), count), lambda j: F.slice(
+            all_, j * LOOK_BACK + 1, LOOK_BACK)), over)).otherwise(F.slice(all_, 1, 0))
+
+    return let(items, cut)
+
+
+def cut_at(items: Column, starts: Column) -> Column:
+    """Slices of ``items`` from each start (counted from 0) up to the next."""
+    return F.transform(starts, lambda p, k: F.slice(
+        items, p + 1, F.coalesce(F.try_element_at(starts, k + 2), F.size(items)) - p))

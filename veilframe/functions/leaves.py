@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -24,7 +26,7 @@ NODE_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("ptr", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("text", T.StringType()), T.StructField("depth", T.IntegerType()),
     T.StructField("key", T.StringType()), T.StructField("top", T.StringType())]))
-_NODE_ARROW = pa.list_(pa.struct([
+NODE_ARROW = pa.list_(pa.struct([
     ("ptr", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("depth", pa.int32()), ("key", pa.string()),
     ("top", pa.string())]))
 
@@ -103,28 +105,90 @@ def rewrite_typed(value: Column, dtype: T.DataType, new_text: Column, ptr: Colum
 # ---- JSON text ---------------------------------------------------------------------------------
 
 
-def _segment(key: str) -> str:
+_TOKEN = re.compile(r'[ \t\n\r]*+("(?:[^"\\]++|\\.)*+"|[{}\[\]:,]|[^ \t\n\r{}\[\]:,"]++)', re.S)
+
+
+def segment(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
 
-def _walk(doc):
-    """Scalars and empty containers of a parsed document, keys sorted, with their nesting depth.
+def _not_json(token):
+    raise ValueError(token)
+
+
+def is_json(raw: str | None) -> bool:
+    """Strict JSON: no NaN or Infinity, no lone surrogates."""
+    try:
+        doc = json.loads(raw, parse_constant=_not_json)
+        if "\\u" in raw:
+            json.dumps(doc, ensure_ascii=False).encode()
+        return True
+    except (TypeError, ValueError, RecursionError):
+        return False
+
+
+class _Open:
+    """A container that the scanner is in: its members so far, and the key that waits for a value."""
+
+    def __init__(self, start: int, is_object: bool):
+        self.start, self.is_object, self.members, self.key = start, is_object, [], None
+
+
+def scan(raw: str) -> tuple[tuple, list[tuple[int, int]]]:
+    """Tree of a JSON text, and the ranges of members that a later one of the same key hides.
+
+    A node is its range in the text and its value: a dict or list of nodes, or a scalar. Such a hidden
+    member reaches up to the next one, so the text without it is JSON again.
+    """
+    hidden: list[tuple[int, int]] = []
+    stack: list[_Open] = []
+    for token in _TOKEN.finditer(raw):
+        mark, at = token[1], token.start(1)
+        if mark in "{[":
+            stack.append(_Open(at, mark == "{"))
+            continue
+        if mark in ":,":
+            continue
+        if mark in "}]":
+            done = stack.pop()
+            if done.is_object:
+                last = {key: k for k, (key, _, _) in enumerate(done.members)}
+                hidden += [(start, done.members[k + 1][1]) for k, (key, start, _) in enumerate(done.members) if last[key] != k]
+                value = {key: node for key, _, node in done.members}
+            else:
+                value = [node for _, _, node in done.members]
+            node = (done.start, token.end(), value)
+        elif stack and stack[-1].is_object and stack[-1].key is None:
+            stack[-1].key = (json.loads(mark), at)
+            continue
+        else:
+            node = (at, token.end(), json.loads(mark))
+        if not stack:
+            return node, hidden
+        key, start = stack[-1].key or (None, at)
+        stack[-1].members.append((key, start, node))
+        stack[-1].key = None
+    raise ValueError("no document")
+
+
+def walk(tree: tuple):
+    """Scalars and empty containers of a document, keys sorted, with their nesting depth and range.
 
     ``top`` is the kind of the root's member that a node lies in.
     """
-    stack = [("", doc, 1, None, None)]
+    stack = [("", tree, 1, None, None)]
     while stack:
-        ptr, node, depth, key, top = stack.pop()
+        ptr, (start, end, node), depth, key, top = stack.pop()
         kind, text = _kind(node)
         top = kind if depth == 2 else top
         if isinstance(node, dict) and node:
             for k in sorted(node, key=lambda s: s.encode("utf-8", "surrogatepass"), reverse=True):
-                stack.append((f"{ptr}/{_segment(k)}", node[k], depth + 1, k, top))
+                stack.append((f"{ptr}/{segment(k)}", node[k], depth + 1, k, top))
         elif isinstance(node, list) and node:
             for i in range(len(node) - 1, -1, -1):
                 stack.append((f"{ptr}/{i}", node[i], depth + 1, key, top))
         else:
-            yield {"ptr": ptr, "kind": kind, "text": text, "depth": depth, "key": key, "top": top}
+            yield {"ptr": ptr, "kind": kind, "text": text, "depth": depth, "key": key, "top": top, "range": (start, end)}
 
 
 def _kind(node) -> tuple[str, str | None]:
@@ -141,63 +205,45 @@ def _kind(node) -> tuple[str, str | None]:
     return ("object" if isinstance(node, dict) else "array"), None
 
 
-def _not_json(token):
-    raise ValueError(token)
-
-
-# Numbers pass a rewrite as marked text, so that they come out as they were written.
-_NUMBER = "\x00veilframe-number:"
-_MARKED = re.compile('"' + json.dumps(_NUMBER)[1:-1].replace("\\", "\\\\") + '([-+0-9.eE]+)"')
-
+def spliced(raw: str, texts: dict[str, str]) -> str:
+    """The JSON text with the string leaves at some pointers replaced, and without members that a later one hides.
 
-def _parse(raw, number=None):
-    """Strict JSON: no NaN or Infinity, no lone surrogates."""
-    try:
-        doc = json.loads(raw, parse_constant=_not_json, parse_float=number, parse_int=number)
-        if "\\u" in raw:
-            json.dumps(doc, ensure_ascii=False).encode()
-        return True, doc
-    except (TypeError, ValueError, RecursionError):
-        return False, None
+    Only these ranges change: numbers, white space and escapes elsewhere stay as they were written.
+    """
+    tree, hidden = scan(raw)
+    edits = [(start, end, "") for start, end in hidden]
+    if texts:
+        edits += [(*n["range"], json.dumps(texts[n["ptr"]], ensure_ascii=False)) for n in walk(tree)
+                  if n["kind"] == "string" and n["ptr"] in texts]
+    out, at = [], 0
+    for start, end, text in sorted(edits):
+        if start >= at:  # else it lies in a member that is gone already
+            out += [raw[at:start], text]
+            at = end
+    return "".join([*out, raw[at:]])
 
 
 @F.arrow_udf(NODE_SCHEMA)
 def json_nodes(payload: pa.Array) -> pa.Array:
-    """Scalar leaves and empty containers in walk order; null when the text is not JSON."""
+    """Scalar leaves and empty containers in walk order; null when the text is not JSON.
+
+    Of members with the same key the last one counts, as for any parser.
+    """
     out = []
     for raw in payload.to_pylist():
-        ok, doc = _parse(raw)
-        out.append(list(_walk(doc)) if ok else None)
-    return pa.array(out, type=_NODE_ARROW)
+        out.append([{k: n[k] for k in ("ptr", "kind", "text", "depth", "key", "top")} for n in walk(scan(raw)[0])]
+                   if is_json(raw) else None)
+    return pa.array(out, type=NODE_ARROW)
 
 
 @F.arrow_udf(T.StringType())
 def set_json_leaves(payload: pa.Array, texts: pa.Array) -> pa.Array:
-    """The document with the string leaves named in ``texts`` (pointer to text) replaced; numbers keep their text.
+    """The document with the string leaves named in ``texts`` (pointer to text) replaced, see ``spliced``.
 
-    What is not JSON gives null: it was never scanned, so it is not passed on.
+    What was never scanned is not passed on: text that is not JSON gives null, and hidden members go.
     """
-    out = []
-    for raw, pairs in zip(payload.to_pylist(), texts.to_pylist()):
-        ok, doc = _parse(raw, lambda text: _NUMBER + text)
-        if not ok or not pairs:
-            out.append(raw if ok else None)
-            continue
-        for ptr, text in pairs:
-            doc = _put(doc, ptr, text)
-        out.append(_MARKED.sub(r"\1", json.dumps(doc, ensure_ascii=False, separators=(",", ":"))))
-    return pa.array(out, type=pa.string())
-
-
-def _put(doc, ptr: str, text: str):
-    if ptr == "":
-        return text
-    node = doc
-    *parents, last = [s.replace("~1", "/").replace("~0", "~") for s in ptr.split("/")[1:]]
-    for seg in parents:
-        node = node[int(seg)] if isinstance(node, list) else node[seg]
-    node[int(last) if isinstance(node, list) else last] = text
-    return doc
+    return pa.array([spliced(raw, dict(pairs or ())) if is_json(raw) else None
+                     for raw, pairs in zip(payload.to_pylist(), texts.to_pylist())], type=pa.string())
 
 
 # Catalyst treats Python functions as free to repeat and would copy them into every later expression.
@@ -206,6 +252,18 @@ json_nodes = json_nodes.asNondeterministic()
 set_json_leaves = set_json_leaves.asNondeterministic()
 
 
+@dataclass(frozen=True)
+class Processor:
+    """How text payloads are read and written: ``nodes`` lists what is in one (null: cannot be read), ``rewrite``
+    puts new texts (pointer to text) in. Both take and give columns; ``nodes`` gives ``NODE_SCHEMA``."""
+
+    nodes: Callable[[Column], Column]
+    rewrite: Callable[[Column, Column], Column]
+
+
+JSON = Processor(json_nodes, set_json_leaves)
+
+
 def string_leaves(nodes: Column) -> Column:
     strings = F.filter(nodes, lambda n: n["kind"] == "string")
     return F.transform(strings, lambda n, i: F.struct(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.events import EVENTS
+from veilframe.operators.sanitize import evaluate
+
 # Roles, known profiles, default stream buffer limit.
 ROLES = ("system", "user", "assistant", "tool")
 KNOWN_PROFILES = ("minimal", "strict", "custom")
@@ -67,23 +70,59 @@ def validate(df: DataFrame, body: str) -> DataFrame:
     return df.withColumn("error", error).drop("_v", "_m", "_p")
 
 
-def input_messages(body: Column) -> Column:
-    """The ``input`` of a responses body as ``array<struct<role,content>>``; null when unsupported."""
-    v = F.try_parse_json(body)
-    value = F.try_variant_get(v, "$.input", "variant")
+def responses_input(df: DataFrame, body: str) -> DataFrame:
+    """Adds ``error`` and ``messages`` for responses bodies.
 
-    def user(text):
-        return F.struct(F.lit("user").alias("role"), text.alias("content"))
+    A text, a message or a list of both becomes ``array<struct<role,content,blocks>>``: ``content`` is the text of
+    a message, ``blocks`` the JSON of content that is a list. ``error`` is the first problem in order,
+    with the index of the item it is about; then there are no messages.
+    """
+    df = df.withColumn("_v", F.try_parse_json(F.col(body)))
+    value = F.try_variant_get("_v", "$.input", "variant")
+    item = "struct<v: variant, role: string, kind: string>"
 
-    def one(m):
-        return F.when(_kind(m) == "STRING", user(F.try_variant_get(m, "$", "string"))).when(
-            _kind(m) == "OBJECT", F.struct(F.trim(_text(m, "$.role")).alias("role"), _text(m, "$.content").alias("content")))
+    def read(m: Column) -> Column:
+        return F.struct(m.alias("v"), F.trim(_text(m, "$.role")).alias("role"),
+                        _kind(F.try_variant_get(m, "$.content", "variant")).alias("kind"))
 
-    return (
-        F.when(_kind(value) == "STRING", F.array(user(F.try_variant_get(v, "$.input", "string"))))
-        .when(_kind(value) == "OBJECT", F.array(one(value)))
-        .when(_kind(value) == "ARRAY", F.transform(F.try_variant_get(v, "$.input", MESSAGES), one))
-    )
+    items = F.when(_kind(value) == "ARRAY", F.try_variant_get("_v", "$.input", MESSAGES)).when(
+        _kind(value).isin("STRING", "OBJECT"), F.array(value))
+    df = df.withColumn("_items", F.transform(items, read).cast(f"array<{item}>")).withColumn("_kind", _kind(value))
+
+    def problem(x: Column, i: Column) -> Column:
+        at = F.when(F.col("_kind") == "ARRAY", F.concat(F.lit("input["), i.cast("string"), F.lit("]"))).otherwise("input")
+        return (
+            F.when(_kind(x["v"]) == "STRING", F.lit(None).cast("string"))
+            .when(F.coalesce(_kind(x["v"]) != "OBJECT", F.lit(True)), F.concat(at, F.lit(" unsupported")))
+            .when(~_filled(x["role"]), F.concat(at, F.lit(".role required")))
+            .when(x["kind"].isNull(), F.concat(at, F.lit(".content required")))
+            .when(~x["kind"].isin("STRING", "ARRAY"), F.concat(at, F.lit(".content unsupported"))))
+
+    def message(x: Column) -> Column:
+        plain = _kind(x["v"]) == "STRING"
+        blocks = F.when(x["kind"] == "ARRAY", F.to_json(F.try_variant_get(x["v"], "$.content", "variant")))
+        return F.struct(F.when(plain, "user").otherwise(x["role"]).alias("role"), F.when(plain, F.try_variant_get(
+            x["v"], "$", "string")).otherwise(_text(x["v"], "$.content")).alias("content"), blocks.alias("blocks"))
+
+    error = (
+        F.when(F.col("_v").isNull() | (_kind(F.col("_v")) != "OBJECT"), "body not an object")
+        .when(~_filled(_text(F.col("_v"), "$.model")), "model required")
+        .when(F.try_variant_get("_v", "$.input", "variant").isNull(), "input required")
+        .when(F.col("_items").isNull(), "input unsupported")
+        .when(F.size("_items") == 0, "input empty")
+        .otherwise(F.try_element_at(F.array_compact(F.transform("_items", problem)), F.lit(1))))
+    return df.withColumn("error", error).withColumn("messages", F.when(F.col("error").isNull(), F.transform(
+        "_items", message))).drop("_v", "_items", "_kind")
+
+
+def masked_streams(streams: DataFrame, body: str = "body", **options) -> DataFrame:
+    """Event-stream bodies through ``evaluate``, rebuilt in order; one row per stream, without a shuffle.
+
+    Needs the columns of valid requests (see ``split_requests``). Hits of all events add up, the strictest
+    action counts, and a stream with a blocked event has a null ``sanitized_payload``. A hit limit
+    of the profile counts for the whole stream.
+    """
+    return evaluate(streams, payload=body, processor=EVENTS, **options)
 
 
 def metadata_tags(body: Column) -> Column:

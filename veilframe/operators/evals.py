@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 256  # characters per bin of the overlap join
@@ -52,18 +52,23 @@ def scores(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
             "f2": F.coalesce(F.try_divide(5 * p * r, 4 * p + r), zero)}
 
 
-def detection_metrics(gold: DataFrame, found: DataFrame, key: str = "doc_id", extra: str = "lang") -> DataFrame:
-    """TP, FP, FN and scores overall, per entity and per ``extra``."""
+def detection_metrics(gold: DataFrame, found: DataFrame, key: str = "doc_id", by: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """TP, FP, FN and scores overall, per entity and per each column of ``by``.
+
+    All spans of both sides meet their matches in one join; a gold span counts as found or missed, a
+    found one only where it is wrong.
+    """
     m = span_matches(gold, found, key)
-    hit = m.select(key, "entity", F.col("g_st").alias("st"), F.col("g_en").alias("en")).distinct()
-    good = m.select(key, "entity", F.col("p_st").alias("st"), F.col("p_en").alias("en")).distinct()
-    on = [key, "entity", "st", "en"]
-    parts = [gold.join(hit, on, "left_semi").withColumn("k", F.lit("tp")), gold.join(hit, on, "left_anti").withColumn("k", F.lit("fn")),
-             found.join(good, on, "left_anti").withColumn("k", F.lit("fp"))]
-    rows = parts[0].select("entity", extra, "k").unionByName(parts[1].select("entity", extra, "k")).unionByName(parts[2].select("entity", extra, "k"))
-    counts = rows.groupingSets([[], ["entity"], [extra]], "entity", extra).agg(
+    matched = m.select(key, "entity", F.inline(F.array(*[F.struct(
+        F.lit(side).alias("side"), F.col(f"{side}_st").alias("st"), F.col(f"{side}_en").alias("en")) for side in "gp"]))).distinct()
+    on = [key, "entity", "side", "st", "en"]
+    spans = gold.select(*by, *[c for c in on if c != "side"], F.lit("g").alias("side")).unionByName(
+        found.select(*by, *[c for c in on if c != "side"], F.lit("p").alias("side")))
+    kinds = spans.join(matched.withColumn("_hit", F.lit(True)), on, "left").select("entity", *by, F.when(
+        F.col("_hit"), F.when(F.col("side") == "g", "tp")).otherwise(F.when(F.col("side") == "g", "fn").otherwise("fp")).alias("k"))
+    counts = kinds.filter("k is not null").groupingSets([[], ["entity"], *[[c] for c in by]], "entity", *by).agg(
         *[F.count_if(F.col("k") == k).alias(k) for k in ("tp", "fp", "fn")])
-    return counts.select("entity", extra, "tp", "fp", "fn", *[
+    return counts.select("entity", *by, "tp", "fp", "fn", *[
         F.round(c, 6).alias(n) for n, c in scores(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
@@ -75,13 +80,30 @@ def expected_redaction(text: Column, values: Column) -> Column:
 
 
 def label_gaps(labels: DataFrame, supported: DataFrame) -> DataFrame:
-    """Hits, sources and first row per label, with its size bucket and whether it is supported."""
+    """Hits, sources and first row per label, its size bucket, whether it is supported, and the share of all hits so far.
+
+    ``share`` is the part of all hits whose labels are supported, the same in every row.
+    """
     stats = labels.groupBy("label").agg(
-        F.count("*").alias("hits"), F.countDistinct("source").alias("sources"), F.min("row_idx").alias("first_row"))
+        F.count("*").alias("hits"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("datasets"),
+        F.countDistinct("source").alias("sources"), F.min("row_idx").alias("first_row"))
     bucket = F.when(F.col("hits") >= 8, "high").when(F.col("hits") >= 4, "medium").otherwise("low")
     known = supported.select("label", F.lit(True).alias("_s")).distinct()
-    return stats.join(known, "label", "left").select(
-        "label", "hits", "sources", "first_row", bucket.alias("bucket"), F.coalesce("_s", F.lit(False)).alias("supported"))
+    marked = stats.join(known, "label", "left").withColumn("supported", F.coalesce("_s", F.lit(False)))
+    share = marked.agg(F.round(F.sum(F.when(F.col("supported"), F.col("hits")).otherwise(0)) / F.sum("hits"), 6)).scalar()
+    return marked.select("label", "hits", "sources", "datasets", "first_row", bucket.alias("bucket"), "supported", share.alias("share"))
+
+
+def expansion_candidates(labels: DataFrame, mapping: DataFrame, assertable: DataFrame, top: int = 100) -> DataFrame:
+    """Mapped labels that no replay asserts yet, with the first row that has one, most hits first.
+
+    ``mapping`` has ``label, entity``. The report takes the ``top`` ones, so one task orders no more than these.
+    """
+    stats = labels.groupBy("label").agg(F.count("*").alias("hits"), F.min(F.struct("source", "row_idx")).alias("at"))
+    open_ = mapping.join(assertable.select("label"), "label", "left_anti").join(stats, "label")
+    best = open_.orderBy(F.col("hits").desc(), "label").limit(top)
+    return best.select(F.row_number().over(Window.orderBy(F.col("hits").desc(), "label")).alias("rank"), "label", "entity", "hits",
+                       F.col("at.source").alias("dataset"), F.col("at.row_idx").alias("row_idx"))
 
 
 def parity(current: DataFrame, baseline: DataFrame, key: str, value: str) -> DataFrame:

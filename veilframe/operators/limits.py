@@ -10,6 +10,7 @@ chunks then place their requests. Budgets are spent per single window.
 from __future__ import annotations
 
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,21 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = ["identity", "profile_id"]
+DECISION = {"allowed": "boolean", "reason": "string", "retry_after_ms": "bigint", "limit": "bigint", "remaining": "bigint",
+            "reset_at_ms": "bigint"}
 
 
 def effective_limit(base: Column, burst: Column) -> Column:
     return F.greatest(F.lit(1), F.round(base * burst)).cast("bigint")
 
 
+def _on_keys(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+    """Inner join on identity, profile (null equals null) and further columns; the right one's go."""
+    right = right.select(*[F.col(c).alias(f"_{c}" if c in (*KEY, *more) else c) for c in right.columns])
+    same = [left[c].eqNullSafe(right[f"_{c}"]) for c in KEY] + [left[c] == right[f"_{c}"] for c in more]
+    return left.join(right, same).drop(*[f"_{c}" for c in (*KEY, *more)])
+
+
 def window_starts(requests: DataFrame, window_us: int, chunk_windows: int = 5) -> DataFrame:
     """Adds ``window_start`` (microseconds) to requests with ``identity, profile_id, ts_us``."""
     chunk_us = window_us * chunk_windows
@@ -83,30 +93,42 @@ def window_starts(requests: DataFrame, window_us: int, chunk_windows: int = 5) -
             out[k] = pdf[k].iloc[0]
         return out[[*KEY, "chunk", "ts_us", "window_start"]]
 
-    placed = times.join(entry, [*KEY, "chunk"]).groupBy(*KEY, "chunk").applyInPandas(
+    placed = _on_keys(times, entry, "chunk").groupBy(*KEY, "chunk").applyInPandas(
         place, "identity string, profile_id string, chunk bigint, ts_us bigint, window_start bigint")
-    return chunked.join(placed, [*KEY, "chunk", "ts_us"]).drop("chunk")
+    return _on_keys(chunked, placed, "chunk", "ts_us").drop("chunk")
+
+
+@dataclass(frozen=True)
+class Budget:
+    """What a profile may spend in a window; ``dry_run`` only reports."""
+
+    requests: int
+    tokens: int
+    mode: str = "enforce"
+
+
+def decide(budget: Budget | None, ts_us: int, want: int, start: int, used: int, tokens: int, window_us: int) -> tuple[tuple, tuple[int, int]]:
+    """One decision (the columns of ``DECISION``) after ``used`` requests and ``tokens`` units, and what it spends."""
+    wait = (start + window_us - ts_us) // 1000
+    if budget is None:
+        return (True, "within_budget", 0, 0, 0, ts_us // 1000), (0, 0)
+    req_over, tok_over = used + 1 > budget.requests, want > max(budget.tokens - tokens, 0)
+    over, dry = req_over or tok_over, budget.mode == "dry_run"
+    reason = "request_budget_exhausted" if req_over else "token_budget_exhausted" if tok_over else "within_budget"
+    row = (dry or not over, reason, max(wait, 1) if over else 0, budget.tokens if tok_over and not req_over else budget.requests,
+           0 if over else budget.requests - used - 1, ts_us // 1000 + wait)
+    return row, ((1, want) if dry or not over else (0, 0))
 
 
 def spend(pdf: pd.DataFrame, window_us: int) -> pd.DataFrame:
     """Decisions of one window in time order; a rejected request spends nothing when enforcing."""
-    pdf = pdf.sort_values(["ts_us", "event_id"])
-    used_req = used_tok = 0
+    used = tokens = 0
     rows = []
-    for r in pdf.itertuples(index=False):
-        req_over = 1 > max(r.request_limit - used_req, 0)
-        tok_over = r.token_units > max(r.token_limit - used_tok, 0)
-        limit = r.token_limit if tok_over and not req_over else r.request_limit
-        left = 0 if req_over or tok_over else max(r.request_limit - used_req - 1, 0)
-        dry = r.mode == "dry_run"
-        if dry or not (req_over or tok_over):
-            used_req, used_tok = used_req + 1, used_tok + r.token_units
-        wait = (r.window_start + window_us - r.ts_us) // 1000
-        reason = "request_budget_exhausted" if req_over else "token_budget_exhausted" if tok_over else "within_budget"
-        over = req_over or tok_over
-        rows.append((r.event_id, dry or not over, reason, max(wait, 1) if over else 0, limit, left,
-                     r.ts_us // 1000 + wait))
-    return pd.DataFrame(rows, columns=["event_id", "allowed", "reason", "retry_after_ms", "limit", "remaining", "reset_at_ms"])
+    for r in pdf.sort_values(["ts_us", "event_id"]).itertuples(index=False):
+        row, spent = decide(Budget(r.request_limit, r.token_limit, r.mode), r.ts_us, r.token_units, r.window_start, used, tokens, window_us)
+        used, tokens = used + spent[0], tokens + spent[1]
+        rows.append((r.event_id, *row))
+    return pd.DataFrame(rows, columns=["event_id", *DECISION])
 
 
 def limit_requests(requests: DataFrame, limits: DataFrame, default_profile: str, window_us: int = 60_000_000) -> DataFrame:
@@ -125,8 +147,7 @@ def limit_requests(requests: DataFrame, limits: DataFrame, default_profile: str,
         effective_limit(F.col("requests_per_minute"), F.col("burst")).alias("request_limit"),
         effective_limit(F.col("token_units_per_minute"), F.col("burst")).alias("token_limit"))
     placed = window_starts(ready.filter("mode is not null"), window_us)
-    schema = ("event_id bigint, allowed boolean, reason string, retry_after_ms bigint, limit bigint, remaining bigint, "
-              "reset_at_ms bigint")
+    schema = "event_id bigint, " + ", ".join(f"{name} {kind}" for name, kind in DECISION.items())
     decided = placed.groupBy(*KEY, "window_start").applyInPandas(lambda pdf: spend(pdf, window_us), schema)
     free = ready.filter("mode is null").select(
         "event_id", F.lit(True).alias("allowed"), F.lit("within_budget").alias("reason"),

@@ -72,21 +72,34 @@ def histogram(df: DataFrame, seconds: Column, **labels: Column) -> DataFrame:
     return wide.select(*labels, "sum", "count", F.inline(rows))
 
 
+#: Cuts of a group's values by which its ranks are looked for, and the accuracy of the sketch that places them.
+CUTS, SKETCH = 256, 10_000
+
+
 def nearest_rank(df: DataFrame, value: str, percents: list[int], by: str) -> DataFrame:
-    """Exact nearest-rank percentiles: the value at index floor((n - 1) * p / 100).
+    """Exact nearest-rank percentiles: the value at index floor((n - 1) * p / 100); null values do not count.
 
-    Values are pre-counted per group first, so the window runs over distinct values only and a hot
-    group with few distinct values stays small.
+    Equal values of a group are counted together first. A sketch of bounded size cuts each group into
+    some hundred ranges; the ranges are counted exactly, and only the one that holds a rank is put in
+    order. So no task holds a group, however large it is, and the sketch decides about work only.
     """
-    counts = df.groupBy(by, value).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(by)
-    ranked = counts.withColumn("_hi", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(whole))
-    aggs = []
-    for p in percents:
-        index = F.floor((F.col("_total") - 1) * p / 100)
-        aggs.append(F.min(F.when(F.col("_hi") > index, F.col(value))).alias(f"p{p}"))
-    return ranked.groupBy(by).agg(*aggs)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g")).agg(F.percentile_approx(
+        value, [k / CUTS for k in range(1, CUTS)], SKETCH).alias("_cuts"))
+    placed = counts.join(cuts, F.col("_by").eqNullSafe(F.col("_g")), "left").withColumn(
+        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_g", "_cuts")
+    group = Window.partitionBy("_by")
+    ranges = placed.groupBy("_by", "_range").agg(F.sum("_n").alias("_n")).withColumn(
+        "_upto", F.sum("_n").over(group.orderBy("_range"))).withColumn("_total", F.sum("_n").over(group))
+    index = F.floor((F.col("_total") - 1) * F.col("_p") / 100)
+    wanted = ranges.withColumn("_p", F.explode(F.array(*map(F.lit, percents)))).filter(
+        (index >= F.col("_upto") - F.col("_n")) & (index < F.col("_upto"))).select(
+        F.col("_by").alias("_g"), F.col("_range").alias("_r"), "_p", (index - F.col("_upto") + F.col("_n")).alias("_index"))
+    inside = Window.partitionBy("_by", "_range", "_p").orderBy("_v")
+    ranked = placed.join(wanted, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r"))).withColumn(
+        "_upto", F.sum("_n").over(inside)).filter(F.col("_upto") > F.col("_index"))
+    return ranked.groupBy(F.col("_by").alias(by)).agg(*[
+        F.min(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])
 
 
 def rfc3339_ms(ms: Column) -> Column:

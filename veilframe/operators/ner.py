@@ -5,15 +5,18 @@ The model itself is a plug-in: any callable from texts to spans, loaded once per
 
 from __future__ import annotations
 
+import bisect
 import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.arrays import cut_at, let
 from veilframe.functions.regex import jvm
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -84,15 +87,33 @@ def recognize_distinct(df: DataFrame, column: str, load: Callable[[], Callable[[
         F.when(F.col(column).isNull(), F.array().cast(ENTITY_SPANS)).otherwise(F.col("_r.spans")).alias("ner_spans"))
 
 
-def bio_spans(tokens: DataFrame, key: str = "text_id") -> DataFrame:
-    """BIO labels to spans (``tok_idx, label, st, en`` per token): B opens, a changed I opens too."""
-    entity = F.when(F.col("label").rlike("^[BI]-"), F.expr("substring(label, 3)"))
-    by_text = Window.partitionBy(key).orderBy("tok_idx")
-    df = tokens.withColumn("entity", entity)
-    opens = F.startswith("label", F.lit("B-")) | ~F.lag("entity").over(by_text).eqNullSafe(F.col("entity"))
-    df = df.withColumn("_n", F.sum(F.when(F.col("entity").isNotNull() & opens, 1).otherwise(0)).over(by_text))
-    return df.filter("entity is not null").groupBy(key, "_n", "entity").agg(
-        F.min("tok_idx").alias("first_token"), F.max("tok_idx").alias("last_token"), F.min("st").alias("st"), F.max("en").alias("en")).drop("_n")
+def bio_spans(tokens: Column, threshold: float = 0.0) -> Column:
+    """Spans of a text from its tokens (``label, st, en, logits`` in order): B opens one, a changed I opens one too.
+
+    ``array<struct<entity,first_token,last_token,st,en,score>>``, where the score is the mean probability of the
+    labels chosen in the span; spans below ``threshold`` are left out. All within the row.
+    """
+    def entity(t: Column) -> Column:
+        return F.when(t["label"].rlike("^[BI]-"), F.substring(t["label"], F.lit(3), F.char_length(t["label"])))
+
+    def decode(seen: Column) -> Column:
+        def opens(t: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.try_element_at(seen, F.greatest(i, F.lit(1)))["entity"])
+            return F.when(t["entity"].isNotNull() & (F.startswith(t["label"], F.lit("B-")) | ~before.eqNullSafe(t["entity"])), i)
+
+        return let(F.array_compact(F.transform(seen, opens)), lambda starts: F.transform(
+            cut_at(seen, starts), lambda part: F.filter(part, lambda t: t["entity"].isNotNull())))
+
+    def told(part: Column) -> Column:
+        last = F.element_at(part, -1)
+        total = F.aggregate(part, F.lit(0.0), lambda a, t: a + t["p"])
+        return F.struct(part[0]["entity"].alias("entity"), part[0]["i"].alias("first_token"), last["i"].alias("last_token"),
+                        part[0]["st"].alias("st"), last["en"].alias("en"), (total / F.size(part)).alias("score"))
+
+    seen = F.transform(tokens, lambda t, i: F.struct(
+        i.alias("i"), t["label"].alias("label"), entity(t).alias("entity"), t["st"].alias("st"), t["en"].alias("en"),
+        chosen_probability(t["logits"]).alias("p")))
+    return F.filter(F.transform(let(seen, decode), told), lambda s: s["score"] >= threshold)
 
 
 def best_label(logits: Column) -> Column:
@@ -124,16 +145,37 @@ def merge_union(hits: DataFrame, key: str = "text_id") -> DataFrame:
         F.max_by("entity", F.struct(F.col("score"), -F.col("model_idx"))).alias("entity"), F.max("score").alias("score"))
 
 
-def merge_highest(hits: Column) -> Column:
-    """Greedy non-overlapping choice by score, then start, on an array of hits."""
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct((-h["score"]).alias("a"), h["st"].alias("b"), h.alias("h"))))
+MERGED = T.ArrayType(T.StructType([
+    T.StructField("st", T.IntegerType()), T.StructField("en", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 
-    def step(acc, x):
-        clash = F.exists(acc, lambda k: (x["h"]["st"] < k["en"]) & (k["st"] < x["h"]["en"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x["h"])))
 
-    return F.aggregate(ordered, F.filter(hits, lambda h: F.lit(False)), step, lambda a: F.array_sort(F.transform(
-        a, lambda h: F.struct(h["st"].alias("st"), h["en"].alias("en"), h["score"].alias("score")))))
+def greedy(hits: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Hits by score, then start, then end, each kept where it overlaps no kept one; in order of place.
+
+    Kept hits are disjoint and sorted, so only the neighbours of the place where one goes can overlap it.
+    """
+    starts: list[int] = []
+    kept: list[tuple[int, int, float]] = []
+    for st, en, score in sorted(hits, key=lambda h: (-h[2], h[0], h[1])):
+        at = bisect.bisect_left(starts, st)
+        after = at == len(kept) or not (st < kept[at][1] and kept[at][0] < en)
+        before = at == 0 or not (st < kept[at - 1][1] and kept[at - 1][0] < en)
+        if after and before:
+            starts.insert(at, st)
+            kept.insert(at, (st, en, score))
+    return kept
+
+
+@F.arrow_udf(MERGED)
+def merge_highest(hits: pa.Array) -> pa.Array:
+    """Greedy non-overlapping choice from each row's array of hits (``st, en, score``); null gives null."""
+    kind = pa.list_(pa.struct([("st", pa.int32()), ("en", pa.int32()), ("score", pa.float64())]))
+    return pa.array([None if row is None else [dict(zip(("st", "en", "score"), h)) for h in greedy(
+        [(h["st"], h["en"], h["score"]) for h in row])] for row in hits.to_pylist()], kind)
+
+
+# as with the JSON functions: computed once, not copied into every later expression
+merge_highest = merge_highest.asNondeterministic()
 
 
 def blank_regions(text: Column, spans: Column) -> Column:

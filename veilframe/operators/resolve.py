@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.operators.detect import HIT_FIELDS
+from veilframe.functions.arrays import cut_at, folded_before, let
 from veilframe.operators.rules import ACTIONS
 
 SPAN_FIELDS = (
@@ -18,7 +18,6 @@ SPAN_FIELDS = (
     "priority:int,template:string,suppressed:array<string>"
 )
 SPAN_TYPE = f"array<struct<{SPAN_FIELDS}>>"
-ISLAND = f"struct<ptr:string,st:int,en:int,members:array<struct<{HIT_FIELDS}>>>"
 
 
 def no_spans() -> Column:
@@ -36,32 +35,20 @@ def hit_order(hits: Column) -> Column:
 
 
 def islands(ordered: Column) -> Column:
-    """Group sorted hits: a hit joins the open island when it starts before that island ends."""
-    def single(h):
-        return F.struct(h["ptr"].alias("ptr"), h["st"].alias("st"), h["en"].alias("en"), F.array(h).alias("members"))
+    """Group sorted hits: a hit joins the island before it when it starts before that island ends.
 
-    start = F.struct(
-        F.array().cast(f"array<{ISLAND}>").alias("closed"), F.lit(None).cast(ISLAND).alias("open"),
-    )
+    An island ends where the latest of all hits before, of the same pointer, does.
+    """
+    ends = F.transform(ordered, lambda h: F.struct(h["ptr"].alias("ptr"), h["en"].alias("at")))
 
-    def step(acc, h):
-        cur = acc["open"]
-        joins = (cur["ptr"] == h["ptr"]) & (h["st"] < cur["en"])
-        grown = F.struct(
-            cur["ptr"].alias("ptr"), cur["st"].alias("st"), F.greatest(cur["en"], h["en"]).alias("en"),
-            F.concat(cur["members"], F.array(h)).alias("members"),
-        )
-        fresh = F.struct(
-            F.when(cur.isNull(), acc["closed"]).otherwise(F.concat(acc["closed"], F.array(cur))).alias("closed"),
-            single(h).alias("open"),
-        )
-        return F.when(joins, F.struct(acc["closed"].alias("closed"), grown.alias("open"))).otherwise(fresh)
-
-    return F.aggregate(
-        ordered, start, step,
-        lambda acc: F.when(acc["open"].isNull(), acc["closed"]).otherwise(
-            F.concat(acc["closed"], F.array(acc["open"]))),
-    )
+    def opened(latest: Column) -> Column:
+        starts = F.transform(ordered, lambda h, i: F.when(
+            F.coalesce(F.struct(h["ptr"].alias("ptr"), h["st"].alias("at")) >= latest[i], F.lit(True)), i))
+        return let(F.array_compact(starts), lambda s: F.transform(cut_at(ordered, s), lambda m: F.struct(
+            m[0]["ptr"].alias("ptr"), m[0]["st"].alias("st"), F.array_max(F.transform(m, lambda h: h["en"])).alias("en"),
+            m.alias("members"))))
+
+    return let(folded_before(ends, lambda a, b: F.greatest(a, b)), opened)
 
 
 def better(a: Column, b: Column) -> Column:
@@ -73,24 +60,22 @@ def better(a: Column, b: Column) -> Column:
 
 
 def _beaten(members: Column) -> Column:
-    """Rule ids that lost, dethroned winners first (latest first), then those that never led."""
-    names = "array<string>"
-    start = F.struct(
-        members[0].alias("lead"), F.array().cast(names).alias("fallen"), F.array().cast(names).alias("never"))
-
-    def step(acc, h):
-        return F.when(better(h, acc["lead"]), F.struct(
-            h.alias("lead"), F.concat(F.array(acc["lead"]["rule_id"]), acc["fallen"]).alias("fallen"),
-            acc["never"].alias("never"),
-        )).otherwise(F.struct(
-            acc["lead"].alias("lead"), acc["fallen"].alias("fallen"),
-            F.concat(acc["never"], F.array(h["rule_id"])).alias("never"),
-        ))
-
-    return F.aggregate(
-        F.slice(members, 2, F.greatest(F.size(members) - 1, F.lit(0))), start, step,
-        lambda acc: F.struct(acc["lead"].alias("lead"), F.concat(acc["fallen"], acc["never"]).alias("lost")),
-    )
+    """The winner and the rule ids that lost: dethroned winners first (latest first), then those that never led."""
+    keys = F.transform(members, lambda h: F.struct(
+        h["rank"].alias("rank"), h["priority"].alias("priority"), h["rule_id"].alias("rule_id")))
+
+    def told(led: Column) -> Column:
+        led_ids = F.transform(F.filter(led, lambda x: x["leads"]), lambda x: x["i"])
+        never = F.transform(F.filter(led, lambda x: ~x["leads"]), lambda x: members[x["i"]]["rule_id"])
+        return let(led_ids, lambda ids: F.struct(
+            members[F.element_at(ids, -1)].alias("lead"),
+            F.concat(F.transform(F.reverse(F.slice(ids, F.lit(1), F.size(ids) - 1)), lambda i: members[i]["rule_id"]), never).alias("lost")))
+
+    def marked(best: Column) -> Column:
+        return let(F.transform(members, lambda h, i: F.struct(
+            F.coalesce(better(h, best[i]), F.lit(True)).alias("leads"), i.alias("i"))), told)
+
+    return let(folded_before(keys, lambda a, b: F.when(better(b, a), b).otherwise(a)), marked)
 
 
 def to_spans(island_col: Column) -> Column:
@@ -109,7 +94,7 @@ def to_spans(island_col: Column) -> Column:
 
 
 def resolve_in_row(hits: Column) -> Column:
-    return F.when(F.size(hits) > 0, to_spans(islands(hit_order(hits)))).otherwise(no_spans())
+    return F.when(F.size(hits) > 0, let(hit_order(hits), lambda ordered: to_spans(islands(ordered)))).otherwise(no_spans())
 
 
 def resolve_exploded(hits: DataFrame, key: str = "request_id") -> DataFrame:

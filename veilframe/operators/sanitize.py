@@ -87,18 +87,24 @@ def sanitize_text(
         F.when(~blocked & (F.col(output) != F.col(column)), 1).otherwise(0))
 
 
-def with_leaves(df: DataFrame, payload: str, dtype: T.DataType | None = None) -> DataFrame:
-    """Adds ``leaves``: typed columns are walked by schema, strings are parsed as JSON."""
+def with_leaves(df: DataFrame, payload: str, dtype: T.DataType | None = None, processor: L.Processor = L.JSON) -> DataFrame:
+    """Adds ``leaves``: typed columns are walked by schema, strings are read by the processor, as JSON by default.
+
+    Where ``split_requests`` has read the payload already, its column ``_nodes`` is used up.
+    """
     dtype = dtype or df.schema[payload].dataType
     if isinstance(dtype, T.StringType):
-        return df.withColumn("_nodes", L.json_nodes(F.col(payload))).withColumn(
-            "leaves", L.string_leaves(F.col("_nodes"))).drop("_nodes")
+        read = df if "_nodes" in df.columns else df.withColumn("_nodes", processor.nodes(F.col(payload)))
+        return read.withColumn("leaves", L.string_leaves(F.col("_nodes"))).drop("_nodes")
     return df.withColumn("leaves", L.typed_leaves(F.col(payload), dtype))
 
 
-def split_requests(df: DataFrame, policy: Policy = DEFAULT_POLICY, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+def split_requests(df: DataFrame, policy: Policy = DEFAULT_POLICY, payload: str = "payload",
+                   processor: L.Processor = L.JSON) -> tuple[DataFrame, DataFrame]:
     """Valid requests with ``effective_profile``, and rejected ones with ``error``.
 
+    Valid ones keep what was read of a text payload in ``_nodes``, so that ``evaluate`` does not read it again.
+
     ``request_id`` and ``effective_language`` must not be blank; a blank profile means the default
     and an unknown one is an error. So is a text payload that is not JSON, or too deep to parse.
     """
@@ -111,9 +117,9 @@ def split_requests(df: DataFrame, policy: Policy = DEFAULT_POLICY, payload: str
     )
     checked = df.withColumn("effective_profile", effective).withColumn("error", error)
     if payload in df.columns and isinstance(df.schema[payload].dataType, T.StringType):
-        checked = checked.withColumn("_nodes", L.json_nodes(F.col(payload))).withColumn("error", F.coalesce(
-            "error", F.when(F.col("_nodes").isNull(), "invalid_input:payload"))).drop("_nodes")
-    return checked.filter("error is null").drop("error"), checked.filter("error is not null")
+        checked = checked.withColumn("_nodes", processor.nodes(F.col(payload))).withColumn("error", F.coalesce(
+            "error", F.when(F.col("_nodes").isNull(), "invalid_input:payload")))
+    return checked.filter("error is null").drop("error"), checked.filter("error is not null").drop("_nodes")
 
 
 def _by_profile(policy: Policy, value) -> Column:
@@ -124,7 +130,7 @@ def _by_profile(policy: Policy, value) -> Column:
 def evaluate(
     requests: DataFrame, *, policy: Policy = DEFAULT_POLICY, payload: str = "payload",
     extra_hits: str | None = None, degraded: str | None = None, fail_closed: str | None = None,
-    protect: str | None = None, trace: bool = False,
+    protect: str | None = None, trace: bool = False, processor: L.Processor = L.JSON,
 ) -> DataFrame:
     """Evaluate valid requests (see ``split_requests``), each under its own profile and mode.
 
@@ -133,9 +139,10 @@ def evaluate(
     recognizer run: a fail-closed row is blocked when its mode enforces. ``protect`` is a pointer
     prefix whose leaves are scanned but never rewritten. A text payload that does not parse, and a row
     with more hits than an explicit limit, are blocked: nothing unscanned is released. ``trace`` keeps the stage columns.
+    ``processor`` reads and writes text payloads that are not JSON.
     """
     dtype = requests.schema[payload].dataType
-    df = with_leaves(requests, payload, dtype)
+    df = with_leaves(requests, payload, dtype, processor)
     df = df.withColumn("_leaves", F.transform("leaves", lambda x: F.struct(
         x["leaf_seq"].alias("leaf_seq"), x["ptr"].alias("ptr"), x["text"].alias("text"),
         F.lower(x["text"]).alias("low"))))
@@ -164,9 +171,9 @@ def evaluate(
     cut = _dropped(F.col("_raw"), F.col("_limit")) > 0
     df = df.withColumn("final_action", F.when(F.col("fail_closed_applied") | unread | cut, BLOCK).otherwise(
         final_action(F.col("spans")))).withColumn("blocked", F.col("final_action") == BLOCK)
-    df = _rewrite(df, payload, dtype, protect)
+    df = _rewrite(df, payload, dtype, protect, processor)
     df = _decision(df)
-    keep = [c for c in requests.columns if c != payload] + ([payload] if trace else [])
+    keep = [c for c in requests.columns if c not in (payload, "_nodes")] + ([payload] if trace else [])
     cols = [*keep, "final_action", "blocked", "sanitized_payload", "transformed_fields", "decision",
             "explain", "audit", "executed", "degraded"]
     if trace:
@@ -178,7 +185,7 @@ def evaluate(
     return df.select(*cols)
 
 
-def _rewrite(df: DataFrame, payload: str, dtype: T.DataType, protect: str | None) -> DataFrame:
+def _rewrite(df: DataFrame, payload: str, dtype: T.DataType, protect: str | None, processor: L.Processor) -> DataFrame:
     """Adds ``sanitized_payload`` (null when blocked) and the number of leaves that changed."""
     def changed(x):
         mine = F.filter("spans", lambda s: s["ptr"] == x["ptr"])
@@ -195,7 +202,7 @@ def _rewrite(df: DataFrame, payload: str, dtype: T.DataType, protect: str | None
     df = df.withColumn("transformed_fields", F.size("_diff"))
     texts = F.map_from_entries(F.transform("_diff", lambda d: F.struct(d["ptr"], d["new"])))
     if isinstance(dtype, T.StringType):
-        new = L.set_json_leaves(F.col(payload), texts)
+        new = processor.rewrite(F.col(payload), texts)
     else:
         new = L.rewrite_typed(F.col(payload), dtype, F.col("_texts"))
         df = df.withColumn("_texts", texts)

@@ -116,12 +116,26 @@ def argument_violations(calls: DataFrame, max_long: int | None = None) -> DataFr
         F.col("_constraints")))).drop("_nodes", "_keys", "_kinds", "_spec", "_constraints")
 
 
-def result_content(payload: Column) -> Column:
-    """The content of a tool result: ``result.content``, else ``content``, else the whole value."""
+def result_envelope(payload: Column) -> Column:
+    """Content, content type, whether it was cut, and error of a tool result.
+
+    An object in ``result`` is the envelope and must have content; else the object's own ``content``
+    counts, else the whole value.
+    """
     inner = F.get_json_object(payload, "$.result")
     nested = F.json_object_keys(inner).isNotNull()
-    return F.when(nested, F.get_json_object(payload, "$.result.content")).otherwise(
-        F.coalesce(F.get_json_object(payload, "$.content"), payload))
+    held = F.array_contains(F.json_object_keys(inner), F.lit("content"))
+    source = F.when(nested, inner).otherwise(F.when(F.json_object_keys(payload).isNotNull(), payload))
+    own = F.coalesce(F.array_contains(F.json_object_keys(payload), F.lit("content")), F.lit(False))
+    variant = F.try_parse_json(source)
+    return F.struct(
+        F.when(nested, F.get_json_object(inner, "$.content")).when(own, F.get_json_object(payload, "$.content")).otherwise(
+            payload).alias("content"),
+        F.when(F.schema_of_variant(F.try_variant_get(variant, "$.content_type", "variant")) == "STRING",
+               F.try_variant_get(variant, "$.content_type", "string")).alias("content_type"),
+        F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(variant, "$.truncated", "variant")) == "BOOLEAN",
+                          F.try_variant_get(variant, "$.truncated", "boolean")), F.lit(False)).alias("truncated"),
+        F.when(nested & ~held, "result.content required").alias("error"))
 
 
 def rejection(calls: DataFrame) -> DataFrame:
@@ -144,3 +158,12 @@ def audit_row(df: DataFrame) -> DataFrame:
         "request_id", F.col("server").alias("server_id"), F.col("tool").alias("tool_id"), "profile_id",
         F.when(blocked | rejected, "block").otherwise("allow").alias("final_action"), F.lit(0).cast("bigint").alias("rule_hits_total"),
         blocked.alias("blocked"))
+
+
+def audit_calls(calls: DataFrame, servers: DataFrame, tools: DataFrame) -> DataFrame:
+    """The whole chain: policy reason, shape, subset and profile binding, arguments; one audit record per call.
+
+    ``calls`` has ``request_id, server, tool, arguments, tags, meta_profile, key_profile``.
+    """
+    checked = argument_violations(call_reason(calls, servers, tools))
+    return audit_row(rejection(checked).withColumn("profile_id", F.col("key_profile")))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.operators import chat as C
-from veilframe.operators import sanitize as S
-from veilframe.operators.detect import rank_of
+from veilframe.plans import oracle as O
 from veilframe.sources.tables import known_size, table
 
 QUERIES, ORACLES = {}, {}
@@ -51,17 +50,24 @@ def chat_validation(spark, sf):
     return C.validate(turns(spark, sf).withColumn("body", built), "body").select("request_id", "error")
 
 
-@add("l2_responses_input", f"""WITH {T} SELECT request_id, i AS pos, CASE WHEN n % 3 = 1 OR (n % 3 = 2 AND i = 1) THEN role ELSE 'user' END AS role, md5(text) AS content_md5
-  FROM t, range(2) r(i) WHERE i = 0 OR n % 3 = 2""")
+@add("l2_responses_input", f"""WITH {T} SELECT request_id, i AS pos, CASE n % 8 WHEN 3 THEN 'input empty' WHEN 4 THEN 'input[1] unsupported' WHEN 5 THEN 'input.content unsupported' WHEN 6 THEN 'input[0].role required' END AS error,
+    CASE WHEN n % 8 IN (3, 4, 5, 6) THEN NULL WHEN n % 8 IN (1, 7) OR (n % 8 = 2 AND i = 1) THEN role ELSE 'user' END AS role,
+    CASE WHEN n % 8 IN (0, 1, 2) THEN md5(text) END AS content_md5,
+    CASE WHEN n % 8 = 7 THEN md5('[{{"text":' || to_json(text)::VARCHAR || ',"type":"input_text"}}]') END AS blocks_md5
+  FROM t, range(2) r(i) WHERE i = 0 OR n % 8 = 2""")
 def responses_input(spark, sf):
-    """Responses input as text, object or list, mapped to messages."""
+    """Responses input as text, object, list or blocks, mapped to messages; errors for what is not supported."""
+    quoted = F.expr("substring(to_json(array(text)), 2, char_length(to_json(array(text))) - 2)")
     msg = F.to_json(F.struct("role", F.col("text").alias("content")))
-    text = F.get_json_object(F.to_json(F.struct(F.array("text").alias("a"))), "$.a")
-    value = F.when(F.col("n") % 3 == 0, F.expr("substring(to_json(array(text)), 2, char_length(to_json(array(text))) - 2)")).when(F.col("n") % 3 == 1, msg).otherwise(
-        F.concat(F.lit("["), F.expr("substring(to_json(array(text)), 2, char_length(to_json(array(text))) - 2)"), F.lit(","), msg, F.lit("]")))
+    n = F.col("n") % 8
+    value = (F.when(n == 0, quoted).when(n == 1, msg).when(n == 2, F.concat(F.lit("["), quoted, F.lit(","), msg, F.lit("]")))
+             .when(n == 3, F.lit("[]")).when(n == 4, F.concat(F.lit("["), msg, F.lit(",7]"))).when(n == 5, F.lit('{"role":"user","content":7}'))
+             .when(n == 6, F.concat(F.lit('[{"role":" ","content":'), quoted, F.lit("}]")))
+             .otherwise(F.to_json(F.struct("role", F.array(F.struct("text", F.lit("input_text").alias("type"))).alias("content")))))
     df = turns(spark, sf).withColumn("body", F.concat(F.lit('{"model":"m","input":'), value, F.lit("}")))
-    m = df.select("request_id", F.posexplode(C.input_messages(F.col("body"))).alias("pos", "m"))
-    return m.select("request_id", F.col("pos").cast("bigint").alias("pos"), "m.role", F.md5("m.content").alias("content_md5"))
+    m = C.responses_input(df, "body").select("request_id", "error", F.posexplode_outer("messages").alias("pos", "m"))
+    return m.select("request_id", F.coalesce("pos", F.lit(0)).cast("bigint").alias("pos"), "error", "m.role", F.md5("m.content").alias("content_md5"),
+                    F.md5("m.blocks").alias("blocks_md5"))
 
 
 @add("l3_metadata_tags", f"WITH {T} SELECT request_id, k AS tag, CASE k WHEN 'profile' THEN 'strict' ELSE role END AS value FROM t, (VALUES ('profile'), ('role')) v(k)")
@@ -161,15 +167,25 @@ def error_digests(spark, sf):
     return turns(spark, sf).select("request_id", C.error_digest(body).alias("d")).select("request_id", "d.*")
 
 
-@add("l12_stream_outcomes", f"WITH {T} SELECT request_id, 1::BIGINT AS hits, 'redact' AS final_action FROM t")
+TOLD = "text || ' write to bob' || n || '@example.com or 10.0.0.' || n % 250"
+
+
+@add("l12_stream_outcomes", f"""
+  WITH {T}, {O.hits_ctes(f"SELECT request_id AS k, v.leaf_seq, v.ptr, v.text FROM (SELECT *, {TOLD} AS told FROM t) t, LATERAL (VALUES (0, '/0/1/choices/0/delta/content', told), (1, '/2/0/note', role)) v(leaf_seq, ptr, text)")},
+  {O.SPANS}, {O.FINAL}, {O.rewritten_ctes(4)}, h AS (SELECT k, count(*) AS found FROM hits GROUP BY k)
+  SELECT t.request_id, coalesce(h.found, 0)::BIGINT AS hits, coalesce(f.final_action, 'allow') AS final_action,
+    CASE WHEN coalesce(f.final_action, '') <> 'block' THEN md5('event: delta' || chr(10) || 'data: {{"choices": [{{"delta":{{"content":' || to_json(coalesce(r.new_text, {TOLD}))::VARCHAR || '}}}}],"n":1.50}}'
+      || chr(10) || chr(10) || 'data:  not json' || chr(10) || chr(10) || 'data: {{"note":' || to_json(role)::VARCHAR || '}}' || chr(10) || 'retry: 5' || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)) END AS body_md5
+  FROM t LEFT JOIN h ON h.k = t.request_id LEFT JOIN final f ON f.k = t.request_id LEFT JOIN rewritten r ON r.k = t.request_id AND r.leaf_seq = 0""")
 def stream_outcomes(spark, sf):
-    """Event streams masked event by event (each carries one address), combined per stream."""
-    body = F.concat(F.lit("data: "), F.to_json(F.struct(F.concat(F.lit("mail bob"), F.col("n").cast("string"), F.lit("@example.com")).alias("delta"))),
-                    F.lit("\n\ndata: "), F.to_json(F.struct("role")), F.lit("\n\ndata: [DONE]\n\n"))
-    lines = C.sse_lines(turns(spark, sf).select("request_id", body.alias("body")), "body").filter("kind = 'json'")
-    req = lines.select("request_id", F.lit("strict").alias("effective_profile"), F.lit("enforce").alias("mode"), F.col("data").alias("payload"))
-    out = S.evaluate(req).select("request_id", "final_action", F.col("decision.rule_hits_total").cast("bigint").alias("hits"))
-    return C.stream_outcome(out.withColumn("rank", rank_of(F.col("final_action"))), "request_id").select("request_id", "hits", "final_action")
+    """Event streams of the turns' texts masked event by event and rebuilt; other lines stay as they are."""
+    told = F.expr("to_json(array(concat(text, ' write to bob', n, '@example.com or 10.0.0.', n % 250)))")
+    quoted = F.substring(told, F.lit(2), F.char_length(told) - 2)
+    body = F.concat(F.lit('event: delta\r\ndata:{"choices": [{"delta":{"content":'), quoted, F.lit('}}],"n":1.50}\n\ndata:  not json\n\n \n\ndata: '),
+                    F.to_json(F.struct(F.col("role").alias("note"))), F.lit("\nretry: 5\n\ndata: [DONE]\n\n"))
+    req = turns(spark, sf).select("request_id", body.alias("body"), F.lit("strict").alias("effective_profile"), F.lit("enforce").alias("mode"))
+    return C.masked_streams(req).select("request_id", F.col("decision.rule_hits_total").cast("bigint").alias("hits"), "final_action",
+                                        F.md5("sanitized_payload").alias("body_md5"))
 
 
 @add("l15_reassembled_streams", "SELECT conv_id::VARCHAR AS stream_id, md5(string_agg(text, '' ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id")

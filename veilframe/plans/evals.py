@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.arrays import explode_once
 from veilframe.operators import evals as E
 from veilframe.operators import metrics as MT
+from veilframe.operators import ner as N
 from veilframe.operators import sanitize as S
 from veilframe.plans import oracle as O
 from veilframe.plans.detection import documents
@@ -95,12 +96,14 @@ def span_match_query(spark, sf):
 
 @add("e5_detection_metrics", f"""WITH {GF}, r AS (SELECT entity, lang, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.doc_id = g.doc_id AND m.entity = g.entity AND m.g_st = g.st) THEN 'tp' ELSE 'fn' END AS k FROM g
     UNION ALL SELECT entity, lang, 'fp' FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = p.doc_id AND m.entity = p.entity AND m.p_st = p.st AND m.p_en = p.en)),
-  c AS (SELECT entity, lang, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn FROM r GROUP BY GROUPING SETS ((), (entity), (lang))),
+  c AS (SELECT entity, family, lang, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn
+    FROM (SELECT *, CASE entity WHEN 'person' THEN 'pii' ELSE 'corporate_markers' END AS family FROM r) GROUP BY GROUPING SETS ((), (entity), (family), (lang))),
   s AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c)
-  SELECT entity, lang, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1, round(coalesce(5 * p * r / nullif(4 * p + r, 0), 0.0), 6) AS f2 FROM s""")
+  SELECT entity, family, lang, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1, round(coalesce(5 * p * r / nullif(4 * p + r, 0), 0.0), 6) AS f2 FROM s""")
 def detection_metrics(spark, sf):
-    """Precision, recall, F1 and F2 overall, per entity and per language."""
-    return E.detection_metrics(*gold_and_found(spark, sf))
+    """Precision, recall, F1 and F2 overall, per entity, family and language."""
+    both = (df.withColumn("family", N.category(F.col("entity"))) for df in gold_and_found(spark, sf))
+    return E.detection_metrics(*both, by=("family", "lang"))
 
 
 @add("e6_expected_redaction", "SELECT doc_id, md5(replace(replace(text, 'tion', '[REDACTED]'), 'an', '[REDACTED]')) AS text_md5 FROM documents")
@@ -120,13 +123,24 @@ def label_partition(spark, sf):
     return unmapped.unionByName(seen.intersect(mapped.intersect(backlog)).withColumn("problem", F.lit("mapped and backlogged")))
 
 
-@add("e8_label_gaps", f"WITH {ANN} SELECT label, count(*) AS hits, count(DISTINCT source) AS sources, min(doc_id) AS first_row, CASE WHEN count(*) >= 8 THEN 'high' WHEN count(*) >= 4 THEN 'medium' ELSE 'low' END AS bucket, label IN ('en', 'fr') AS supported FROM ann GROUP BY label")
+@add("e8_label_gaps", f"""WITH {ANN} SELECT label, count(*) AS hits, count(DISTINCT source) AS sources, string_agg(DISTINCT source, ',' ORDER BY source) AS datasets, min(doc_id) AS first_row,
+  CASE WHEN count(*) >= 8 THEN 'high' WHEN count(*) >= 4 THEN 'medium' ELSE 'low' END AS bucket, label IN ('en', 'fr') AS supported,
+  (SELECT round(count(*) FILTER (label IN ('en', 'fr')) / count(*), 6) FROM ann) AS share FROM ann GROUP BY label""")
 def label_gaps(spark, sf):
     """Label coverage report."""
     supported = known_size(spark, [("en",), ("fr",)], "label string")
     return E.label_gaps(annotation_rows(spark, sf).withColumnRenamed("doc_id", "row_idx"), supported)
 
 
+@add("e8_expansion_candidates", f"""WITH {ANN}, s AS (SELECT label, count(*) AS hits, min({{'source': source, 'row_idx': doc_id}}) AS spot FROM ann GROUP BY label)
+  SELECT row_number() OVER (ORDER BY hits DESC, label)::INT AS rank, label, entity, hits, spot.source AS dataset, spot.row_idx AS row_idx
+  FROM s JOIN (VALUES ('en', 'person'), ('fr', 'person'), ('de', 'place'), ('any', 'other'), ('none', 'other')) m(label, entity) USING (label) WHERE label <> 'fr'""")
+def expansion_candidates(spark, sf):
+    """Mapped labels without an assertion, most hits first, with their first row."""
+    mapping = known_size(spark, [("en", "person"), ("fr", "person"), ("de", "place"), ("any", "other"), ("none", "other")], "label string, entity string")
+    return E.expansion_candidates(annotation_rows(spark, sf).withColumnRenamed("doc_id", "row_idx"), mapping, known_size(spark, [("fr",)], "label string"))
+
+
 @add("e9_parity", "SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM (SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) a FULL JOIN (SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL) b ON a.source = b.source")
 def parity(spark, sf):
     """Deltas of one run (even documents) against another (odd)."""

@@ -17,15 +17,19 @@ LIMITS = [("minimal", 4, 60, 1.5, "enforce"), ("strict", 8, 90, 1.0, "enforce"),
 SCHEMA = "profile_id string, requests_per_minute int, token_units_per_minute int, burst double, mode string"
 
 
-def limit_requests_input(spark, sf):
+def as_requests(events):
     profile = F.element_at(F.array(*map(F.lit, ("minimal", "strict", "custom", "unknown"))), F.expr("cast(user_id % 4 + 1 as int)"))
-    return table(spark, sf, "events").select(
+    return events.select(
         "event_id", F.concat(F.lit("user-"), (F.col("user_id") % 20).cast("string")).alias("identity"),
         profile.alias("profile_id"),
         F.expr(f"{START_US} + (unix_micros(cast(ts as timestamp)) - {START_US}) div 720").alias("ts_us"),
         F.floor("value").cast("int").alias("token_units"))
 
 
+def limit_requests_input(spark, sf):
+    return as_requests(table(spark, sf, "events"))
+
+
 W_SQL = f"""
   WITH RECURSIVE lim(profile_id, rpm, tpm, burst, mode) AS (VALUES {', '.join(f"('{p}', {r}, {t}, {b}::DOUBLE, '{m}')" for p, r, t, b, m in LIMITS)}),
   req AS (SELECT event_id, 'user-' || (user_id % 20) AS identity, ['minimal', 'strict', 'custom', 'unknown'][(user_id % 4 + 1)::INT] AS profile_id,
@@ -62,11 +66,14 @@ def starts(spark, sf):
 
 
 def limits_table(spark, sf):
-    """Effective limits per profile with the requests they govern."""
+    """Effective limits per profile, the default's for unknown ones, with the requests they govern."""
     lim = known_size(spark, LIMITS, SCHEMA).select(
         "profile_id", L.effective_limit(F.col("requests_per_minute"), F.col("burst")).alias("request_limit"),
         L.effective_limit(F.col("token_units_per_minute"), F.col("burst")).alias("token_limit"))
-    return limit_requests_input(spark, sf).groupBy("profile_id").agg(F.count("*").alias("requests")).join(lim, "profile_id")
+    default = lim.filter("profile_id = 'strict'").agg(F.max(F.struct("request_limit", "token_limit"))).scalar()
+    asked = limit_requests_input(spark, sf).groupBy("profile_id").agg(F.count("*").alias("requests"))
+    return asked.join(lim, "profile_id", "left").select("profile_id", "requests", *[
+        F.coalesce(c, default[c]).alias(c) for c in ("request_limit", "token_limit")])
 
 
 def fallback(spark, sf):
@@ -81,6 +88,6 @@ ORACLES.update(
     w1_limiter=W_SQL + DECIDED,
     w1_window_starts=W_SQL + "SELECT event_id, ws AS window_start FROM d",
     w2_enforcement_modes=W_SQL + f"SELECT allowed, reason, count(*) AS requests FROM ({DECIDED}) GROUP BY ALL",
-    w3_effective_limits=W_SQL + "SELECT profile_id, rl AS request_limit, tl AS token_limit, count(*) AS requests FROM r WHERE profile_id <> 'unknown' GROUP BY ALL",
+    w3_effective_limits=W_SQL + "SELECT profile_id, rl AS request_limit, tl AS token_limit, count(*) AS requests FROM r GROUP BY ALL",
     w5_profile_fallback=W_SQL + f"SELECT event_id, allowed, \"limit\" FROM ({DECIDED}) JOIN d USING (event_id) WHERE profile_id = 'unknown'",
 )

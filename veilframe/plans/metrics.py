@@ -34,8 +34,8 @@ def _list(values, expr: str) -> str:
     return "[" + ", ".join(O.q(v) if isinstance(v, str) else str(v) for v in values) + f"][({expr} % {len(values)} + 1)::INT]"
 
 
-def audit_events(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
+def audit_events(spark, sf, source=table) -> DataFrame:
+    e = source(spark, sf, "events")
     return e.select(
         "event_id", "ts", "event_type", _pick(PATHS, "event_id").alias("path"),
         _pick(STATUSES, "(event_id div 3 + user_id)").alias("status"), _pick(PROFILES, "user_id").alias("profile"),

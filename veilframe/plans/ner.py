@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import match as M
 from veilframe.functions.arrays import explode_once, pinned
+from veilframe.operators import entities as E
 from veilframe.operators import ner as N
 from veilframe.operators import sanitize as S
+from veilframe.operators.rules import Rule
 from veilframe.plans import oracle as O
 from veilframe.plans.detection import documents
 from veilframe.plans.payloads import CHAT, chats
@@ -46,6 +48,17 @@ def tokens(spark, sf):
         F.array(n % 4, (F.col("tok_idx") % 5).cast("double"), (F.col("s.st") % 3).cast("double")).alias("logits"))
 
 
+def decoded(spark, sf, threshold=0.0):
+    """The words of each document as tokens of one row, and the spans they make."""
+    words = documents(spark, sf).select(F.col("doc_id").alias("text_id"), pinned(M.match_spans("text", WORD)).alias("w"))
+    n = lambda w: F.char_length(w["v"]).cast("double")
+    toks = F.transform("w", lambda w, i: F.struct(
+        label_of(w["v"]).alias("label"), w["st"].alias("st"), w["en"].alias("en"),
+        F.array(n(w) % 4, (i % 5).cast("double"), (w["st"] % 3).cast("double")).alias("logits")))
+    spans_ = words.select("text_id", pinned(toks).alias("t")).select("text_id", pinned(N.bio_spans(F.col("t"), threshold)).alias("s"))
+    return explode_once(spans_, "s", "s", "text_id")
+
+
 TOK = f"""leaves AS ({O.DOCS}), tok AS MATERIALIZED (SELECT k AS text_id, match_seq AS tok_idx, st, en, v, CASE WHEN regexp_matches(v, '^[A-Z]') THEN 'B-PER' WHEN length(v) = 3 THEN 'I-PER' WHEN length(v) = 5 THEN 'I-ORG' ELSE 'O' END AS label,
   [(length(v) % 4)::DOUBLE, (match_seq % 5)::DOUBLE, (st % 3)::DOUBLE] AS logits FROM ({O.spans_of('leaves', WORD)}))"""
 
@@ -94,7 +107,7 @@ BIO = f"""{TOK}, e AS (SELECT *, CASE WHEN label <> 'O' THEN substring(label, 3)
 @add("n5_bio_spans", f"WITH {BIO} SELECT text_id, entity, min(tok_idx)::BIGINT AS first_token, max(tok_idx)::BIGINT AS last_token, min(st)::BIGINT AS st, max(en)::BIGINT AS en FROM g WHERE entity IS NOT NULL GROUP BY text_id, n, entity")
 def bio(spark, sf):
     """Token labels to entity spans."""
-    return N.bio_spans(tokens(spark, sf)).select("text_id", "entity", *[F.col(c).cast("bigint").alias(c) for c in ("first_token", "last_token", "st", "en")])
+    return decoded(spark, sf).select("text_id", "s.entity", *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("first_token", "last_token", "st", "en")])
 
 
 @add("n6_best_labels", f"WITH {TOK} SELECT list_position(logits, list_max(logits))::BIGINT - 1 AS label_idx, count(*) AS tokens FROM tok GROUP BY ALL")
@@ -103,11 +116,12 @@ def best_labels(spark, sf):
     return tokens(spark, sf).groupBy(N.best_label(F.col("logits")).alias("label_idx")).agg(F.count("*").alias("tokens"))
 
 
-@add("n7_confidence", f"WITH {TOK}, p AS (SELECT text_id, 1 / (exp(logits[1] - list_max(logits)) + exp(logits[2] - list_max(logits)) + exp(logits[3] - list_max(logits))) AS p FROM tok) SELECT text_id, round(avg(p), 6) AS confidence FROM p GROUP BY ALL HAVING avg(p) >= 0.7")
+@add("n7_confidence", f"""WITH {BIO}, p AS (SELECT text_id, entity, n, st, en, 1 / (exp(logits[1] - list_max(logits)) + exp(logits[2] - list_max(logits)) + exp(logits[3] - list_max(logits))) AS p FROM g WHERE entity IS NOT NULL)
+  SELECT text_id, entity, min(st)::BIGINT AS st, max(en)::BIGINT AS en, round(avg(p), 6) AS score FROM p GROUP BY text_id, entity, n HAVING avg(p) >= 0.7""")
 def confidence(spark, sf):
-    """Mean probability of the chosen labels, above the threshold."""
-    mean = tokens(spark, sf).groupBy("text_id").agg(F.avg(N.chosen_probability(F.col("logits"))).alias("c"))
-    return mean.filter(F.col("c") >= N.THRESHOLD).select("text_id", F.round("c", 6).alias("confidence"))
+    """Spans whose labels have a mean probability above the threshold."""
+    return decoded(spark, sf, N.THRESHOLD).select("text_id", "s.entity", *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("st", "en")],
+                                                  F.round("s.score", 6).alias("score"))
 
 
 @add("n8_model_choice", "SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 3 ELSE 2 END::BIGINT AS model_idx FROM documents")
@@ -134,7 +148,12 @@ def merged_union(spark, sf):
     return N.merge_union(model_hits(spark, sf)).select("text_id", F.col("st").cast("bigint").alias("st"), F.col("en").cast("bigint").alias("en"), "entity", F.round("score", 6).alias("score"))
 
 
-@add("n10_merged_highest")
+@add("n10_merged_highest", f"""WITH RECURSIVE leaves AS ({O.DOCS}), w AS (SELECT k, st, en FROM ({O.spans_of('leaves', NAME)})),
+  h AS (SELECT k, st, en, (st % 7) / 7.0::DOUBLE AS score FROM w UNION ALL SELECT k, st, en + 4, (st % 13) / 13.0::DOUBLE FROM w),
+  o AS MATERIALIZED (SELECT k, list({{'st': st, 'en': en, 'score': score}} ORDER BY score DESC, st, en) AS hs FROM h GROUP BY k),
+  s(k, hs, i, kept) AS (SELECT k, hs, 1, hs[:0] FROM o UNION ALL SELECT k, hs, i + 1,
+    CASE WHEN len(list_filter(kept, lambda x: x.st < hs[i].en AND hs[i].st < x.en)) > 0 THEN kept ELSE list_append(kept, hs[i]) END FROM s WHERE i <= len(hs))
+  SELECT k AS doc_id, x.st::BIGINT AS st, x.en::BIGINT AS en, round(x.score, 6) AS score FROM (SELECT k, unnest(kept) AS x FROM s WHERE i = len(hs) + 1)""")
 def merged_highest(spark, sf):
     """Greedy non-overlapping hits per text, chosen by score."""
     staged = documents(spark, sf).select("doc_id", "text").withColumn("w", pinned(M.match_spans("text", NAME)))
@@ -142,7 +161,8 @@ def merged_highest(spark, sf):
         F.struct(s["st"].alias("st"), s["en"].alias("en"), ((s["st"] % 7) / F.lit(7.0)).alias("score")),
         F.struct(s["st"].alias("st"), (s["en"] + 4).alias("en"), ((s["st"] % 13) / F.lit(13.0)).alias("score")))))
     merged = staged.select("doc_id", pinned(hits).alias("h")).select("doc_id", pinned(N.merge_highest(F.col("h"))).alias("m"))
-    return explode_once(merged, "m", "m", "doc_id").select("doc_id", "m.*")
+    return explode_once(merged, "m", "m", "doc_id").select(
+        "doc_id", F.col("m.st").cast("bigint").alias("st"), F.col("m.en").cast("bigint").alias("en"), F.round("m.score", 6).alias("score"))
 
 
 @add("n11_blanked_regions", "SELECT doc_id, md5(regexp_replace(text, '[0-9]', ' ', 'g')) AS text_md5 FROM documents")
@@ -195,3 +215,39 @@ def degraded_actions(spark, sf):
     status = F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("ok")
     mode = F.when(F.col("doc_id") % 2 == 0, "enforce").otherwise("dry_run")
     return table(spark, sf, "documents").groupBy(N.degraded_action(F.lit("allow"), status, F.lit("fail_closed"), mode).alias("action")).agg(F.count("*").alias("docs"))
+
+
+CORE, TOKEN = "[A-Z][a-z]{5,}", "[\\p{L}\\p{N}_'-]*[A-Z][a-z]{5,}[\\p{L}\\p{N}_'-]*"
+READ = """SELECT * FROM leaves WHERE octet_length(encode(text)) >= 3 AND regexp_matches(text, '\\p{L}')
+  AND NOT (regexp_matches(trim(text), '^[0-9]') AND regexp_matches(text, '[:/-]'))"""
+
+
+def capital_cores():
+    """A stand-in model: long runs of letters after a capital are persons; their tokens may be longer."""
+    import re
+
+    pattern = re.compile(CORE)
+    return lambda texts: [[("person", m.start(), m.end(), 0.9, "en") for m in pattern.finditer(t)] for t in texts]
+
+
+TURNS = """SELECT conv_id || '-' || turn AS k, v.* FROM conversations, LATERAL (VALUES
+  (0, '/content', conversations.text), (1, '/role', conversations.role)) v(leaf_seq, ptr, text)"""
+PERSON_HIT = Rule("ner.person.en", "pii", TOKEN, N.PRIORITY)
+
+
+@add("n17_entity_pipeline", f"""
+  WITH leaves AS MATERIALIZED ({TURNS}), read AS ({READ}),
+  hits AS MATERIALIZED ({" UNION ALL ".join([*(O.rule_sql(r, i, "leaves", S.DEFAULT_POLICY.by_id["strict"].action_for(r.category)) for i, r in enumerate(O.BUILTIN_RULES)), O.rule_sql(PERSON_HIT, 1_000_000, "read", "redact")])}),
+  {O.SPANS}, {O.FINAL}, {O.rewritten_ctes(4)}, h AS (SELECT k, count(*) AS n, count(*) FILTER (rule_id LIKE 'ner.%') AS entities FROM hits GROUP BY k)
+  SELECT l.k AS request_id, coalesce(f.final_action, 'allow') AS final_action, coalesce(h.n, 0)::BIGINT AS hits, coalesce(h.entities, 0)::BIGINT AS entities,
+    CASE WHEN coalesce(f.final_action, '') <> 'block' THEN md5(coalesce(r.new_text, l.text)) END AS content_md5
+  FROM leaves l LEFT JOIN final f ON f.k = l.k LEFT JOIN h ON h.k = l.k LEFT JOIN rewritten r ON r.k = l.k AND r.leaf_seq = 0 WHERE l.leaf_seq = 0""")
+def entity_pipeline(spark, sf):
+    """Turns of conversations masked by rules and by a model's persons together."""
+    req = table(spark, sf, "conversations").select(
+        F.expr("concat_ws('-', cast(conv_id as string), cast(turn as string))").alias("request_id"), F.lit("strict").alias("effective_profile"),
+        F.lit("enforce").alias("mode"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("payload"))
+    out = E.evaluate_with_entities(req, capital_cores, trace=True)
+    return out.select("request_id", "final_action", F.size("hits").cast("bigint").alias("hits"),
+                      F.expr("cast(size(filter(hits, h -> startswith(h.rule_id, 'ner.'))) as bigint)").alias("entities"),
+                      F.md5(F.get_json_object("sanitized_payload", "$.content")).alias("content_md5"))

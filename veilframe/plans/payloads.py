@@ -62,14 +62,19 @@ def json_leaves(spark, sf):
     return _leaf_rows(S.with_leaves(chats(spark, sf).withColumn("payload", F.to_json("payload")), "payload"))
 
 
-@add("p2_rewritten_leaves", f"SELECT request_id, max(md5(replace(text, 'e', '<3'))) FILTER (leaf_seq = 2) AS content, count(*) FILTER (contains(text, 'e')) AS changed FROM ({CHAT}) GROUP BY ALL")
+JS = "to_json(replace({}, 'e', '<3'))::VARCHAR"
+
+
+@add("p2_rewritten_leaves", f"""SELECT conv_id || '-' || turn AS request_id, md5('{{"messages":[{{"content":' || {JS.format("'keep it short'")} || ',"role":' || {JS.format("'system'")} || '}},{{"content":' || {JS.format("text")}
+    || ',"role":' || {JS.format("role")} || '}}],"model":"gpt","stream":' || (turn > 2)::VARCHAR || ',"tools":[{{"a/b~c":"lookup","enum":["x",' || {JS.format("role")} || ']}}],"turn":' || turn || '}}') AS document_md5,
+  1 + 1 + contains(text, 'e')::INT + 2 * contains(role, 'e')::INT AS changed FROM conversations""")
 def rewritten_leaves(spark, sf):
-    """Every leaf rewritten in place, shape kept, changed leaves counted."""
+    """Every leaf rewritten in place, the rest of the document as it was, changed leaves counted."""
     df = S.with_leaves(chats(spark, sf).withColumn("payload", F.to_json("payload")), "payload")
     new = F.map_from_entries(F.transform("leaves", lambda x: F.struct(x["ptr"], F.replace(x["text"], F.lit("e"), F.lit("<3")))))
     out = df.withColumn("new", LV.set_json_leaves("payload", new))
-    return out.select("request_id", F.md5(F.get_json_object("new", "$.messages[1].content")).alias("content"),
-                      F.expr("cast(size(filter(leaves, x -> contains(x.text, 'e'))) as bigint)").alias("changed"))
+    return out.select("request_id", F.md5("new").alias("document_md5"),
+                      F.expr("size(filter(leaves, x -> contains(x.text, 'e')))").alias("changed"))
 
 
 @add("p3_logical_paths", f"""SELECT request_id, CASE leaf_seq WHEN 5 THEN 'tools.0.a/b~c' ELSE replace(substring(ptr, 2), '/', '.') END AS path FROM ({CHAT})""")

@@ -31,8 +31,12 @@ def add(name, oracle=None):
 
 
 def calls(spark, sf):
+    return as_calls(spread(table(spark, sf, "events"), spark, "event_id"))
+
+
+def as_calls(e):
     """Arguments vary with the event: missing keys, extra keys, long notes, bad paths, nesting."""
-    e, i = spread(table(spark, sf, "events"), spark, "event_id"), F.col("event_id")
+    i = F.col("event_id")
     path = F.element_at(F.array(*map(F.lit, PATHS)), F.expr(f"cast(event_id % {len(PATHS)} + 1 as int)"))
     args = F.concat(
         F.lit('{"k":'), F.when(i % 5 == 0, F.lit('"text"')).otherwise(F.get_json_object("props", "$.k")),
@@ -142,16 +146,18 @@ def output_sanitization(spark, sf):
                       F.when(on & F.col("blocked"), F.greatest(F.size("hits"), F.lit(1))).when(on, F.size("hits")).otherwise(0).alias("hits"))
 
 
-@add("t12_result_envelopes", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN props ELSE event_type END AS content FROM events")
+@add("t12_result_envelopes", """SELECT event_id, CASE event_id % 5 WHEN 2 THEN props WHEN 3 THEN NULL WHEN 4 THEN '"' || event_type || '"' ELSE event_type END AS content,
+  CASE event_id % 5 WHEN 0 THEN 'text/plain' END AS content_type, event_id % 5 = 0 AND event_id % 2 = 0 AS truncated, CASE event_id % 5 WHEN 3 THEN 'result.content required' END AS error FROM events""")
 def result_envelopes(spark, sf):
-    """The content inside three kinds of result envelope."""
-    t = F.col("event_type")
-    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"result":{"content":"'), t, F.lit('"}}'))).when(
-        F.col("event_id") % 3 == 1, F.concat(F.lit('{"content":"'), t, F.lit('"}'))).otherwise(F.col("props"))
-    return table(spark, sf, "events").select("event_id", T.result_content(body).alias("content"))
+    """The content inside the kinds of result envelope, and an error where an envelope has none."""
+    t, n = F.col("event_type"), F.col("event_id") % 5
+    body = (F.when(n == 0, F.concat(F.lit('{"result":{"content":"'), t, F.lit('","content_type":"text/plain","truncated":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}}")))
+            .when(n == 1, F.concat(F.lit('{"content":"'), t, F.lit('","content_type":7,"truncated":"yes"}'))).when(n == 2, F.col("props"))
+            .when(n == 3, F.concat(F.lit('{"content":"outer","result":{"type":"'), t, F.lit('"}}'))).otherwise(F.concat(F.lit('"'), t, F.lit('"'))))
+    return table(spark, sf, "events").select("event_id", T.result_envelope(body).alias("r")).select("event_id", "r.*")
 
 
 @add("t13_call_audit", f"WITH c AS ({CALLS}), {VIOL} SELECT request_id, server AS server_id, tool AS tool_id, 'strict' AS profile_id, CASE WHEN {REJECTED} OR reason <> 'allowed' OR sv + cv > 0 THEN 'block' ELSE 'allow' END AS final_action, 0::BIGINT AS rule_hits_total, NOT ({REJECTED}) AND (reason <> 'allowed' OR sv + cv > 0) AS blocked FROM v")
 def call_audit(spark, sf):
     """Audit record per call."""
-    return T.audit_row(T.rejection(checked(spark, sf)).withColumn("profile_id", F.col("key_profile")))
+    return T.audit_calls(calls(spark, sf), *policies(spark))

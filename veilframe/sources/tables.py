@@ -5,6 +5,9 @@ Every derivation works row by row, so it scales with its table and adds no shuff
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,6 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
+    """The same table as a stream of its files, some at a time, whether it is one file or a folder of them.
+
+    Only a pattern may name a single file here.
+    """
+    kind = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-")
+    return f"{base.rstrip('/')}/veilframe/{uuid.uuid4().hex}/{name}"
+
+
 def known_size(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of the driver as a local relation.
 

@@ -123,7 +123,7 @@ def test_limiter_stream_equals_batch_by_profile(spark, tmp_path):
         r.shuffle(part)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a key's rows come in many Arrow batches
     try:
-        budgets = {"minimal": Budget(6, 90), "strict": Budget(8, 90), "custom": Budget(4, 75, "dry_run")}
+        budgets = {"minimal": Budget(6, 90), "strict": Budget(8, 90), "custom": Budget(5, 75, "dry_run")}
         stream = in_batches(spark, tmp_path, parts, schema)
         out = state.limited_by_profile(stream, budgets, "strict", 60_000_000)
         got = {g.event_id: tuple(g)[1:7] for g in run(spark, out, tmp_path, "by_profile").collect()}

@@ -171,9 +171,11 @@ def test_counters_and_first_requests(spark, tmp_path):
 
 def test_late_rows_are_not_counted(spark, tmp_path):
     schema = "at bigint, status int"
-    stream = in_batches(spark, tmp_path, [[(1_700_000_000, 200)], [(1_700_010_000, 200)], [(1_700_000_001, 200)], [(1_700_020_000, 200)]], schema)
+    stream = in_batches(spark, tmp_path, [[(1_700_000_000, 200)], [(1_700_010_000, 200)], [(1_700_010_001, 200)], [(1_700_000_001, 200)],
+                                           [(1_700_020_000, 200)], [(1_700_030_000, 200)]], schema)
     out = run(spark, jobs.counters(stream.withColumn("ts", F.timestamp_seconds("at"))), tmp_path, "late").collect()
-    assert [g.value for g in out] == [1, 1]
+    assert {g.window_start.timestamp(): g.value for g in out} == {at // 15 * 15: n for at, n in (
+        (1_700_000_000, 1), (1_700_010_000, 2), (1_700_020_000, 1))}
 
 
 @pytest.mark.parametrize("null_key", ["identity", "profile_id"])

@@ -83,9 +83,55 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM lowest QUALIFY rank <= 2000
 """
 
+
+def _climb(name: str, nodes: str, levels: int) -> str:
+    """CTEs of one tree per ``g``: ``nodes`` has (g, idx, n, d); ``{name}s<k>`` are a level's nodes with their siblings."""
+    out = [f"{name}l0 AS MATERIALIZED ({nodes})"]
+    for k in range(levels):
+        frame = "OVER (PARTITION BY g, idx // 3 ORDER BY idx ROWS BETWEEN {})"
+        out.append(f"""{name}s{k} AS MATERIALIZED (SELECT g, idx, n,
+          coalesce(string_agg(d, '') {frame.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS l,
+          coalesce(string_agg(d, '') {frame.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS r FROM {name}l{k})""")
+        out.append(f"""{name}l{k + 1} AS MATERIALIZED (SELECT g, idx // 3 AS idx, CASE WHEN n > 1 THEN (n + 2) // 3 ELSE 1 END AS n,
+          CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE any_value(d) END AS d FROM {name}l{k} GROUP BY g, idx // 3, n)""")
+    return ", ".join(out)
+
+
+def _folded(name: str, start: str, levels: int) -> str:
+    """CTEs that carry rows (g, idx, node, proof and others) up a tree made by ``_climb``."""
+    out = [f"{name}f0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        out.append(f"""{name}f{k + 1} AS MATERIALIZED (SELECT f.* REPLACE (f.idx // 3 AS idx, f.proof || s.l || s.r AS proof,
+          CASE WHEN s.n > 1 THEN sha256(s.l || f.node || s.r) ELSE f.node END AS node)
+          FROM {name}f{k} f JOIN {name}s{k} s ON s.g = f.g AND s.idx = f.idx)""")
+    return ", ".join(out)
+
+
+_TOLD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_FIELDS = " || ".join(_TOLD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: Unsigned crc32 of the decimal id, bit by bit.
+_BITS = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END))"""
+#: Fit for up to 3**14 documents a source and 3**8 sources.
+MANIFEST = f"""
+WITH leaves AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS g, sha256({_FIELDS} || {_TOLD.format('text')}) AS leaf,
+      sha256({_FIELDS} || {_TOLD.format("CASE WHEN xor(" + _BITS + ", 4294967295::UBIGINT) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS found
+    FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{_climb("d", "SELECT g, idx, n, leaf AS d FROM placed", 14)},
+tops AS MATERIALIZED (SELECT 0 AS g, g AS src, d, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM dl14),
+{_climb("t", "SELECT g, idx, n, d FROM tops", 8)},
+{_folded("d", "SELECT g, idx, doc_id, leaf, found AS node, '' AS proof FROM placed", 14)},
+{_folded("t", "SELECT tops.g, tops.idx, f.doc_id, f.leaf, f.node, f.proof, tops.d AS subroot FROM df14 f JOIN tops ON tops.src = f.g", 8)}
+SELECT f.doc_id, f.leaf, f.subroot, r.d AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.d AS verified
+FROM tf8 f, tl8 r
+"""
+
 ORACLES = {
     "op2_warc_salvage": ARCHIVES,
     "op7_minhash_near_duplicates": NEAR_DOCUMENTS,
     "op10_near_vectors": NEAR_VECTORS,
+    "op11_merkle_manifest": MANIFEST,
     "op12_phrase_collocations": COLLOCATIONS,
 }

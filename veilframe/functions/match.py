@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.regex import jvm
 
 MARK = "￿"  # a noncharacter; texts that hold it anyway take the two-pass branch
-BLOCK = 512  # pieces per fold; even, so every block starts with a gap
+BLOCK_BITS = (4, 6)  # sums are taken over blocks of 16 matches, then of 64 blocks
 SPAN_TYPE = "array<struct<st:int,en:int,v:string>>"
 
 
@@ -38,28 +38,34 @@ def spans_sql(text: str, pattern: str) -> str:
     two_pass = (f"slice(flatten(zip_with(split({text}, {p}, -1), {found}, (g, m) -> array(g, m))), "
                 f"1, 2 * size({found}) + 1)")
     parts = f"if(contains({text}, '{MARK}'), {two_pass}, {marked})"
-    # one fold over many pieces would copy its output array once per match; blocks keep it short
-    lengths = "aggregate(b, 0, (n, part) -> n + char_length(part))"
-    placed = f"""flatten(transform(
-      aggregate(
-        transform(sequence(0, (size(ps) - 1) div {BLOCK}), j -> slice(ps, j * {BLOCK} + 1, {BLOCK})),
-        named_struct('base', 0, 'out', cast(array() as array<struct<base:int,parts:array<string>>>)),
-        (acc, b) -> named_struct('base', acc.base + {lengths},
-                                 'out', concat(acc.out, array(named_struct('base', acc.base, 'parts', b)))),
-        acc -> acc.out),
-      o -> {_running_sql("o.parts", "o.base")}))"""
-    return f"transform(array({parts}), ps -> {placed})[0]"
-
-
-def _running_sql(parts: str, base: str) -> str:
-    """Every second piece with its start and end, counted from ``base``."""
-    return f"""aggregate({parts},
-      named_struct('pos', {base}, 'hit', false, 'out', cast(array() as {SPAN_TYPE})),
-      (acc, part) -> named_struct(
-        'pos', acc.pos + char_length(part), 'hit', not acc.hit,
-        'out', if(acc.hit, concat(acc.out, array(named_struct(
-          'st', acc.pos, 'en', acc.pos + char_length(part), 'v', part))), acc.out)),
-      acc -> acc.out)"""
+    # a fold copies what it has gathered at every step, so only numbers are folded
+    found = (f"transform(ss, (s, k) -> named_struct('st', s + char_length(ps[2 * k]), "
+             f"'en', s + char_length(ps[2 * k]) + char_length(ps[2 * k + 1]), 'v', ps[2 * k + 1]))")
+    pairs = ("transform(sequence(0, shiftright(size(ps), 1) - 1), "
+             "k -> char_length(ps[2 * k]) + char_length(ps[2 * k + 1]))")
+    placed = let_sql(let_sql(pairs, "ls", _sums_before_sql("ls")), "ss", found)
+    return let_sql(parts, "ps", f"if(size(ps) < 2, cast(array() as {SPAN_TYPE}), {placed})")
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """``body`` of a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _sums_before_sql(items: str, bits: tuple[int, ...] = BLOCK_BITS) -> str:
+    """For each number the sum of all before it: the rest of its block on top of the sum of all blocks before.
+
+    ``bits`` has the block size of each level as a power of two; few blocks are left above the last.
+    """
+    add = "(a, n) -> a + n"
+    if not bits:
+        return f"transform({items}, (m, j) -> aggregate(slice({items}, 1, j), 0, {add}))"
+    size, blocks, sums = 1 << bits[0], f"{items}b", f"{items}s"
+    totals = (f"transform(sequence(0, shiftright(size({items}) - 1, {bits[0]})), "
+              f"j -> aggregate(slice({items}, {size} * j + 1, {size}), 0, {add}))")
+    inside = (f"transform({items}, (m, j) -> aggregate(slice({items}, j - (j & {size - 1}) + 1, j & {size - 1}), "
+              f"{sums}[shiftright(j, {bits[0]})], {add}))")
+    return let_sql(let_sql(totals, blocks, _sums_before_sql(blocks, bits[1:])), sums, inside)
 
 
 def match_spans(text: str, pattern: str) -> Column:

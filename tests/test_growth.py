@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from veilframe.functions import fragments as FR
 from veilframe.functions import match as M
 
 
@@ -28,3 +29,26 @@ def test_offsets_over_several_blocks(spark):
     text = "".join(f"ä{'x' * (i % 7 + 1)} " for i in range(3000))
     got = spark.createDataFrame([(text,)], "t string").select(M.match_spans("t", "x+").alias("s")).first().s
     assert len(got) == 3000 and all(text[s.st:s.en] == s.v and set(s.v) == {"x"} for s in got)
+
+
+def test_many_spans_cost_little_more_than_few_in_a_long_text(spark):
+    text = F.repeat(F.lit("ä234567890"), 100000)
+    spans = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
+        (i * 500).alias("st"), (i * 500 + 8).alias("en"), F.lit("redact").alias("action"), F.lit(None).cast("string").alias("template")))
+    many, few = (spark.range(4, numPartitions=4).withColumn("n", F.lit(n)).select(text.alias("t"), spans.alias("s")).cache()
+                 for n in (2000, 20))
+    assert many.count() == few.count()
+    rewritten = FR.apply_spans(F.col("t"), F.col("s"), 4)
+    assert seconds(many, rewritten) < 5 * seconds(few, rewritten)
+
+
+def test_spans_over_chunk_borders(spark):
+    text = "".join("ä😀b\nc"[i % 5] for i in range(2000))
+    places = [(0, 3), (250, 256), (256, 257), (257, 900), (1023, 1025), (1998, 2005)]
+    df = spark.createDataFrame([(text, [(a, b, "redact", None) for a, b in places])],
+                               "t string, s array<struct<st:int,en:int,action:string,template:string>>")
+    got = df.select(FR.apply_spans(F.col("t"), F.col("s"), 4)).first()[0]
+    want, at = "", 0
+    for a, b in places:
+        want, at = want + text[at:a] + FR.REDACTED, b
+    assert got == want + text[at:]

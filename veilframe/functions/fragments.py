@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.arrays import let
+
 # FNV-1a 64-bit parameters and the replacement texts.
 FNV_OFFSET = 14695981039346656037
 FNV_PRIME = 1099511628211
@@ -56,31 +58,48 @@ def stable_pseudonym(value: Column) -> Column:
 def transformed(fragment: Column, action: Column, template: Column, visible: int | Column) -> Column:
     return (
         F.when(action == "redact", F.lit(REDACTED))
-        .when(action == "mask", mask_keep_suffix(fragment, visible))
-        .when((action == "replace") & (template == ID_HASH), stable_pseudonym(fragment))
+        .when(action == "mask", let(fragment, lambda f: mask_keep_suffix(f, visible)))
+        .when((action == "replace") & (template == ID_HASH), let(fragment, stable_pseudonym))
         .when(action == "replace", F.coalesce(template, F.lit(REPLACED)))
         .when(action == "block", F.lit(BLOCKED))
         .otherwise(fragment)
     )
 
 
+CHUNK_BITS = 8  # a text is cut into chunks of 256 characters before parts are taken out of it
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in chunks of equal length, but for the last."""
+    size = 1 << CHUNK_BITS
+    return F.when(F.char_length(text) <= size, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
+def between(chunks: Column, st: Column, en: Column) -> Column:
+    """Characters ``st`` to ``en`` of a chunked text. Only the chunks they lie in are read, while ``substring``
+    counts through the whole text before them."""
+    first = F.shiftright(st, CHUNK_BITS)
+    count = F.greatest(F.shiftright(en - 1, CHUNK_BITS) - first + 1, F.lit(0))
+    return F.substring(F.array_join(F.slice(chunks, first + 1, count), ""), st - F.shiftleft(first, CHUNK_BITS) + 1, en - st)
+
+
 def apply_spans(text: Column, spans: Column, visible: int | Column) -> Column:
     """Rewrite the spans of one leaf; they are disjoint and sorted by start.
 
     Each span contributes the untouched text before it and its own fragment, so the pieces only
     need joining and nothing is copied span by span.
     """
-    n = F.char_length(text)
-
-    def piece(s, i):
-        prev = F.when(i > 0, F.element_at(spans, F.greatest(i, F.lit(1)))["en"]).otherwise(F.lit(0))
-        end = F.least(s["en"], n)
-        fragment = F.substring(text, s["st"] + 1, end - s["st"])
-        return F.concat(
-            F.substring(text, prev + 1, s["st"] - prev),
-            transformed(fragment, s["action"], s["template"], visible),
-        )
-
-    last = F.element_at(spans, -1)["en"]
-    rewritten = F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, last + 1, n))
-    return F.when(F.size(spans) > 0, rewritten).otherwise(text)
+    def rewritten(chunks: Column, n: Column) -> Column:
+        def piece(s, i):
+            prev = F.when(i > 0, F.element_at(spans, F.greatest(i, F.lit(1)))["en"]).otherwise(F.lit(0))
+            return F.concat(
+                between(chunks, prev, s["st"]),
+                transformed(between(chunks, s["st"], F.least(s["en"], n)), s["action"], s["template"], visible),
+            )
+
+        last = F.element_at(spans, -1)["en"]
+        return F.concat(F.array_join(F.transform(spans, piece), ""), between(chunks, last, n))
+
+    return F.when(F.size(spans) > 0, let(chunks_of(text), lambda c: let(
+        F.char_length(text), lambda n: rewritten(c, n)))).otherwise(text)

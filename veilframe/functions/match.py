@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.regex import jvm
 
 MARK = "￿"  # a noncharacter; texts that hold it anyway take the two-pass branch
-BLOCK_BITS = (4, 6)  # sums are taken over blocks of 16 matches, then of 64 blocks
+BLOCK_BITS = (2, 4, 4)  # sums are taken over blocks of 4 matches, then of 16 blocks, then of 16 of those
 SPAN_TYPE = "array<struct<st:int,en:int,v:string>>"
 
 
@@ -63,8 +63,13 @@ def _sums_before_sql(items: str, bits: tuple[int, ...] = BLOCK_BITS) -> str:
     size, blocks, sums = 1 << bits[0], f"{items}b", f"{items}s"
     totals = (f"transform(sequence(0, shiftright(size({items}) - 1, {bits[0]})), "
               f"j -> aggregate(slice({items}, {size} * j + 1, {size}), 0, {add}))")
-    inside = (f"transform({items}, (m, j) -> aggregate(slice({items}, j - (j & {size - 1}) + 1, j & {size - 1}), "
-              f"{sums}[shiftright(j, {bits[0]})], {add}))")
+    head = f"{sums}[shiftright(j, {bits[0]})]"
+    if size <= 4:  # spelt out: a slice and a fold cost more than the few numbers they add
+        cases = [" + ".join([head, *(f"{items}[j - {back}]" for back in range(1, n + 1))]) for n in range(size)]
+        here = "case j & {} {} end".format(size - 1, " ".join(f"when {n} then {c}" for n, c in enumerate(cases)))
+    else:
+        here = f"aggregate(slice({items}, j - (j & {size - 1}) + 1, j & {size - 1}), {head}, {add})"
+    inside = f"transform({items}, (m, j) -> {here})"
     return let_sql(let_sql(totals, blocks, _sums_before_sql(blocks, bits[1:])), sums, inside)
 
 
@@ -76,6 +81,10 @@ def any_of_sql(text: str, terms) -> str:
     return "(" + (" or ".join(f"contains({text}, {lit(t)})" for t in terms) or "false") + ")"
 
 
+def seen_sql(text: str, pattern: str) -> str:
+    return f"rlike({text}, {lit(jvm(pattern))})"
+
+
 # A guard is a cheap condition every text with a match satisfies, so the regex only runs where it
 # can succeed. Letters that case-fold from outside ASCII (long s, Kelvin sign) stay out of them.
 GUARDS = {
@@ -89,6 +98,12 @@ GUARDS = {
     "dot": lambda t, low: any_of_sql(t, ["."]),
     "introduction": lambda t, low: any_of_sql(low, ["my name i", "i am", "igned by", "author:", "from:", "contact:"]),
     "project": lambda t, low: any_of_sql(low, ["project"]),
+    "dotted_digits": lambda t, low: any_of_sql(t, ["."]) + " and " + seen_sql(t, r"\d\.\d{1,3}\.\d"),
+    "phone_digits": lambda t, low: seen_sql(t, r"\d{3}[ -]?\d{2}"),
+    "record_digits": lambda t, low: seen_sql(t, r"[A-Z-]\d{5}"),
+    "plate_digits": lambda t, low: seen_sql(t, r"[A-Z]\s?\d{3}"),
+    "address_words": lambda t, low: seen_sql(t, r"[NSEW]\s+[A-Z][a-z]{2}|\d\s+[A-Za-z]{2}"),
+    "card_digits": lambda t, low: seen_sql(t, r"\d(?:[ -]?\d){12}"),
 }
 
 

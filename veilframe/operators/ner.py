@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.arrays import cut_at, let
+from veilframe.functions.arrays import let
 from veilframe.functions.regex import jvm
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,33 +87,40 @@ def recognize_distinct(df: DataFrame, column: str, load: Callable[[], Callable[[
         F.when(F.col(column).isNull(), F.array().cast(ENTITY_SPANS)).otherwise(F.col("_r.spans")).alias("ner_spans"))
 
 
-def bio_spans(tokens: Column, threshold: float = 0.0) -> Column:
+def bio_spans(tokens: Column, threshold: float = 0.0, scored: bool = True) -> Column:
     """Spans of a text from its tokens (``label, st, en, logits`` in order): B opens one, a changed I opens one too.
 
     ``array<struct<entity,first_token,last_token,st,en,score>>``, where the score is the mean probability of the
-    labels chosen in the span; spans below ``threshold`` are left out. All within the row.
+    labels chosen in the span; spans below ``threshold`` are left out. Without ``scored`` labels alone are read, and there
+    is neither score nor threshold. All within the row; tokens outside of spans are only looked at once.
     """
     def entity(t: Column) -> Column:
-        return F.when(t["label"].rlike("^[BI]-"), F.substring(t["label"], F.lit(3), F.char_length(t["label"])))
-
-    def decode(seen: Column) -> Column:
-        def opens(t: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.try_element_at(seen, F.greatest(i, F.lit(1)))["entity"])
-            return F.when(t["entity"].isNotNull() & (F.startswith(t["label"], F.lit("B-")) | ~before.eqNullSafe(t["entity"])), i)
-
-        return let(F.array_compact(F.transform(seen, opens)), lambda starts: F.transform(
-            cut_at(seen, starts), lambda part: F.filter(part, lambda t: t["entity"].isNotNull())))
-
-    def told(part: Column) -> Column:
-        last = F.element_at(part, -1)
-        total = F.aggregate(part, F.lit(0.0), lambda a, t: a + t["p"])
-        return F.struct(part[0]["entity"].alias("entity"), part[0]["i"].alias("first_token"), last["i"].alias("last_token"),
-                        part[0]["st"].alias("st"), last["en"].alias("en"), (total / F.size(part)).alias("score"))
-
-    seen = F.transform(tokens, lambda t, i: F.struct(
-        i.alias("i"), t["label"].alias("label"), entity(t).alias("entity"), t["st"].alias("st"), t["en"].alias("en"),
-        chosen_probability(t["logits"]).alias("p")))
-    return F.filter(F.transform(let(seen, decode), told), lambda s: s["score"] >= threshold)
+        return F.substring(t["label"], F.lit(3), F.char_length(t["label"]))
+
+    def decode(toks: Column) -> Column:
+        def opened(idx: Column) -> Column:
+            def opens(i: Column, k: Column) -> Column:
+                before = toks[F.greatest(i - 1, F.lit(0))]
+                goes_on = (k > 0) & (idx[F.greatest(k - 1, F.lit(0))] == i - 1) & F.startswith(toks[i]["label"], F.lit("I-")) & (
+                    entity(before) == entity(toks[i]))
+                return F.when(~goes_on, k)
+
+            def told(p: Column, k: Column, starts: Column) -> Column:
+                first, last = toks[idx[p]], idx[F.coalesce(F.try_element_at(starts, k + 2), F.size(idx)) - 1]
+                out = [entity(first).alias("entity"), idx[p].alias("first_token"), last.alias("last_token"),
+                       first["st"].alias("st"), toks[last]["en"].alias("en")]
+                if not scored:
+                    return F.struct(*out)
+                total = F.aggregate(F.slice(toks, idx[p] + 1, last - idx[p] + 1), F.lit(0.0), lambda a, t: a + chosen_probability(t["logits"]))
+                return F.struct(*out, (total / (last - idx[p] + 1)).alias("score"))
+
+            return let(F.array_compact(F.transform(idx, opens)), lambda starts: F.transform(starts, lambda p, k: told(p, k, starts)))
+
+        inside = F.transform(toks, lambda t, i: F.when(F.substring(t["label"], 1, 2).isin("B-", "I-"), i))
+        return let(F.array_compact(inside), opened)
+
+    spans = let(tokens, decode)
+    return F.filter(spans, lambda s: s["score"] >= threshold) if scored else spans
 
 
 def best_label(logits: Column) -> Column:

@@ -36,7 +36,7 @@ def spans(df, key, pattern, *keep):
 
 def label_of(word):
     """Capitals open a person, words of three letters go on, of five change kind."""
-    return F.when(word.rlike("^[A-Z]"), "B-PER").when(F.char_length(word) == 3, "I-PER").when(
+    return F.when(F.ascii(word).between(65, 90), "B-PER").when(F.char_length(word) == 3, "I-PER").when(
         F.char_length(word) == 5, "I-ORG").otherwise("O")
 
 
@@ -48,14 +48,14 @@ def tokens(spark, sf):
         F.array(n % 4, (F.col("tok_idx") % 5).cast("double"), (F.col("s.st") % 3).cast("double")).alias("logits"))
 
 
-def decoded(spark, sf, threshold=0.0):
+def decoded(spark, sf, **kw):
     """The words of each document as tokens of one row, and the spans they make."""
     words = documents(spark, sf).select(F.col("doc_id").alias("text_id"), pinned(M.match_spans("text", WORD)).alias("w"))
     n = lambda w: F.char_length(w["v"]).cast("double")
     toks = F.transform("w", lambda w, i: F.struct(
         label_of(w["v"]).alias("label"), w["st"].alias("st"), w["en"].alias("en"),
         F.array(n(w) % 4, (i % 5).cast("double"), (w["st"] % 3).cast("double")).alias("logits")))
-    spans_ = words.select("text_id", pinned(toks).alias("t")).select("text_id", pinned(N.bio_spans(F.col("t"), threshold)).alias("s"))
+    spans_ = words.select("text_id", pinned(toks).alias("t")).select("text_id", pinned(N.bio_spans(F.col("t"), **kw)).alias("s"))
     return explode_once(spans_, "s", "s", "text_id")
 
 
@@ -107,7 +107,7 @@ BIO = f"""{TOK}, e AS (SELECT *, CASE WHEN label <> 'O' THEN substring(label, 3)
 @add("n5_bio_spans", f"WITH {BIO} SELECT text_id, entity, min(tok_idx)::BIGINT AS first_token, max(tok_idx)::BIGINT AS last_token, min(st)::BIGINT AS st, max(en)::BIGINT AS en FROM g WHERE entity IS NOT NULL GROUP BY text_id, n, entity")
 def bio(spark, sf):
     """Token labels to entity spans."""
-    return decoded(spark, sf).select("text_id", "s.entity", *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("first_token", "last_token", "st", "en")])
+    return decoded(spark, sf, scored=False).select("text_id", "s.entity", *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("first_token", "last_token", "st", "en")])
 
 
 @add("n6_best_labels", f"WITH {TOK} SELECT list_position(logits, list_max(logits))::BIGINT - 1 AS label_idx, count(*) AS tokens FROM tok GROUP BY ALL")
@@ -120,7 +120,7 @@ def best_labels(spark, sf):
   SELECT text_id, entity, min(st)::BIGINT AS st, max(en)::BIGINT AS en, round(avg(p), 6) AS score FROM p GROUP BY text_id, entity, n HAVING avg(p) >= 0.7""")
 def confidence(spark, sf):
     """Spans whose labels have a mean probability above the threshold."""
-    return decoded(spark, sf, N.THRESHOLD).select("text_id", "s.entity", *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("st", "en")],
+    return decoded(spark, sf, threshold=N.THRESHOLD).select("text_id", "s.entity", *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("st", "en")],
                                                   F.round("s.score", 6).alias("score"))
 
 

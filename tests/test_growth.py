@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import fragments as FR
 from veilframe.functions import match as M
+from veilframe.functions.arrays import numbers_before
+from veilframe.operators import ner as N
+from veilframe.operators.rules import BUILTIN_RULES
 
 
 def seconds(df, column):
@@ -52,3 +55,36 @@ def test_spans_over_chunk_borders(spark):
     for a, b in places:
         want, at = want + text[at:a] + FR.REDACTED, b
     assert got == want + text[at:]
+
+
+def test_spans_of_labels_alone(spark):
+    """Without a score no probability is worked out, so tokens need no logits."""
+    labels = ["O", "I-PER", "I-PER", "O", "I-PER", "B-PER", "I-ORG", None, "I-ORG", "X-PER"]
+    df = spark.createDataFrame([([(x, 2 * i, 2 * i + 1) for i, x in enumerate(labels)],), ([],), (None,)], "t array<struct<label:string,st:int,en:int>>")
+    full, empty, none = (r.s for r in df.select(N.bio_spans(F.col("t"), scored=False).alias("s")).collect())
+    assert [tuple(s) for s in full] == [("PER", 1, 2, 2, 5), ("PER", 4, 4, 8, 9), ("PER", 5, 5, 10, 11), ("ORG", 6, 6, 12, 13), ("ORG", 8, 8, 16, 17)]
+    assert empty == [] and none is None
+
+
+def test_running_fold_over_numbers(spark):
+    rows = [(n, [(i * 7919) % 1009 for i in range(n)]) for n in (0, 1, 3, 4, 5, 63, 64, 65, 1024, 1025, 5000)]
+    df = spark.createDataFrame(rows, "n int, a array<int>")
+    for x in df.select("n", "a", numbers_before(F.col("a"), lambda p, q: F.greatest(p, q), F.lit(-1)).alias("m")).collect():
+        want, top = [], -1
+        for v in x.a:
+            want.append(top)
+            top = max(top, v)
+        assert x.m == want
+
+
+def test_every_rule_on_free_text_has_a_guard(spark):
+    assert [r.rule_id for r in BUILTIN_RULES if not (r.guard or r.gate)] == []
+    samples = ["ip 10.0.0.255.", "call 8 900 123 45 67", "call (800) 5551234", "MRN-12345", "MED12345678", "A1234567", "AB\u00a0123", "ABC 123",
+               "AB12345678", "N Main", "N\u2003Abc", "7 Avenida abc", "12 ab cd St", "1 Aa Marg", "4111 1111-1111 1111", "\u0664" * 13, "A\u0661\u0662\u0663\u0664\u0665\u0666\u0667"]
+    df = spark.createDataFrame([(s,) for s in samples], "t string").withColumn("low", F.lower("t"))
+    found = 0
+    for rule in (r for r in BUILTIN_RULES if r.guard):
+        raw = F.size(M.match_spans("t", rule.pattern)) > 0
+        found += df.filter(raw).count()
+        assert df.filter(raw & ~F.expr(M.GUARDS[rule.guard]("t", "low"))).count() == 0, rule.rule_id
+    assert found >= len(samples)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.arrays import cut_at, folded_before, let
+from veilframe.functions.arrays import cut_at, folded_before, let, numbers_before
 from veilframe.operators.rules import ACTIONS
 
 SPAN_FIELDS = (
@@ -31,24 +31,24 @@ def hit_order(hits: Column) -> Column:
         h["rule_id"].alias("k5"), h["leaf_seq"].alias("k6"), h["rule_seq"].alias("k7"),
         h["match_seq"].alias("k8"), h.alias("hit"),
     ))
-    return F.transform(F.array_sort(keyed), lambda k: k["hit"])
+    return F.transform(F.sort_array(keyed), lambda k: k["hit"])
 
 
 def islands(ordered: Column) -> Column:
-    """Group sorted hits: a hit joins the island before it when it starts before that island ends.
+    """Sorted hits as arrays of those that hang together: a hit joins the island before it when it starts before
+    that island ends.
 
-    An island ends where the latest of all hits before, of the same pointer, does.
+    An island ends where the latest of all hits before, of the same pointer, does. Pointers are parted first, so
+    that only numbers are folded.
     """
-    ends = F.transform(ordered, lambda h: F.struct(h["ptr"].alias("ptr"), h["en"].alias("at")))
+    def of_pointer(run: Column) -> Column:
+        return let(F.transform(run, lambda h: h["en"]), lambda ends: let(
+            numbers_before(ends, lambda a, b: F.greatest(a, b), F.lit(-1)), lambda latest: let(
+                F.array_compact(F.transform(run, lambda h, i: F.when(h["st"] >= latest[i], i))), lambda starts: cut_at(run, starts))))
 
-    def opened(latest: Column) -> Column:
-        starts = F.transform(ordered, lambda h, i: F.when(
-            F.coalesce(F.struct(h["ptr"].alias("ptr"), h["st"].alias("at")) >= latest[i], F.lit(True)), i))
-        return let(F.array_compact(starts), lambda s: F.transform(cut_at(ordered, s), lambda m: F.struct(
-            m[0]["ptr"].alias("ptr"), m[0]["st"].alias("st"), F.array_max(F.transform(m, lambda h: h["en"])).alias("en"),
-            m.alias("members"))))
-
-    return let(folded_before(ends, lambda a, b: F.greatest(a, b)), opened)
+    pointers = F.array_compact(F.transform(ordered, lambda h, i: F.when(
+        (i == 0) | ~h["ptr"].eqNullSafe(ordered[F.greatest(i - 1, F.lit(0))]["ptr"]), i)))
+    return F.flatten(F.transform(let(pointers, lambda starts: cut_at(ordered, starts)), of_pointer))
 
 
 def better(a: Column, b: Column) -> Column:
@@ -79,18 +79,20 @@ def _beaten(members: Column) -> Column:
 
 
 def to_spans(island_col: Column) -> Column:
-    def decided(i):
-        solo = F.struct(i["members"][0].alias("lead"), F.array().cast("array<string>").alias("lost"))
-        return F.struct(i.alias("i"), F.when(F.size(i["members"]) == 1, solo).otherwise(_beaten(i["members"])).alias("d"))
-
-    return F.transform(F.transform(island_col, decided), lambda x: F.struct(
-        x["d"]["lead"]["leaf_seq"].alias("leaf_seq"), x["i"]["ptr"].alias("ptr"),
-        x["i"]["st"].alias("st"), x["i"]["en"].alias("en"),
-        x["d"]["lead"]["rule_id"].alias("rule_id"), x["d"]["lead"]["category"].alias("category"),
-        x["d"]["lead"]["action"].alias("action"), x["d"]["lead"]["rank"].alias("rank"),
-        x["d"]["lead"]["priority"].alias("priority"), x["d"]["lead"]["template"].alias("template"),
-        x["d"]["lost"].alias("suppressed"),
-    ))
+    def span(first: Column, en: Column, lead: Column, lost: Column) -> Column:
+        return F.struct(
+            lead["leaf_seq"].alias("leaf_seq"), first["ptr"].alias("ptr"), first["st"].alias("st"), en.alias("en"),
+            lead["rule_id"].alias("rule_id"), lead["category"].alias("category"), lead["action"].alias("action"),
+            lead["rank"].alias("rank"), lead["priority"].alias("priority"), lead["template"].alias("template"),
+            lost.alias("suppressed"))
+
+    def decided(members: Column) -> Column:
+        latest = F.array_max(F.transform(members, lambda h: h["en"]))
+        solo = span(members[0], members[0]["en"], members[0], F.array().cast("array<string>"))
+        return F.when(F.size(members) == 1, solo).otherwise(
+            let(_beaten(members), lambda d: span(members[0], latest, d["lead"], d["lost"])))
+
+    return F.transform(island_col, decided)
 
 
 def resolve_in_row(hits: Column) -> Column:

@@ -157,8 +157,8 @@ BUILTIN_RULES: tuple[Rule, ...] = (
          318, context=DOMAIN_CONTEXT, guard="dot"),
     Rule("builtin.pii.ipv4", "pii",
          r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b",
-         318, guard="dot"),
-    Rule("builtin.pii.phone", "pii", PHONE, 317, context=PHONE_CONTEXT),
+         318, guard="dotted_digits"),
+    Rule("builtin.pii.phone", "pii", PHONE, 317, context=PHONE_CONTEXT, guard="phone_digits"),
     Rule("builtin.pii.phone_field", "pii", PHONE, 317, gate=PHONE_FIELDS),
     Rule("builtin.pii.name_field", "pii",
          r"^(?:[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё'-]{0,63})(?:\s+[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё'-]{0,63}){0,2}$",
@@ -180,19 +180,19 @@ BUILTIN_RULES: tuple[Rule, ...] = (
          311, gate=("/swift_bic", "/swiftBic")),
     Rule("builtin.pii.medical_record_number", "pii",
          r"\b(?:MRN-\d{5,8}|MED\d{8}|[A-Z]\d{7})\b",
-         309),
+         309, guard="record_digits"),
     Rule("builtin.pii.license_plate", "pii",
          r"\b(?:[A-Z]{2,3}\s\d{3}|[A-Z]{2}\d{8,10})\b",
-         308),
+         308, guard="plate_digits"),
     Rule("builtin.pii.en_address_like_high_risk", "pii",
          r"\b(?:[NSEW]\s+[A-Z][a-z]{2,20}(?:\s+[A-Z][a-z]{2,20}){0,4}|\d{1,5}\s+Avenida(?:\s+[A-Za-z]{2,20}){1,5}|\d{1,5}\s+(?:[A-Za-z]{2,20}\s+){1,6}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Trail|Terrace|Brook|Common|Crossway|Marg))\b",
-         307),
+         307, guard="address_words"),
     Rule("builtin.pii.identity_context_name", "pii",
          r"\b(?i:my name is|i am|signed by|author:|from:|contact:)\s+[A-ZА-ЯЁ][a-zа-яё'-]{1,30}(?:\s+[A-ZА-ЯЁ][a-zа-яё'-]{1,30}){1,2}\b",
          306, guard="introduction"),
     Rule("builtin.pii.card_number", "pii",
          r"\b\d(?:[ -]?\d){12,15}\b",
-         310),
+         310, guard="card_digits"),
     Rule("builtin.corporate.project_name", "corporate_markers",
          r"(?i)\bproject\s+[a-z][a-z0-9_-]{2,}\b",
          220, guard="project"),

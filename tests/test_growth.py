@@ -1,10 +1,14 @@
 """Work per match and per span stays small however many there are in a row."""
 
+import json
 import time
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veilframe.functions import fragments as FR
+from veilframe.functions import leaves as LV
 from veilframe.functions import match as M
 from veilframe.functions.arrays import numbers_before
 from veilframe.operators import ner as N
@@ -88,3 +92,19 @@ def test_every_rule_on_free_text_has_a_guard(spark):
         found += df.filter(raw).count()
         assert df.filter(raw & ~F.expr(M.GUARDS[rule.guard]("t", "low"))).count() == 0, rule.rule_id
     assert found >= len(samples)
+
+
+def test_memory_does_not_grow_with_the_batch(spark):
+    payload = json.dumps({"messages": [{"content": "some words " * 20, "role": "user"}] * 3})
+    new = [("/messages/0/content", "other words " * 20)]
+
+    def peak(n):
+        batch = pa.array([payload] * n), pa.array([new] * n, pa.map_(pa.string(), pa.string()))
+        tracemalloc.start()
+        assert len(LV.json_nodes.func(batch[0])) == len(LV.set_json_leaves.func(*batch)) == n
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    peak(10)
+    assert LV.json_nodes.func(pa.array([], pa.string())).type == LV.NODE_ARROW and peak(4000) < 2 * peak(500)

@@ -223,17 +223,25 @@ def spliced(raw: str, texts: dict[str, str]) -> str:
     return "".join([*out, raw[at:]])
 
 
+SLICE = 256  # rows that are Python objects at a time; a batch of the engine may hold many thousands
+
+
+def by_slices(kind: pa.DataType, rows: Callable[..., list], *columns: pa.Array) -> pa.Array:
+    """``rows`` of the columns' values, some rows at a time, so that memory does not grow with the batch."""
+    parts = [pa.array(rows(*(c.slice(at, SLICE).to_pylist() for c in columns)), type=kind)
+             for at in range(0, len(columns[0]), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+
 @F.arrow_udf(NODE_SCHEMA)
 def json_nodes(payload: pa.Array) -> pa.Array:
     """Scalar leaves and empty containers in walk order; null when the text is not JSON.
 
     Of members with the same key the last one counts, as for any parser.
     """
-    out = []
-    for raw in payload.to_pylist():
-        out.append([{k: n[k] for k in ("ptr", "kind", "text", "depth", "key", "top")} for n in walk(scan(raw)[0])]
-                   if is_json(raw) else None)
-    return pa.array(out, type=NODE_ARROW)
+    return by_slices(NODE_ARROW, lambda raws: [
+        [{k: n[k] for k in ("ptr", "kind", "text", "depth", "key", "top")} for n in walk(scan(raw)[0])]
+        if is_json(raw) else None for raw in raws], payload)
 
 
 @F.arrow_udf(T.StringType())
@@ -242,8 +250,8 @@ def set_json_leaves(payload: pa.Array, texts: pa.Array) -> pa.Array:
 
     What was never scanned is not passed on: text that is not JSON gives null, and hidden members go.
     """
-    return pa.array([spliced(raw, dict(pairs or ())) if is_json(raw) else None
-                     for raw, pairs in zip(payload.to_pylist(), texts.to_pylist())], type=pa.string())
+    return by_slices(pa.string(), lambda raws, changes: [
+        spliced(raw, dict(pairs or ())) if is_json(raw) else None for raw, pairs in zip(raws, changes)], payload, texts)
 
 
 # Catalyst treats Python functions as free to repeat and would copy them into every later expression.

@@ -12,6 +12,8 @@ from veilframe.functions import leaves as LV
 from veilframe.functions import match as M
 from veilframe.functions.arrays import numbers_before
 from veilframe.operators import ner as N
+from veilframe.operators import sanitize as S
+from veilframe.operators.audit import leaked_values
 from veilframe.operators.rules import BUILTIN_RULES
 
 
@@ -108,3 +110,13 @@ def test_memory_does_not_grow_with_the_batch(spark):
 
     peak(10)
     assert LV.json_nodes.func(pa.array([], pa.string())).type == LV.NODE_ARROW and peak(4000) < 2 * peak(500)
+
+
+def test_leaks_are_looked_for_inside_the_row(spark):
+    req = spark.createDataFrame([("r1", "direct", "zebra-1"), ("r2", "zebra-2", "zebra-3")], "request_id string, a string, b string").select(
+        "request_id", F.lit("strict").alias("effective_profile"), F.lit("enforce").alias("mode"), F.lit("direct").alias("path_class"),
+        F.lit("en").alias("effective_language"), F.struct(F.col("a").alias("client_id"), F.col("b").alias("customer_id")).alias("payload"))
+    leaks = leaked_values(S.evaluate(req, trace=True))
+    assert [tuple(x) for x in leaks.collect()] == [("r1", "direct")]
+    exploded = [line for line in leaks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate " in line]
+    assert len(exploded) == 1 and "explode(leaks" in exploded[0]

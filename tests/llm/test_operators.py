@@ -299,6 +299,83 @@ def test_held_counts_and_joined_counts_agree(spark, monkeypatch):
     assert all(math.isclose(whole[k]["base_score"], part[k]["base_score"]) and whole[k]["n_known"] == part[k]["n_known"] for k in whole)
 
 
+def _language_network(own=30, seed=3):
+    r = np.random.default_rng(seed)
+    counts = np.sort(r.integers(1, 99, own))[::-1]
+    network = recurrent.Network(recurrent.Vocabulary({}, counts, own, np.zeros(own, int), 9, int(counts.sum()) + 9, own + 1,
+                                                     np.full(recurrent.SHAPES, 5), np.full(recurrent.SHAPES, 2)))
+    parts = [np.append(r.integers(0, own + 1 + recurrent.SHAPES, n), own).astype(np.int16) for n in (70, 3, 1, 5, 40, 2, 0, 9, 4, 33)]
+    return network, parts, recurrent.Texts(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+
+
+def test_scores_of_lanes_equal_scores_of_single_texts(monkeypatch):
+    network, parts, texts = _language_network()
+    p, end = network.p, network.own + 1
+
+    def alone(text):  # one step after the other, in double precision
+        h, total, size = np.zeros(recurrent.STATE), 0.0, recurrent.STATE
+        for x in text:
+            logits = h @ p["C"] + p["c"]
+            k = network.class_of[x]
+            total += logits[k] - np.log(np.exp(logits).sum())
+            if x < end:
+                group = network.groups[k]
+                logits = p["W"][group] @ h + p["w"][group]
+                total += logits[network.place[x]] - np.log(np.exp(logits).sum())
+            a, u = p["E"][x].astype(float), h @ p["U"]
+            z, g = (1 / (1 + np.exp(-(a[i:i + size] + u[i:i + size]))) for i in (0, size))
+            n = np.tanh(a[2 * size:] + g * u[2 * size:])
+            h = n + z * (h - n)
+        return total
+
+    expected = [alone(t) for t in parts]
+    for lanes in (1, 3, 256):
+        monkeypatch.setattr(recurrent, "LANES", lanes)
+        assert np.allclose(network.score(texts), expected, rtol=1e-4)
+
+
+def test_gradients_of_the_language_network(monkeypatch):
+    network, parts, _ = _language_network()
+    short = [t for t in parts if len(t) < 7]
+    texts = recurrent.Texts(np.concatenate(short), np.cumsum([0, *map(len, short)]))
+    (x, _, begin), = network.lanes(texts, 2)  # several texts a lane, all in one window
+    values, _, count = network.gradients(np.zeros((recurrent.STATE, 2), np.float32), x, begin)
+    assert count == len(texts.entries) and begin.sum() == len(short)
+    found = recurrent._views(values, network.p)
+    for name, value in network.p.items():
+        for at in np.argsort(-np.abs(found[name]).ravel())[:5]:
+            at, sums = np.unravel_index(at, value.shape), []
+            old = value[at]
+            for step in (0.02, -0.02):
+                value[at] = old + step
+                sums.append(-network.score(texts).sum())
+            value[at] = old
+            assert math.isclose((sums[0] - sums[1]) / 0.04, found[name][at], rel_tol=0.02, abs_tol=2e-3), (name, at)
+
+
+def test_lanes_are_kept_full():
+    r = np.random.default_rng(5)
+    sizes = np.append(r.integers(1, 200, 400), 2000)
+    texts = recurrent.Texts(np.zeros(sizes.sum(), np.int16), np.cumsum([0, *sizes]))
+    windows = list(recurrent.Network.lanes(texts, 16))
+    assert sum(int((x >= 0).sum()) for x, *_ in windows) == sizes.sum()
+    assert sum(int(begin.sum()) for *_, begin in windows) == len(sizes)
+    assert len(windows) <= max(sizes.sum() / 16 + 200, 2000) / recurrent.WINDOW + 1  # not the longest of each 16 texts
+
+
+def test_each_text_is_encoded_once_for_all_passes(spark, monkeypatch):
+    df, calls = frame(spark, [prose(k, 50) + f" rare{k} é{k}." for k in range(40)], extra=False), []
+    plain, fit = recurrent.encoded, recurrent.fit_recurrence
+    monkeypatch.setattr(recurrent, "encoded", lambda *a: calls.append("encoded") or plain(*a))
+    monkeypatch.setattr(recurrent, "fit_recurrence", lambda rows, v: calls.append("text" in rows.columns) or fit(rows, v))
+    got = {r["doc_id"]: r for r in recurrent.fit_and_score(df, F.col("doc_id") % 5 != 0).collect()}
+    assert calls == ["encoded", False]
+    apart = recurrent.score_documents(df, recurrent.fit_language_model(df.filter("doc_id % 5 <> 0"))).collect()
+    assert len(got) == len(apart) == 40
+    for r in apart:
+        assert got[r["doc_id"]]["n_known"] == r["n_known"] and math.isclose(got[r["doc_id"]]["base_score"], r["base_score"])
+
+
 def test_gradients_of_the_block_labeller():
     model, r = blocks.Labeller(), np.random.default_rng(1)
     data = (r.random((2, 5, blocks.PATHS), np.float32), r.random((2, 5, blocks.WORDS), np.float32), r.random((2, 5, blocks.EXTRA), np.float32))

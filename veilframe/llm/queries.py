@@ -55,8 +55,7 @@ def _held_out(mod: int, rest: int):
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = _held_out(7, 2)
-    model = recurrent.fit_language_model(docs.filter(~held))
-    return recurrent.score_documents(docs, model).select(
+    return recurrent.fit_and_score(docs, ~held).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -7,9 +7,11 @@ the counts of all training documents. So every string has a probability and they
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import staged
+from veilframe.llm.common import CHUNK_BYTES, staged
 
 #: Words with a softmax entry of their own, frequency classes they fall into, and width of the state.
 OWN, CLASSES, STATE = 500, 20, 16
@@ -27,17 +29,20 @@ SHAPES = 16
 #: One in so many training documents fits the recurrence, 1 is all of them; passes over them; steps of a window.
 EVERY, ROUNDS, WINDOW = 1, 2, 16
 LANES, FIT_LANES, RATE = 256, 192, 0.02
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of anything but ASCII white space."""
-    return (text or "").encode().lower().split()
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
 
 
-def shape(word: bytes) -> int:
-    """The class of a word without an entry of its own: its length, other alphabets, closing punctuation."""
-    return min(len(word) // 3, 3) * 4 + (not word.isascii()) * 2 + (word[-1:] in b".,!?;:")
+def shapes(words: list[bytes]) -> np.ndarray:
+    """The classes of words without an entry of their own: length, other alphabets, closing punctuation."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    plain = np.fromiter(map(bytes.isascii, words), bool, len(words))
+    ended = np.fromiter(map(bytes.endswith, words, repeat(tuple(bytes([c]) for c in b".,!?;:"))), bool, len(words))
+    return np.minimum(size // 3, 3) * 4 + ~plain * 2 + ended
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -46,13 +51,13 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(map(shape, held)), pa.int32()),
+            out = pa.record_batch([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(shapes(list(held)).astype(np.int32)),
                                    pa.array(list(held.values()), pa.int64())], ["word", "shape", "n"])
             held.clear()
             return out
 
         for batch in batches:
-            for value in batch.column(0):
+            for value in batch.column(0).cast(pa.binary()):
                 held.update(words_of(value.as_py()))
                 if len(held) > 300_000:
                     yield flush()
@@ -86,6 +91,14 @@ class Vocabulary:
         return np.array_split(order, min(CLASSES, len(order)))
 
 
+@dataclass
+class Texts:
+    """Entries of texts one after the other, and where each begins and ends."""
+
+    entries: np.ndarray
+    bounds: np.ndarray
+
+
 class Network:
     """A gated recurrent unit over entries (own words, the end, shapes) with a two-step softmax."""
 
@@ -105,155 +118,303 @@ class Network:
                   "c": np.log(by_class / by_class.sum()).astype(np.float32), "W": draw(entries, STATE),
                   "w": np.log(mass / by_class[self.class_of]).astype(np.float32)}
         self.p["E"][:, :STATE] += 1.0
-
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple:
-        a, u = self.p["E"][x], h @ self.p["U"]
-        g = 1 / (1 + np.exp(-(a[:, :2 * STATE] + u[:, :2 * STATE])))
-        z, r = g[:, :STATE], g[:, STATE:]
-        n = np.tanh(a[:, 2 * STATE:] + r * u[:, 2 * STATE:])
-        return n + z * (h - n), z, r, n, u[:, 2 * STATE:]
-
-    def log_probability(self, h: np.ndarray, x: np.ndarray, g: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of entries ``x`` after states ``h``; with ``g``, also gradients of its negative sum."""
-        k = self.class_of[x]
-        logits = h @ self.p["C"] + self.p["c"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(x))
-        out = logits[rows, k] - np.log(total)
-        dh = None
-        if g is not None:
-            d = e / total[:, None]
-            d[rows, k] -= 1
-            g["C"] += h.T @ d
-            g["c"] += d.sum(axis=0)
-            dh = d @ self.p["C"].T
+        self.members = np.zeros((len(self.groups), max(map(len, self.groups))), np.int64)
+        for k, group in enumerate(self.groups):
+            self.members[k, :len(group)] = group
+        self.at = self.class_of[:self.own + 1] * self.members.shape[1] + self.place[:self.own + 1]
+        self.pad = np.ones(self.members.shape, bool)
+        self.pad.reshape(-1)[self.at] = False
+
+    def run(self, h: np.ndarray, x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States (the one before each step, then the last), gates, candidates and their recurrent part.
+
+        ``x`` holds entries by step and lane, ``begin`` tells where a text begins; ``h`` and all results have a row
+        per unit and a column per lane, so each operation is one run over adjoining numbers.
+        """
+        steps, lanes = x.shape
+        a = np.ascontiguousarray(self.p["E"][x].transpose(0, 2, 1))
+        gates, n = a[:, :2 * STATE], a[:, 2 * STATE:]
+        np.negative(gates, out=gates)
+        weights = np.ascontiguousarray(self.p["U"].T)
+        weights[:2 * STATE] *= -1
+        states, u = np.empty((steps + 1, STATE, lanes), np.float32), np.empty((steps, 3 * STATE, lanes), np.float32)
+        un = u[:, 2 * STATE:]
+        states[0] = h
+        for t, fresh in enumerate(begin.any(axis=1).tolist()):
+            before, g, c = states[t], gates[t], n[t]
+            if fresh:
+                before[:, begin[t]] = 0
+            np.matmul(weights, before, out=u[t])
+            g += u[t, :2 * STATE]
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            c += g[STATE:] * un[t]
+            np.tanh(c, out=c)
+            after = np.subtract(before, c, out=states[t + 1])
+            after *= g[:STATE]
+            after += c
+        return states, gates, n, un
+
+    def by_class(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Places of entries in order of their classes, and where each frequency class is; shapes come after these."""
+        k = self.class_of[x].astype(np.int16)
         order = np.argsort(k, kind="stable")
-        cut = np.searchsorted(k[order], np.arange(len(self.groups) + 1))
-        for n, group in enumerate(self.groups):
-            at = order[cut[n]:cut[n + 1]]
-            if not len(at) or len(group) < 2:
-                continue
-            w = self.p["W"][group]
-            logits = h[at] @ w.T + self.p["w"][group]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            here, place = np.arange(len(at)), self.place[x[at]]
-            out[at] += logits[here, place] - np.log(total)
+        cut = np.searchsorted(k[order], np.arange(len(self.groups) + 1)).tolist()
+        return order, [(n, slice(i, j)) for n, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+
+    def log_probability(self, h: np.ndarray, x: np.ndarray, runs: list, g: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of entries ``x``, which are in order of their classes, after states ``h`` (a row each).
+
+        With ``g``, also gradients of its negative sum.
+        """
+        k, own = self.class_of[x], runs[-1][1].stop if runs else 0
+        seen = np.ones((len(x), STATE + 1), np.float32)
+        seen[:, :STATE] = h
+        seen = seen.T
+
+        def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Log probabilities of rows ``at``; ``logits`` become their gradients."""
+            logits -= logits.max(axis=0)
+            flat, at = logits.reshape(-1), at * np.int64(len(at)) + np.arange(len(at))
+            out = flat[at]
+            np.exp(logits, out=logits)
+            total = logits.sum(axis=0)
             if g is not None:
-                d = e / total[:, None]
-                d[here, place] -= 1
-                g["W"][group] += d.T @ h[at]
-                g["w"][group] += d.sum(axis=0)
-                dh[at] += d @ w
+                logits *= 1 / total
+                flat[at] -= 1
+            return out - np.log(total)
+
+        d = np.vstack((self.p["C"], self.p["c"])).T @ seen
+        out, dh = softmax(d, k), None
+        if g is not None:
+            dw = seen @ d.T
+            g["C"] += dw[:STATE]
+            g["c"] += dw[STATE]
+            dh = d.T @ self.p["C"].T
+        weights = np.hstack((self.p["W"], self.p["w"][:, None]))[self.members]  # members of a class, then padding
+        weights[self.pad, STATE] = -1e30
+        d = np.empty((self.members.shape[1], own), np.float32)
+        for n, run in runs:
+            np.matmul(weights[n], seen[:, run], out=d[:, run])
+        out[:own] += softmax(d, self.place[x[:own]])
+        if g is not None:
+            dw, back = np.zeros_like(weights), np.empty((own, STATE), np.float32)
+            for n, run in runs:
+                np.matmul(d[:, run], seen[:, run].T, out=dw[n])
+                np.matmul(d[:, run].T, weights[n, :, :STATE], out=back[run])
+            dh[:own] += back
+            dw = dw.reshape(-1, STATE + 1)[self.at]
+            g["W"][:self.own + 1], g["w"][:self.own + 1] = dw[:, :STATE], dw[:, STATE]
         return out, dh
 
-    def lanes(self, texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Windows of texts side by side: rows in order of length, entries (-1: past the end), whether a state begins."""
-        order = np.argsort([-len(t) for t in texts], kind="stable")
-        for at in range(0, len(order), lanes):
-            rows = order[at:at + lanes]
-            sizes = np.array([len(texts[r]) for r in rows])
-            for start in range(0, int(sizes[0]), WINDOW):
-                live = rows[:int(np.searchsorted(-sizes, -start, "left"))]
-                x = np.full((len(live), WINDOW), -1, np.int64)
-                for k, r in enumerate(live):
-                    part = texts[r][start:start + WINDOW]
-                    x[k, :len(part)] = part
-                yield live, x, start == 0
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+    def sums(self, rows: np.ndarray, x: np.ndarray, runs: list, out: np.ndarray) -> None:
+        """Rows added up by their entries ``x``, which are in order of their classes."""
+        own, (classes, size) = runs[-1][1].stop if runs else 0, self.members.shape
+        parts, which = np.zeros((classes, size, rows.shape[1]), np.float32), np.zeros((size, own), np.float32)
+        which.reshape(-1)[self.place[x[:own]] * own + np.arange(own)] = 1
+        for n, run in runs:
+            np.matmul(which[:, run], rows[run], out=parts[n])
+        out[:self.own + 1] = parts.reshape(-1, rows.shape[1])[self.at]
+        out[self.own + 1:] = (x[own:] - self.own - 1 == np.arange(SHAPES)[:, None]).astype(np.float32) @ rows[own:]
+
+    @staticmethod
+    def lanes(texts: Texts, lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of texts side by side, by step and lane: entries (-1: none left), their texts, where a text begins.
+
+        A lane takes one whole text after the other. The longest are dealt first, each to the lane with the
+        fewest entries; lanes keep the order of their texts, and the lanes of a window are the first of those before.
+        """
+        sizes = np.diff(texts.bounds)
+        lane, load = np.empty(len(sizes), np.int64), [(0, k) for k in range(min(lanes, len(sizes)))]
+        for row in np.argsort(-sizes, kind="stable").tolist():
+            held, k = load[0]
+            lane[row] = k
+            heapq.heapreplace(load, (held + int(sizes[row]), k))
+        rank = np.empty(len(load), np.int64)
+        held = np.array([n for n, _ in sorted(load, key=lambda x: (-x[0], x[1]))], np.int64)
+        rank[[k for _, k in sorted(load, key=lambda x: (-x[0], x[1]))]] = np.arange(len(load))
+        order = np.argsort(rank[lane], kind="stable")
+        ends = np.cumsum(sizes[order])
+        rows = np.repeat(order.astype(np.int32), sizes[order])
+        moved = texts.entries[np.repeat(texts.bounds[order] - (ends - sizes[order]), sizes[order]) + np.arange(len(rows))]
+        first = np.zeros(len(rows), bool)
+        first[ends - sizes[order]] = True
+        start = np.cumsum(held) - held
+        for at in range(0, int(held[0]) if len(held) else 0, WINDOW):
+            live = int(np.searchsorted(-held, -at, "left"))
+            step = np.arange(at, at + WINDOW)[:, None]
+            place, there = np.minimum(start[:live] + step, len(rows) - 1), step < held[:live]
+            yield np.where(there, moved[place], np.int16(-1)), rows[place], first[place] & there
+
+    def score(self, texts: Texts) -> np.ndarray:
         """Natural log probability of each whole text; the state is carried from window to window."""
-        out, h = np.zeros(len(texts)), None
-        for live, x, fresh in self.lanes(texts, LANES):
-            h = np.zeros((len(live), STATE), np.float32) if fresh else h[:len(live)]
-            seen = np.zeros((WINDOW, len(live), STATE), np.float32)
-            width = int((x >= 0).sum(axis=1).max())
-            for t in range(width):
-                seen[t] = h
-                h = self.step(h, np.maximum(x[:, t], 0))[0]
-            kept = x[:, :width].T >= 0
-            logs, _ = self.log_probability(seen[:width][kept], x[:, :width].T[kept])
-            out += np.bincount(np.broadcast_to(live, kept.shape)[kept], logs, len(out))
+        out, h = np.zeros(len(texts.bounds) - 1), np.zeros((STATE, LANES), np.float32)
+        for x, rows, begin in self.lanes(texts, LANES):
+            states = self.run(h[:, :x.shape[1]], np.maximum(x, 0), begin)[0]
+            h = states[-1]
+            at = np.flatnonzero(x >= 0)
+            order, runs = self.by_class(x.ravel()[at])
+            at = at[order]
+            logs, _ = self.log_probability(np.take(_by_row(states[:-1]), at, axis=0), x.ravel()[at], runs)
+            out += np.bincount(rows.ravel()[at], logs, len(out))
         return out
 
-    def train(self, texts: list[np.ndarray], moments: dict) -> int:
-        """Truncated backpropagation: gradients end at the window, the state goes on. Returns tokens seen."""
-        tokens, h = 0, None
-        for live, x, fresh in self.lanes(texts, FIT_LANES):
-            h = np.zeros((len(live), STATE), np.float32) if fresh else h[:len(live)]
-            steps, seen = [], np.zeros((WINDOW, len(live), STATE), np.float32)
-            for t in range(WINDOW):
-                seen[t] = h
-                h_next, *rest = self.step(h, np.maximum(x[:, t], 0))
-                steps.append((h, *rest))
-                h = h_next
-            g = {k: np.zeros_like(v) for k, v in self.p.items()}
-            kept = x.T >= 0
-            count = int(kept.sum())
-            _, d = self.log_probability(seen[kept], x.T[kept], g)
-            dseen = np.zeros_like(seen)
-            dseen[kept] = d
-            dh, das = np.zeros_like(h), []
-            for t in range(WINDOW - 1, -1, -1):
-                before, z, r, n, un = steps[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (before - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                da = np.concatenate((dz, dr, dn), axis=1)
-                du = np.concatenate((dz, dr, dn * r), axis=1)
-                g["U"] += before.T @ du
-                das.append((np.maximum(x[:, t], 0), da))
-                dh = dh * z + du @ self.p["U"].T + dseen[t]
-            read = np.concatenate([a for a, _ in das])
-            order = np.argsort(read, kind="stable")
-            begin = np.flatnonzero(np.diff(read[order], prepend=-1))
-            g["E"][read[order][begin]] = np.add.reduceat(np.concatenate([b for _, b in das])[order], begin, axis=0)
+    def gradients(self, h: np.ndarray, x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Gradients of all parameters in a window, one after the other, the states after it, and its tokens."""
+        steps, lanes = x.shape
+        read = np.maximum(x, 0)
+        states, gates, n, un = self.run(h, read, begin)
+        before, z, r = states[:-1], gates[:, :STATE], gates[:, STATE:]
+        values = np.zeros(sum(v.size for v in self.p.values()), np.float32)
+        g = _views(values, self.p)
+        at = np.flatnonzero(x >= 0)
+        order, runs = self.by_class(x.ravel()[at])
+        at = at[order]
+        dseen = np.zeros((x.size, STATE), np.float32)
+        seen = _by_row(before)
+        dseen[at] = self.log_probability(np.take(seen, at, axis=0), x.ravel()[at], runs, g)[1]
+        dseen = np.ascontiguousarray(dseen.reshape(steps, lanes, STATE).transpose(0, 2, 1))
+        dn, du = n * n, np.empty((steps, 3, STATE, lanes), np.float32)  # what a step's gradient is multiplied with
+        np.subtract(1, dn, out=dn)
+        open_ = 1 - z
+        dn *= open_
+        open_ *= z
+        np.subtract(before, n, out=du[:, 0])
+        du[:, 0] *= open_
+        np.multiply(dn, r, out=du[:, 2])
+        np.multiply(du[:, 2], un, out=du[:, 1])
+        du[:, 1] *= np.subtract(1, r, out=open_)
+        dh, back = np.zeros((STATE, lanes), np.float32), self.p["U"]
+        starts = begin.any(axis=1).tolist()
+        for t in range(steps - 1, -1, -1):
+            du[t] *= dh
+            dn[t] *= dh
+            dh *= z[t]
+            dh += dseen[t]
+            dh += back @ du[t].reshape(3 * STATE, lanes)
+            if starts[t]:
+                dh[:, begin[t]] = 0
+        rows = _by_row(du.reshape(steps, 3 * STATE, lanes))
+        np.matmul(seen.T, rows, out=g["U"])
+        rows[:, 2 * STATE:] = _by_row(dn)
+        self.sums(np.take(rows, at, axis=0), x.ravel()[at], runs, g["E"])
+        return values, states[-1], len(at)
+
+    def train(self, texts: Texts, moments: np.ndarray) -> int:
+        """Truncated backpropagation: gradients end at the window, the state goes on. Returns tokens seen.
+
+        ``moments`` holds the running squares of all parameters' gradients, one after the other, and is kept up.
+        """
+        values = np.concatenate([v.ravel() for v in self.p.values()])
+        self.p, square = _views(values, self.p), np.empty_like(values)
+        tokens, h = 0, np.zeros((STATE, FIT_LANES), np.float32)
+        for x, _, begin in self.lanes(texts, FIT_LANES):
+            g, h, count = self.gradients(h[:, :x.shape[1]], x, begin)
             tokens += count
-            for name, value in g.items():
-                value = np.clip(value / max(1, count) ** 0.5, -1, 1)
-                moments[name] = moments.get(name, 1e-3) + value * value
-                self.p[name] -= RATE * value / np.sqrt(moments[name])
+            g *= np.float32(max(1, count) ** -0.5)
+            np.clip(g, -1, 1, out=g)
+            moments += np.multiply(g, g, out=square)
+            g /= np.sqrt(moments, out=square)
+            g *= np.float32(RATE)
+            values -= g
         return tokens
 
 
-def entries(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """What the network reads, ids of held words (-1: none), and the words without one."""
-    get = vocabulary.ids.get
-    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    missing = np.flatnonzero(ids < 0)
-    rest = [words[k] for k in missing]
-    x = np.empty(len(words) + 1, np.int64)
-    x[:-1] = np.where(ids < vocabulary.own, ids, vocabulary.own + 1 + vocabulary.shapes[ids] if len(vocabulary.shapes) else 0)
-    x[missing] = vocabulary.own + 1 + np.fromiter(map(shape, rest), np.int64, len(rest))
-    x[-1] = vocabulary.own
-    return x, ids, rest
+def _views(values: np.ndarray, like: dict) -> dict:
+    """``values`` cut into arrays of the shapes in ``like``."""
+    ends = np.cumsum([v.size for v in like.values()]).tolist()
+    return {k: values[end - v.size:end].reshape(v.shape) for (k, v), end in zip(like.items(), ends)}
+
+
+def _by_row(units: np.ndarray) -> np.ndarray:
+    """Steps of units by lane as a row for each step and lane."""
+    return units.transpose(0, 2, 1).reshape(-1, units.shape[1])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded bytes; a longer text is a batch of its own."""
+def _parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded bytes in ``column``; a longer value is a batch of its own."""
     for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(batch):
             base = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, base + BATCH_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(sizes, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
 
 
-def _fit(shared, parameters):
+def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocabulary, tokens, moments = shared.value, 0, {}
-        network = Network(vocabulary)
-        network.p = {k: v.copy() for k, v in (parameters or network.p).items()}
-        for batch in _parts(batches):
-            texts = [entries(words_of(t), vocabulary)[0] for t in batch.column(1).to_pylist()]
-            tokens += network.train(texts, moments)
+        vocabulary, part, row = shared.value, TaskContext.get().partitionId(), 0
+        get, own = vocabulary.ids.get, vocabulary.own
+        log_c = np.log10(vocabulary.counts + 1.0)
+        held_n = np.log10(vocabulary.shape_tokens + vocabulary.shape_words + 1.0)
+        tail_c = log_c - held_n[vocabulary.shapes]
+        tail_c[:own] = 0.0
+        entry = np.where(np.arange(len(log_c)) < own, np.arange(len(log_c)), own + 1 + vocabulary.shapes).astype(np.int16)
+        unit, end = np.log10(float(vocabulary.unit)), np.log10(vocabulary.end + 1.0)
+        for batch in _parts(batches, 1, CHUNK_BYTES):
+            n = len(batch)
+            words, sizes, rests, many = [], np.zeros(n, np.int64), [], []
+            for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                here = words_of(text)
+                words += here
+                sizes[k] = len(here)
+            ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            of = np.repeat(np.arange(n), sizes)
+            held = ids >= 0
+            missing = np.flatnonzero(~held)
+            x = np.empty(len(words), np.int16)
+            x[held] = entry[ids[held]]
+            x[missing] = own + 1 + shapes([words[k] for k in missing])
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            x = np.insert(x, bounds[1:], own)  # the end of each text
+            cut = np.searchsorted(missing, bounds)
+            for k in range(n):
+                found = Counter(words[m] for m in missing[cut[k]:cut[k + 1]])
+                rests.append([w.decode() for w in found])
+                many.append(list(found.values()))
+            known = np.bincount(of[held], minlength=n)
+            base = np.bincount(of[held], log_c[ids[held]], n) - unit * (known + 1) + end
+            tail = np.bincount(of[held], tail_c[ids[held]], n)
+            offsets = ((bounds + np.arange(n + 1)) * 2).astype(np.int32)
+            yield pa.record_batch(
+                [batch.column(0), batch.column(2), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)),
+                 pa.array(sizes + 1), pa.array(known + (vocabulary.end > 0)), pa.array(base), pa.array(tail),
+                 pa.array(rests, pa.list_(pa.string())), pa.array(many, pa.list_(pa.int64())),
+                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(x)])],
+                ["doc_id", "fits", "part", "row", "n_tokens", "n_known", "base_score", "score", "rest", "many", "x"])
+            row += n
+
+    return run
+
+
+def encoded(docs: DataFrame, shared, fits: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The texts of ``docs`` as entries of the network, staged once for all passes over them.
+
+    Beside them: sums over held words, the words that are not held, and whether a row ``fits`` the recurrence.
+    """
+    return staged(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), fits.alias("fits")).mapInArrow(
+        _encode(shared), "doc_id long, fits boolean, part int, row long, n_tokens long, n_known long, base_score double, "
+        "score double, rest array<string>, many array<long>, x binary"), "entries")
+
+
+def _texts(column: pa.Array) -> Texts:
+    """The entries of an Arrow column, not copied."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // 2
+    return Texts(np.frombuffer(column.buffers()[2], np.int16, int(bounds[-1])), bounds.astype(np.int64))
+
+
+def _fit(network: Network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        tokens, moments = 0, np.full(sum(v.size for v in network.p.values()), 1e-3, np.float32)
+        for batch in _parts(batches, 0, BATCH_BYTES):
+            tokens += network.train(_texts(batch.column(0)), moments)
         if tokens:
             part = TaskContext.get().partitionId()
             yield pa.record_batch([pa.array(list(network.p)), pa.array([part] * len(network.p), pa.int32()),
@@ -279,14 +440,8 @@ class Model:
     parameters: dict
 
 
-def fit_language_model(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
-    """Counts over all of ``docs``, which must hold the training documents only, then the recurrence.
-
-    The recurrence is trained where the documents are: each task runs over its own share of all of
-    them, and the tasks' parameters are averaged after each round, in two steps.
-    What is gathered grows with the input; the driver sees ``HELD`` words and the averages.
-    """
-    spark, schema = docs.sparkSession, "name string, part int, value binary, tokens long"
+def learnt_counts(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
+    """What all tasks hold of the words of ``docs``, and the counts of all words."""
     counts = staged(word_counts(docs, text), "words")
     held = counts.orderBy(F.desc("c"), "word").limit(HELD).select("word", "shape", "c").toArrow()
     words = [w.encode() for w in held.column("word").to_pylist()]
@@ -296,54 +451,36 @@ def fit_language_model(docs: DataFrame, text: str = "text", key: str = "doc_id")
     own = min(OWN, len(words))
     tail_n = np.array([sums[k]["n"] if k in sums else 0 for k in range(SHAPES)]) - np.bincount(s[:own], c[:own], SHAPES).astype(np.int64)
     tail_v = np.array([sums[k]["v"] if k in sums else 0 for k in range(SHAPES)]) - np.bincount(s[:own], minlength=SHAPES)
-    vocabulary = Vocabulary({w: k for k, w in enumerate(words)}, c, own, s, n_docs, int(sum(r["n"] for r in sums.values())) + n_docs,
-                            int(sum(r["v"] for r in sums.values())) + (n_docs > 0), tail_n, tail_v)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    rows = docs.filter(F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(EVERY)) == 0).select(key, text)
-    network = Network(vocabulary)
-    parameters = None
+    return Vocabulary({w: k for k, w in enumerate(words)}, c, own, s, n_docs, int(sum(r["n"] for r in sums.values())) + n_docs,
+                      int(sum(r["v"] for r in sums.values())) + (n_docs > 0), tail_n, tail_v), counts
+
+
+def fit_recurrence(rows: DataFrame, vocabulary: Vocabulary) -> dict:
+    """Parameters of the network after all rounds over the ``encoded`` rows.
+
+    The recurrence is trained where the rows are: each task runs over its own share of all of
+    them, and the tasks' parameters are averaged after each round, in two steps.
+    What is gathered grows with the input; the driver sees the averages.
+    """
+    schema, network = "name string, part int, value binary, tokens long", Network(vocabulary)
     for _ in range(ROUNDS):
-        tasks = rows.mapInArrow(_fit(shared, parameters), schema).withColumn("bucket", F.col("part") % 32)
+        tasks = rows.select("x").mapInArrow(_fit(network), schema).withColumn("bucket", F.col("part") % 32)
         near = tasks.groupBy("name", "bucket").applyInArrow(_mean, schema)
-        got = near.groupBy("name").applyInArrow(_mean, schema).collect()
-        if got:
-            parameters = {r["name"]: np.frombuffer(bytes(r["value"]), np.float32).reshape(network.p[r["name"]].shape).copy() for r in got}
-    return Model(vocabulary, counts, parameters or network.p)
+        for r in near.groupBy("name").applyInArrow(_mean, schema).collect():
+            network.p[r["name"]] = np.frombuffer(bytes(r["value"]), np.float32).reshape(network.p[r["name"]].shape).copy()
+    return network.p
 
 
-def _score(shared, parameters):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _taken(key: str) -> Column:
+    """Whether a training document fits the recurrence."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(EVERY)) == 0
 
-        vocabulary, part, row = shared.value, TaskContext.get().partitionId(), 0
-        network = Network(vocabulary)
-        network.p = parameters
-        log_c = np.log10(vocabulary.counts + 1.0) if len(vocabulary.counts) else np.zeros(1)
-        held_n = np.log10(vocabulary.shape_tokens + vocabulary.shape_words + 1.0)
-        unit, end = np.log10(float(vocabulary.unit)), np.log10(vocabulary.end + 1.0)
-        for batch in _parts(batches):
-            n = len(batch)
-            base, known, tail, tokens, texts, rests, many = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64), [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                x, ids, rest = entries(words_of(text), vocabulary)
-                here = ids[ids >= 0]
-                tokens[k], known[k] = len(x), len(here) + (vocabulary.end > 0)
-                base[k] = log_c[here].sum() - unit * (len(here) + 1) + end
-                shaped = here[here >= vocabulary.own]
-                tail[k] = (log_c[shaped] - held_n[vocabulary.shapes[shaped]]).sum() if len(shaped) else 0.0
-                found = Counter(rest)
-                texts.append(x)
-                rests.append([w.decode() for w in found])
-                many.append(list(found.values()))
-            score = network.score(texts) / np.log(10) + tail
-            yield pa.record_batch(
-                [batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(tokens),
-                 pa.array(known), pa.array(base), pa.array(score), pa.array(rests, pa.list_(pa.string())),
-                 pa.array(many, pa.list_(pa.int64()))],
-                ["doc_id", "part", "row", "n_tokens", "n_known", "base_score", "score", "rest", "many"])
-            row += n
 
-    return run
+def fit_language_model(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+    """Counts over all of ``docs``, which must hold the training documents only, then the recurrence."""
+    vocabulary, counts = learnt_counts(docs, text)
+    rows = encoded(docs.filter(_taken(key)), docs.sparkSession.sparkContext.broadcast(vocabulary), F.lit(True), text, key)
+    return Model(vocabulary, counts, fit_recurrence(rows, vocabulary))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -352,12 +489,32 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
     Null text is empty: just its end. Rows with null or repeated ids are scored like any other. Words
     outside the held ones meet their counts in a join; none of these is frequent, so no key is hot.
     """
+    rows = encoded(docs, docs.sparkSession.sparkContext.broadcast(model.vocabulary), F.lit(False), text, key)
+    return _scored(rows, model)
+
+
+def fit_and_score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The scores of all ``docs`` by a model of those where ``train`` holds; each text is encoded once for both."""
+    vocabulary, counts = learnt_counts(docs.filter(train), text)
+    rows = encoded(docs, docs.sparkSession.sparkContext.broadcast(vocabulary), train & _taken(key), text, key)
+    return _scored(rows, Model(vocabulary, counts, fit_recurrence(rows.filter("fits"), vocabulary)))
+
+
+def _score(network: Network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, 7, BATCH_BYTES):
+            score = network.score(_texts(batch.column(7))) / np.log(10) + batch.column(6).to_numpy()
+            yield pa.record_batch([*batch.columns[:6], pa.array(score)], batch.schema.names[:7])
+
+    return run
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
     v = model.vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(v)
-    rows = staged(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _score(shared, model.parameters),
-        "doc_id long, part int, row long, n_tokens long, n_known long, base_score double, score double, "
-        "rest array<string>, many array<long>"), "scores")
+    network = Network(v)
+    network.p = model.parameters
+    scores = staged(rows.select("doc_id", "part", "row", "n_tokens", "n_known", "base_score", "score", "x").mapInArrow(
+        _score(network), "doc_id long, part int, row long, n_tokens long, n_known long, base_score double, score double"), "scores")
     rest = rows.select("part", "row", F.explode(F.arrays_zip("rest", "many")).alias("x")).select(
         "part", "row", F.col("x.rest").alias("word"), F.col("x.many").alias("n"))
     shapes = F.expr("array(" + ",".join(repr(float(np.log10(n + d + 1.0))) + "D" for n, d in zip(v.shape_tokens, v.shape_words)) + ")")
@@ -369,7 +526,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
         F.sum(F.col("n") * (log_c - float(np.log10(float(v.unit))))).alias("base"),
         F.sum(F.col("n") * (log_c - F.element_at(shapes, word_shape + 1))).alias("tail"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known")))
-    return rows.drop("rest", "many").join(sums, ["part", "row"], "left").select(
+    return scores.join(sums, ["part", "row"], "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),

@@ -5,6 +5,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from veilframe.operators.sanitize import sanitize_text
 from veilframe.operators.tools import audit_calls
 from veilframe.plans import limits as PL
 from veilframe.plans import tools as PT
+from veilframe.sources import tables
 from veilframe.sources.datasets import read_cases, read_snapshot
 from veilframe.streaming import jobs, state
 
@@ -68,6 +70,61 @@ def test_event_assembly(spark, tmp_path):
     assert [r.event for r in run(spark, state.assembled(stream), tmp_path, "assembled").collect()] == ["data: ab", "data: [DONE]"]
 
 
+class CountedState:
+    """A value or a map kept in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.map = calls, None, {}
+
+    def __getattribute__(self, name):
+        if name in ("get", "exists", "update", "iterator", "clear", "updateValue"):
+            self.calls.append(name)
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def clear(self):
+        self.map.clear()
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+
+def test_assembler_asks_the_state_only_for_what_waits():
+    calls, made = [], state.EventAssembler(1 << 20, None)
+    made.progress, made.waiting = CountedState(calls), CountedState(calls)
+
+    def batch(*rows):
+        calls.clear()
+        parts = list(made.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=["seq", "chunk"])]), None))
+        return [tuple(r) for part in parts for r in part.itertuples(index=False)]
+
+    assert batch((1, "b\n\n"), (0, "data: a")) == [("s", 0, "data: ab", "event")]
+    assert calls == ["get", "update"]
+    assert batch((3, "d\n\n"), (4, "e")) == [] and made.waiting.map == {(3,): ("d\n\n",), (4,): ("e",)}
+    assert batch((2, "c")) == [("s", 1, "cd", "event")] and not made.waiting.map
+    assert batch((5, "f\n\n")) == [("s", 2, "ef", "event")] and calls == ["get", "update"]
+
+
+def test_streams_take_files_by_their_size(spark, tmp_path):
+    spark.range(40).repartition(8).write.parquet(str(tmp_path / "t.parquet"))
+    for size, batches in ((1 << 30, 1), (1, 8)):
+        query = (tables.streamed(spark, str(tmp_path), "t", size=size).writeStream.format("noop")
+                 .option("checkpointLocation", str(tmp_path / f"cp{size}")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        assert query.lastProgress.batchId == batches - 1
+
+
 def in_batches(spark, tmp_path, parts, schema):
     """A stream that reads each part in a micro-batch of its own, in this order."""
     for k, rows in enumerate(parts):

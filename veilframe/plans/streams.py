@@ -60,7 +60,7 @@ def event_assembly(spark, sf):
     half = F.char_length("text") / 2
     parts = F.array(F.struct((2 * F.col("turn")).alias("seq"), F.concat(F.lit("data: "), F.substring(text, F.lit(1), half.cast("int"))).alias("chunk")),
                     F.struct((2 * F.col("turn") + 1).alias("seq"), F.concat(F.substring(text, half.cast("int") + 1, F.char_length("text")), F.lit("\n\n")).alias("chunk")))
-    chunks = streamed(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.inline(parts))
+    chunks = streamed(spark, sf, "conversations", size=256 << 20).select(F.col("conv_id").cast("string").alias("stream_id"), F.inline(parts))
     out = state.assembled(chunks)
     return jobs.run_available(out.select("stream_id", "pos", F.md5("event").alias("event_md5"), "status"), "assembled")
 

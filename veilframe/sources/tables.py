@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def streamed(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, name: str, files: int = 1, size: int | None = None) -> DataFrame:
     """The same table as a stream of its files, some at a time, whether it is one file or a folder of them.
 
-    Only a pattern may name a single file here.
+    With ``size``, a micro-batch takes files of about so many bytes, however many they are. Only a pattern may name
+    a single file here.
     """
     kind = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
+    limit = ("maxFilesPerTrigger", files) if size is None else ("maxBytesPerTrigger", size)
+    return spark.readStream.schema(kind).option(*limit).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

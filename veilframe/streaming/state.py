@@ -56,7 +56,8 @@ class FixedWindow(StatefulProcessor):
 class EventAssembler(StatefulProcessor):
     """Joins the chunks of a stream by ``seq`` and gives out an event when an empty line completes it.
 
-    Chunks that come before their turn wait in the state. The stream ends with its last event, with more
+    Chunks that come before their turn wait in the state; each call to the state costs a round trip, so what
+    waits is read and cleared only where something does. The stream ends with its last event, with more
     than ``limit`` bytes waiting (status ``over_limit``), or when nothing came for ``idle_ms``: then
     what is left goes out as it is (status ``flushed``). Chunks of an ended stream are left out.
     """
@@ -66,7 +67,7 @@ class EventAssembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", "next bigint, pos bigint, text string, ended boolean, timer bigint")
+        self.progress = handle.getValueState("progress", "next bigint, pos bigint, text string, ended boolean, timer bigint, held bigint")
         self.waiting = handle.getMapState("waiting", "seq bigint", "chunk string")
 
     def _events(self, key, found: list[tuple[str, str]], pos: int) -> pd.DataFrame:
@@ -74,9 +75,11 @@ class EventAssembler(StatefulProcessor):
                             columns=["stream_id", "pos", "event", "status"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due, pos, text, ended, timer = self.progress.get() if self.progress.exists() else (0, 0, "", False, None)
+        due, pos, text, ended, timer, held = self.progress.get() or (0, 0, "", False, None, 0)
         chunks = {int(s): c or "" for pdf in rows for s, c in zip(pdf["seq"], pdf["chunk"]) if int(s) >= due}
-        chunks |= {k[0]: v[0] for k, v in self.waiting.iterator()}
+        if held:
+            chunks |= {k[0]: v[0] for k, v in self.waiting.iterator()}
+            self.waiting.clear()
         found: list[tuple[str, str]] = []
         while due in chunks and not ended:
             text += chunks.pop(due)
@@ -94,14 +97,15 @@ class EventAssembler(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-        self.progress.update((due, pos + len(found), "" if ended else text, ended, timer))
-        self.waiting.clear()
-        for seq, chunk in ({} if ended else chunks).items():
+        chunks = {} if ended else chunks
+        self.progress.update((due, pos + len(found), "" if ended else text, ended, timer, len(chunks)))
+        for seq, chunk in chunks.items():
             self.waiting.updateValue((seq,), (chunk,))
-        yield self._events(key, found, pos)
+        if found:
+            yield self._events(key, found, pos)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, pos, text, ended, _ = self.progress.get()
+        _, pos, text, ended, _, _ = self.progress.get()
         text += "".join(chunk for _, (chunk,) in sorted(self.waiting.iterator()))
         found = [(event, "flushed") for event in text.split("\n\n") if event.strip()] if not ended else []
         self.progress.clear()

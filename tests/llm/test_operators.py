@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +364,60 @@ def test_lanes_are_kept_full():
     assert len(windows) <= max(sizes.sum() / 16 + 200, 2000) / recurrent.WINDOW + 1  # not the longest of each 16 texts
 
 
+def test_windows_of_few_lanes_hold_as_many_entries():
+    sizes = np.append(np.full(64, 100), 20_000)
+    r = np.random.default_rng(5)
+    texts = recurrent.Texts(r.integers(0, 9, sizes.sum()).astype(np.int16), np.cumsum([0, *sizes]))
+    windows = list(recurrent.Network.lanes(texts, 16, stretch=True))
+    assert len(windows) <= sizes.sum() / (16 * recurrent.WINDOW) + 100 / recurrent.WINDOW + 30  # not 20,000 / WINDOW
+    assert all(x.size <= 16 * recurrent.WINDOW for x, *_ in windows)
+    assert sum(int((x >= 0).sum()) for x, *_ in windows) == sizes.sum() and sum(int(b.sum()) for *_, b in windows) == 65
+    long = np.concatenate([x[(rows == 64) & (x >= 0)] for x, rows, _ in windows])
+    assert np.array_equal(long, texts.entries[-20_000:])
+    assert all(len(x) == recurrent.WINDOW for x, *_ in recurrent.Network.lanes(texts, 16))  # a fit's steps stay as they are
+
+
+def test_softmax_of_large_weights():
+    network, _, texts = _language_network()
+    small = network.score(texts)
+    network.p["c"] += 200  # the same for all classes, far beyond the powers of single precision
+    network.p["w"] += 200
+    assert np.allclose(network.score(texts), small, rtol=1e-3)
+
+
+def test_words_are_split_and_classed_by_bytes():
+    texts = [*ODD, "", None, " \t\x0b\x0c a\x1cB\x85c\u00a0D \r\n", "É.\u2028é! x? longer-word, ÀÉ, İI", "\n", "end"]
+    for column in (pa.array(texts, pa.string()), pa.array(["x y", *texts, "z"], pa.string()).slice(1, len(texts))):
+        words, bounds = recurrent.words_of(column)
+        expected = [(t or "").encode().lower().split() for t in texts]
+        assert words.cast(pa.binary()).to_pylist() == sum(expected, [])
+        assert bounds.tolist() == [0, *np.cumsum([len(t) for t in expected])]
+        assert recurrent.shapes(words).tolist() == [
+            min(len(w) // 3, 3) * 4 + (not w.isascii()) * 2 + w.endswith((b".", b",", b"!", b"?", b";", b":")) for w in sum(expected, [])]
+
+
+def test_word_counts_of_many_parts(spark, monkeypatch):
+    texts = [*ODD, None, *(prose(k, 50) + f" rare{k % 7} É{k}." for k in range(60))]
+    expected = collections.Counter(w.decode() for t in texts for w in (t or "").encode().lower().split())
+    for size in (1, 300, recurrent.SPLIT_BYTES):
+        monkeypatch.setattr(recurrent, "SPLIT_BYTES", size)
+        got = recurrent.word_counts(frame(spark, texts, extra=False)).collect()
+        assert {r["word"]: r["c"] for r in got} == expected and len(got) == len(expected)
+
+
+def test_parts_without_words_are_encoded_like_others(spark, monkeypatch):
+    texts = ["", None, " \n", "the of rare the rare", "", "of É."]
+    train = frame(spark, texts, extra=False)
+    vocabulary = spark.sparkContext.broadcast(recurrent.learnt_counts(train.filter("doc_id <> 3"))[0])
+    found = []
+    for size in (1, 20, recurrent.SPLIT_BYTES):
+        monkeypatch.setattr(recurrent, "SPLIT_BYTES", size)
+        found.append({r["doc_id"]: r for r in recurrent.encoded(train.coalesce(1), vocabulary, F.lit(True)).collect()})
+    for k in range(len(texts)):
+        assert len({(r[k]["x"], r[k]["score"], r[k]["base_score"], r[k]["n_known"]) for r in found}) == 1
+        assert all(sorted(zip(r[k]["rest"], r[k]["many"])) == ([("rare", 2), ("the", 2)] if k == 3 else []) for r in found)
+
+
 def test_each_text_is_encoded_once_for_all_passes(spark, monkeypatch):
     df, calls = frame(spark, [prose(k, 50) + f" rare{k} é{k}." for k in range(40)], extra=False), []
     plain, fit = recurrent.encoded, recurrent.fit_recurrence

@@ -8,10 +8,8 @@ the counts of all training documents. So every string has a probability and they
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import CHUNK_BYTES, staged
+from veilframe.llm.common import staged
 
 #: Words with a softmax entry of their own, frequency classes they fall into, and width of the state.
 OWN, CLASSES, STATE = 500, 20, 16
@@ -30,38 +28,53 @@ SHAPES = 16
 EVERY, ROUNDS, WINDOW = 1, 2, 16
 LANES, FIT_LANES, RATE = 256, 192, 0.02
 BATCH_BYTES = 8 << 20
+#: Bytes of texts that are split into words at a time.
+SPLIT_BYTES = 4 << 20
 
 
-def words_of(text: str | bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z) runs of anything but ASCII white space."""
-    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) runs of anything but ASCII white space, text after text, and where each text begins and ends."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words, bounds = found.flatten(), found.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    some = pc.greater(pc.binary_length(words), 0)  # white space around a text leaves empty words
+    if not pc.all(some, min_count=0).as_py():
+        bounds = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[bounds]
+        words = words.filter(some)
+    return words, bounds
 
 
-def shapes(words: list[bytes]) -> np.ndarray:
+def shapes(words: pa.Array) -> np.ndarray:
     """The classes of words without an entry of their own: length, other alphabets, closing punctuation."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    plain = np.fromiter(map(bytes.isascii, words), bool, len(words))
-    ended = np.fromiter(map(bytes.endswith, words, repeat(tuple(bytes([c]) for c in b".,!?;:"))), bool, len(words))
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    last = pc.binary_slice(words.cast(pa.binary()), -1)
+    ended = pc.is_in(last, value_set=pa.array([bytes([c]) for c in b".,!?;:"])).to_numpy(zero_copy_only=False)
     return np.minimum(size // 3, 3) * 4 + ~plain * 2 + ended
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, shape, c`` over all of ``docs``; each task adds up before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(shapes(list(held)).astype(np.int32)),
-                                   pa.array(list(held.values()), pa.int64())], ["word", "shape", "n"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            for value in batch.column(0).cast(pa.binary()):
-                held.update(words_of(value.as_py()))
-                if len(held) > 300_000:
-                    yield flush()
-        yield flush()
+        parts: list[pa.Table] = []
+
+        def added() -> pa.Table:
+            return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for part in added().combine_chunks().to_batches() if parts else ():
+                yield pa.record_batch([part.column("word"), pa.array(shapes(part.column("word")).astype(np.int32)), part.column("n")],
+                                      ["word", "shape", "n"])
+            parts.clear()
+
+        for batch in _parts(batches, 0, SPLIT_BYTES):
+            found = words_of(batch.column(0))[0].value_counts()
+            parts.append(pa.table([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"]))
+            if sum(map(len, parts)) > 600_000:
+                parts[:] = [added()]
+                if len(parts[0]) > 300_000:
+                    yield from flush()
+        yield from flush()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, shape int, n long").groupBy(
         "word", "shape").agg(F.sum("n").alias("c"))
@@ -71,7 +84,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 class Vocabulary:
     """Counts that all tasks hold. The end of a text is the entry ``own``, after the words of their own."""
 
-    ids: dict
+    words: pa.Array  # those held, by count
     counts: np.ndarray  # of the held words
     own: int
     shapes: np.ndarray  # of the held words
@@ -132,27 +145,27 @@ class Network:
         per unit and a column per lane, so each operation is one run over adjoining numbers.
         """
         steps, lanes = x.shape
-        a = np.ascontiguousarray(self.p["E"][x].transpose(0, 2, 1))
+        signs = np.repeat(np.float32([-1, 1]), [2 * STATE, STATE])
+        a = np.ascontiguousarray(np.take(self.p["E"] * signs, x, axis=0).transpose(0, 2, 1))
         gates, n = a[:, :2 * STATE], a[:, 2 * STATE:]
-        np.negative(gates, out=gates)
-        weights = np.ascontiguousarray(self.p["U"].T)
-        weights[:2 * STATE] *= -1
+        weights = np.ascontiguousarray((self.p["U"] * signs).T)
         states, u = np.empty((steps + 1, STATE, lanes), np.float32), np.empty((steps, 3 * STATE, lanes), np.float32)
         un = u[:, 2 * STATE:]
         states[0] = h
-        for t, fresh in enumerate(begin.any(axis=1).tolist()):
-            before, g, c = states[t], gates[t], n[t]
-            if fresh:
-                before[:, begin[t]] = 0
-            np.matmul(weights, before, out=u[t])
-            g += u[t, :2 * STATE]
+        some, goes, one, part = begin.any(axis=1).tolist(), ~begin, np.float32(1), np.empty((STATE, lanes), np.float32)
+        for t, (before, after, g, z, r, c, ut, ug, uc) in enumerate(zip(
+                states, states[1:], gates, a[:, :STATE], gates[:, STATE:], n, u, u[:, :2 * STATE], un)):
+            if some[t]:
+                before *= goes[t]
+            np.matmul(weights, before, out=ut)
+            g += ug
             np.exp(g, out=g)
-            g += 1
+            g += one
             np.reciprocal(g, out=g)
-            c += g[STATE:] * un[t]
+            c += np.multiply(r, uc, out=part)
             np.tanh(c, out=c)
-            after = np.subtract(before, c, out=states[t + 1])
-            after *= g[:STATE]
+            np.subtract(before, c, out=after)
+            after *= z
             after += c
         return states, gates, n, un
 
@@ -164,18 +177,17 @@ class Network:
         return order, [(n, slice(i, j)) for n, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
 
     def log_probability(self, h: np.ndarray, x: np.ndarray, runs: list, g: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of entries ``x``, which are in order of their classes, after states ``h`` (a row each).
+        """Natural log probability of entries ``x``, which are in order of their classes, after states ``h`` (a row each, then 1).
 
         With ``g``, also gradients of its negative sum.
         """
         k, own = self.class_of[x], runs[-1][1].stop if runs else 0
-        seen = np.ones((len(x), STATE + 1), np.float32)
-        seen[:, :STATE] = h
-        seen = seen.T
+        seen = h.T
 
-        def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """Log probabilities of rows ``at``; ``logits`` become their gradients."""
-            logits -= logits.max(axis=0)
+        def softmax(logits: np.ndarray, at: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+            """Log probabilities of rows ``at``; ``logits``, at most ``most`` from zero, become their gradients."""
+            if not most < 40:  # else their powers are far from the limits of single precision
+                logits -= logits.max(axis=0)
             flat, at = logits.reshape(-1), at * np.int64(len(at)) + np.arange(len(at))
             out = flat[at]
             np.exp(logits, out=logits)
@@ -185,23 +197,26 @@ class Network:
                 flat[at] -= 1
             return out - np.log(total)
 
-        d = np.vstack((self.p["C"], self.p["c"])).T @ seen
-        out, dh = softmax(d, k), None
+        weights = np.vstack((self.p["C"], self.p["c"])).T
+        d, dh = weights @ seen, None
+        out = softmax(d, k, np.abs(weights).sum(axis=1).max())  # states are within -1 and 1
         if g is not None:
-            dw = seen @ d.T
-            g["C"] += dw[:STATE]
-            g["c"] += dw[STATE]
+            dw = d @ h
+            g["C"] += dw[:, :STATE].T
+            g["c"] += dw[:, STATE]
             dh = d.T @ self.p["C"].T
-        weights = np.hstack((self.p["W"], self.p["w"][:, None]))[self.members]  # members of a class, then padding
+        weights = np.hstack((self.p["W"], self.p["w"][:, None]))
+        most = np.abs(weights[:self.own + 1]).sum(axis=1).max()
+        weights = np.take(weights, self.members, axis=0)  # members of a class, then padding
         weights[self.pad, STATE] = -1e30
         d = np.empty((self.members.shape[1], own), np.float32)
         for n, run in runs:
             np.matmul(weights[n], seen[:, run], out=d[:, run])
-        out[:own] += softmax(d, self.place[x[:own]])
+        out[:own] += softmax(d, self.place[x[:own]], most)
         if g is not None:
             dw, back = np.zeros_like(weights), np.empty((own, STATE), np.float32)
             for n, run in runs:
-                np.matmul(d[:, run], seen[:, run].T, out=dw[n])
+                np.matmul(d[:, run], h[run], out=dw[n])
                 np.matmul(d[:, run].T, weights[n, :, :STATE], out=back[run])
             dh[:own] += back
             dw = dw.reshape(-1, STATE + 1)[self.at]
@@ -216,14 +231,17 @@ class Network:
         for n, run in runs:
             np.matmul(which[:, run], rows[run], out=parts[n])
         out[:self.own + 1] = parts.reshape(-1, rows.shape[1])[self.at]
-        out[self.own + 1:] = (x[own:] - self.own - 1 == np.arange(SHAPES)[:, None]).astype(np.float32) @ rows[own:]
+        cut, one = np.searchsorted(x[own:], self.own + 1 + np.arange(SHAPES + 1)).tolist(), np.ones(len(x) - own, np.float32)
+        for k, (i, j) in enumerate(zip(cut, cut[1:])):
+            np.matmul(one[i:j], rows[own + i:own + j], out=out[self.own + 1 + k])
 
     @staticmethod
-    def lanes(texts: Texts, lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def lanes(texts: Texts, lanes: int, stretch: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Windows of texts side by side, by step and lane: entries (-1: none left), their texts, where a text begins.
 
         A lane takes one whole text after the other. The longest are dealt first, each to the lane with the
         fewest entries; lanes keep the order of their texts, and the lanes of a window are the first of those before.
+        With ``stretch``, a window of fewer lanes has as many more steps, so it holds no fewer entries.
         """
         sizes = np.diff(texts.bounds)
         lane, load = np.empty(len(sizes), np.int64), [(0, k) for k in range(min(lanes, len(sizes)))]
@@ -241,22 +259,25 @@ class Network:
         first = np.zeros(len(rows), bool)
         first[ends - sizes[order]] = True
         start = np.cumsum(held) - held
-        for at in range(0, int(held[0]) if len(held) else 0, WINDOW):
+        at = 0
+        while at < (held[0] if len(held) else 0):
             live = int(np.searchsorted(-held, -at, "left"))
-            step = np.arange(at, at + WINDOW)[:, None]
+            steps = min(WINDOW * lanes // live, int(held[0]) - at) if stretch else WINDOW
+            step = np.arange(at, at + steps)[:, None]
             place, there = np.minimum(start[:live] + step, len(rows) - 1), step < held[:live]
             yield np.where(there, moved[place], np.int16(-1)), rows[place], first[place] & there
+            at += steps
 
     def score(self, texts: Texts) -> np.ndarray:
         """Natural log probability of each whole text; the state is carried from window to window."""
         out, h = np.zeros(len(texts.bounds) - 1), np.zeros((STATE, LANES), np.float32)
-        for x, rows, begin in self.lanes(texts, LANES):
+        for x, rows, begin in self.lanes(texts, LANES, stretch=True):
             states = self.run(h[:, :x.shape[1]], np.maximum(x, 0), begin)[0]
             h = states[-1]
             at = np.flatnonzero(x >= 0)
             order, runs = self.by_class(x.ravel()[at])
             at = at[order]
-            logs, _ = self.log_probability(np.take(_by_row(states[:-1]), at, axis=0), x.ravel()[at], runs)
+            logs, _ = self.log_probability(np.take(_by_row(states[:-1], 1), at, axis=0), x.ravel()[at], runs)
             out += np.bincount(rows.ravel()[at], logs, len(out))
         return out
 
@@ -271,34 +292,38 @@ class Network:
         at = np.flatnonzero(x >= 0)
         order, runs = self.by_class(x.ravel()[at])
         at = at[order]
-        dseen = np.zeros((x.size, STATE), np.float32)
-        seen = _by_row(before)
-        dseen[at] = self.log_probability(np.take(seen, at, axis=0), x.ravel()[at], runs, g)[1]
+        seen = _by_row(before, 1)
+        there = np.zeros(x.size, np.int64)
+        there[at] = np.arange(len(at))
+        dseen = np.take(self.log_probability(np.take(seen, at, axis=0), x.ravel()[at], runs, g)[1], there, axis=0)
+        if len(at) < x.size:
+            dseen[x.ravel() < 0] = 0
         dseen = np.ascontiguousarray(dseen.reshape(steps, lanes, STATE).transpose(0, 2, 1))
-        dn, du = n * n, np.empty((steps, 3, STATE, lanes), np.float32)  # what a step's gradient is multiplied with
+        # What a step's gradient is multiplied with, for the recurrent part of the candidate, both gates and the candidate.
+        du = np.empty((steps, 4, STATE, lanes), np.float32)
+        dn = np.multiply(n, n, out=du[:, 3])
         np.subtract(1, dn, out=dn)
         open_ = 1 - z
         dn *= open_
         open_ *= z
-        np.subtract(before, n, out=du[:, 0])
-        du[:, 0] *= open_
-        np.multiply(dn, r, out=du[:, 2])
-        np.multiply(du[:, 2], un, out=du[:, 1])
-        du[:, 1] *= np.subtract(1, r, out=open_)
-        dh, back = np.zeros((STATE, lanes), np.float32), self.p["U"]
-        starts = begin.any(axis=1).tolist()
+        np.subtract(before, n, out=du[:, 1])
+        du[:, 1] *= open_
+        np.multiply(dn, r, out=du[:, 0])
+        np.multiply(du[:, 0], un, out=du[:, 2])
+        du[:, 2] *= np.subtract(1, r, out=open_)
+        dh, turn = np.zeros((STATE, lanes), np.float32), [*range(2 * STATE, 3 * STATE), *range(2 * STATE)]
+        back, some, goes = np.ascontiguousarray(self.p["U"][:, turn]), begin.any(axis=1).tolist(), ~begin
+        inner, part = du[:, :3].reshape(steps, 3 * STATE, lanes), np.empty((STATE, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
             du[t] *= dh
-            dn[t] *= dh
             dh *= z[t]
             dh += dseen[t]
-            dh += back @ du[t].reshape(3 * STATE, lanes)
-            if starts[t]:
-                dh[:, begin[t]] = 0
-        rows = _by_row(du.reshape(steps, 3 * STATE, lanes))
-        np.matmul(seen.T, rows, out=g["U"])
-        rows[:, 2 * STATE:] = _by_row(dn)
-        self.sums(np.take(rows, at, axis=0), x.ravel()[at], runs, g["E"])
+            dh += np.matmul(back, inner[t], out=part)
+            if some[t]:
+                dh *= goes[t]
+        rows = _by_row(du.reshape(steps, 4 * STATE, lanes))
+        g["U"][:, turn] = seen[:, :STATE].T @ rows[:, :3 * STATE]
+        self.sums(np.take(rows, at, axis=0)[:, STATE:], x.ravel()[at], runs, g["E"])
         return values, states[-1], len(at)
 
     def train(self, texts: Texts, moments: np.ndarray) -> int:
@@ -327,9 +352,13 @@ def _views(values: np.ndarray, like: dict) -> dict:
     return {k: values[end - v.size:end].reshape(v.shape) for (k, v), end in zip(like.items(), ends)}
 
 
-def _by_row(units: np.ndarray) -> np.ndarray:
-    """Steps of units by lane as a row for each step and lane."""
-    return units.transpose(0, 2, 1).reshape(-1, units.shape[1])
+def _by_row(units: np.ndarray, ones: int = 0) -> np.ndarray:
+    """Steps of units by lane as a row for each step and lane, with ``ones`` columns of 1 behind."""
+    steps, size, lanes = units.shape
+    out = np.empty((steps, lanes, size + ones), np.float32)
+    out[:, :, :size] = units.transpose(0, 2, 1)
+    out[:, :, size:] = 1
+    return out.reshape(-1, size + ones)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -349,42 +378,36 @@ def _encode(shared):
         from pyspark import TaskContext
 
         vocabulary, part, row = shared.value, TaskContext.get().partitionId(), 0
-        get, own = vocabulary.ids.get, vocabulary.own
+        own = vocabulary.own
         log_c = np.log10(vocabulary.counts + 1.0)
         held_n = np.log10(vocabulary.shape_tokens + vocabulary.shape_words + 1.0)
         tail_c = log_c - held_n[vocabulary.shapes]
         tail_c[:own] = 0.0
         entry = np.where(np.arange(len(log_c)) < own, np.arange(len(log_c)), own + 1 + vocabulary.shapes).astype(np.int16)
         unit, end = np.log10(float(vocabulary.unit)), np.log10(vocabulary.end + 1.0)
-        for batch in _parts(batches, 1, CHUNK_BYTES):
+        for batch in _parts(batches, 1, SPLIT_BYTES):
             n = len(batch)
-            words, sizes, rests, many = [], np.zeros(n, np.int64), [], []
-            for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                here = words_of(text)
-                words += here
-                sizes[k] = len(here)
-            ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            of = np.repeat(np.arange(n), sizes)
+            words, bounds = words_of(batch.column(1))
+            sizes = np.diff(bounds)
+            coded = words.dictionary_encode()  # each word of a part is looked up once
+            words, which = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
+            ids = pc.fill_null(pc.index_in(words, value_set=vocabulary.words), -1).to_numpy()
             held = ids >= 0
-            missing = np.flatnonzero(~held)
-            x = np.empty(len(words), np.int16)
-            x[held] = entry[ids[held]]
-            x[missing] = own + 1 + shapes([words[k] for k in missing])
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
-            x = np.insert(x, bounds[1:], own)  # the end of each text
-            cut = np.searchsorted(missing, bounds)
-            for k in range(n):
-                found = Counter(words[m] for m in missing[cut[k]:cut[k + 1]])
-                rests.append([w.decode() for w in found])
-                many.append(list(found.values()))
-            known = np.bincount(of[held], minlength=n)
-            base = np.bincount(of[held], log_c[ids[held]], n) - unit * (known + 1) + end
-            tail = np.bincount(of[held], tail_c[ids[held]], n)
-            offsets = ((bounds + np.arange(n + 1)) * 2).astype(np.int32)
+            entries, base, tail = np.empty(len(ids), np.int16), np.zeros(len(ids)), np.zeros(len(ids))
+            entries[held], base[held], tail[held] = entry[ids[held]], log_c[ids[held]], tail_c[ids[held]]
+            entries[~held] = own + 1 + shapes(words.filter(pa.array(~held)))
+            of, there = np.repeat(np.arange(n), sizes), held[which]
+            x = np.insert(entries[which], bounds[1:], own)  # the end of each text
+            known = np.bincount(of[there], minlength=n)
+            pairs, many = np.unique(of[~there] * max(1, len(ids)) + which[~there], return_counts=True)  # words that are not held
+            rest, cut = words.take(pa.array(pairs % max(1, len(ids)))), np.searchsorted(pairs, np.arange(n + 1) * max(1, len(ids)))
+            cut, offsets = pa.array(cut.astype(np.int32)), ((bounds + np.arange(n + 1)) * 2).astype(np.int32)
             yield pa.record_batch(
                 [batch.column(0), batch.column(2), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)),
-                 pa.array(sizes + 1), pa.array(known + (vocabulary.end > 0)), pa.array(base), pa.array(tail),
-                 pa.array(rests, pa.list_(pa.string())), pa.array(many, pa.list_(pa.int64())),
+                 pa.array(sizes + 1), pa.array(known + (vocabulary.end > 0)),
+                 pa.array(np.bincount(of, base[which], n) - unit * (known + 1) + end),
+                 pa.array(np.bincount(of, tail[which], n), pa.float64()),  # whole numbers where a part has no words
+                 pa.ListArray.from_arrays(cut, rest), pa.ListArray.from_arrays(cut, pa.array(many, pa.int64())),
                  pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(x)])],
                 ["doc_id", "fits", "part", "row", "n_tokens", "n_known", "base_score", "score", "rest", "many", "x"])
             row += n
@@ -444,14 +467,14 @@ def learnt_counts(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, Data
     """What all tasks hold of the words of ``docs``, and the counts of all words."""
     counts = staged(word_counts(docs, text), "words")
     held = counts.orderBy(F.desc("c"), "word").limit(HELD).select("word", "shape", "c").toArrow()
-    words = [w.encode() for w in held.column("word").to_pylist()]
+    words = pa.concat_arrays(held.column("word").chunks or [pa.array([], pa.string())]).cast(pa.string())
     sums = {r["shape"]: r for r in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     n_docs = docs.count()
     c, s = held.column("c").to_numpy().astype(np.int64), held.column("shape").to_numpy().astype(np.int64)
     own = min(OWN, len(words))
     tail_n = np.array([sums[k]["n"] if k in sums else 0 for k in range(SHAPES)]) - np.bincount(s[:own], c[:own], SHAPES).astype(np.int64)
     tail_v = np.array([sums[k]["v"] if k in sums else 0 for k in range(SHAPES)]) - np.bincount(s[:own], minlength=SHAPES)
-    return Vocabulary({w: k for k, w in enumerate(words)}, c, own, s, n_docs, int(sum(r["n"] for r in sums.values())) + n_docs,
+    return Vocabulary(words, c, own, s, n_docs, int(sum(r["n"] for r in sums.values())) + n_docs,
                       int(sum(r["v"] for r in sums.values())) + (n_docs > 0), tail_n, tail_v), counts
 
 
